@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterstone.functions.fixed_prices import (
@@ -30,6 +30,7 @@ from meterstone.schemas import MONEY, PRICE, PRICES_TYPE, TOKENS
 
 INLINE_LIMIT = 300
 RULES_VERSION = 1
+MICRO = Decimal("0.000001")
 
 
 def as_prices(values: Iterable) -> Prices:
@@ -61,9 +62,20 @@ def canonical(model: Column) -> Column:
     return out.otherwise(name)
 
 
-def first_parts(name: Column, count: int) -> Column:
-    """The first ``count`` dash-separated parts of a name."""
-    return F.substring_index(name, "-", count)
+class Name:
+    """A model name and its first n dash-separated parts, as expressions or columns."""
+
+    def __init__(self, whole: Column, parts: dict[int, Column] | None = None) -> None:
+        self.whole = whole
+        self._parts = parts or {}
+
+    @classmethod
+    def of(cls, model: Column) -> Name:
+        return cls(canonical(model))
+
+    def first(self, count: int) -> Column:
+        known = self._parts.get(count)
+        return F.substring_index(self.whole, "-", count) if known is None else known
 
 
 def by_part_count(prefixes: Iterable[str]) -> dict[int, list[str]]:
@@ -74,7 +86,7 @@ def by_part_count(prefixes: Iterable[str]) -> dict[int, list[str]]:
     return dict(sorted(groups.items(), reverse=True))
 
 
-def any_boundary(name: Column, prefixes: Iterable[str]) -> Column:
+def any_boundary(name: Name, prefixes: Iterable[str]) -> Column:
     """One of the prefixes itself, or one followed by ``-``.
 
     A prefix of n parts can only match the first n parts of a name, so every
@@ -82,41 +94,49 @@ def any_boundary(name: Column, prefixes: Iterable[str]) -> Column:
     """
     out = F.lit(False)
     for count, group in by_part_count(prefixes).items():
-        out = out | first_parts(name, count).isin(group)
+        out = out | name.first(count).isin(group)
     return out
 
 
-def prefix_lookup(name: Column, table: dict[str, Column]) -> list[Column]:
-    """Values of the matching prefixes in a constant map, longest prefix first."""
-    found = []
-    for count, group in by_part_count(table).items():
-        entries = [e for prefix in group for e in (F.lit(prefix), table[prefix])]
-        found.append(F.try_element_at(F.create_map(*entries), first_parts(name, count)))
-    return found
+def micro_price(price: Decimal) -> int:
+    """A price in whole micro-dollars per million tokens, that is pico-dollars per token."""
+    return int(price.scaleb(6))
 
 
-def price_literal(prices: Prices) -> Column:
-    names = PRICES_TYPE.fieldNames()
-    return F.struct(
-        *[F.lit(p).cast(PRICE).alias(n) for n, p in zip(names, prices, strict=True)]
-    )
+def price_value(prices: Prices) -> dict[str, int]:
+    return {n: micro_price(p) for n, p in zip(PRICES_TYPE.fieldNames(), prices, strict=True)}
 
 
-def no_price() -> Column:
-    return F.lit(None).cast(PRICES_TYPE)
+PRICES_DDL = PRICES_TYPE.simpleString()
+TIERS_DDL = f"array<struct<threshold:bigint,prices:{PRICES_DDL}>>"
+
+
+def constant(value, ddl: str) -> Column:
+    """A nested constant as one JSON literal, which the optimizer folds into a value."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
 
 
-def tier_literal(tiers: Iterable[tuple[int, Prices]]) -> Column:
+def tier_values(tiers: Iterable[tuple[int, Prices]]) -> list[dict]:
     """Tiers of one prefix, highest threshold first."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(threshold).cast("bigint").alias("threshold"),
-                price_literal(prices).alias("prices"),
-            )
-            for threshold, prices in sorted(tiers, reverse=True)
-        ]
-    )
+    return [
+        {"threshold": threshold, "prices": price_value(prices)}
+        for threshold, prices in sorted(tiers, reverse=True)
+    ]
+
+
+def prefix_lookup(name: Name, table: dict[str, object], ddl: str) -> list[Column]:
+    """Values of the matching prefixes in a constant map, longest prefix first."""
+    return [
+        F.try_element_at(
+            constant({prefix: table[prefix] for prefix in group}, f"map<string,{ddl}>"),
+            name.first(count),
+        )
+        for count, group in by_part_count(table).items()
+    ]
+
+
+def no_price() -> Column:
+    return F.lit(None).cast(PRICES_TYPE)
 
 
 def exceeded(tiers: Column, most: int, total_input: Column) -> Column:
@@ -128,6 +148,11 @@ def exceeded(tiers: Column, most: int, total_input: Column) -> Column:
     return F.coalesce(*steps)
 
 
+def in_dollars(price: Column) -> Column:
+    """A looked-up price in USD per million tokens."""
+    return (price.cast("decimal(19,0)") * F.lit(MICRO).cast("decimal(7,6)")).cast(PRICE)
+
+
 @dataclass(frozen=True)
 class PriceBook:
     """Built-in rules plus the user's own prices, tiers, 1h rates and switches."""
@@ -180,18 +205,18 @@ class PriceBook:
 
     def base_price(self, model: Column) -> Column:
         """Price struct of a model, NULL when it has none."""
-        name = canonical(model)
-        own = {m: price_literal(p) for m, p in self.models.items()}
-        own[SYNTHETIC] = price_literal(as_prices((0, 0, 0, 0)))
-        exact = F.try_element_at(
-            F.create_map(*[e for m in sorted(own) for e in (F.lit(m), own[m])]), name
-        )
-        builtin = {m: price_literal(p) for m, p in builtin_models().items()}
+        return self._base_price(Name.of(model))
+
+    def _base_price(self, name: Name) -> Column:
+        own = {m: price_value(p) for m, p in self.models.items()}
+        own[SYNTHETIC] = price_value(as_prices((0, 0, 0, 0)))
+        exact = F.try_element_at(constant(own, f"map<string,{PRICES_DDL}>"), name.whole)
+        builtin = {m: price_value(p) for m, p in builtin_models().items()}
         return F.coalesce(
             exact,
             F.when(
                 ~any_boundary(name, UNPRICED_FAMILIES),
-                F.coalesce(*prefix_lookup(name, builtin)),
+                F.coalesce(*prefix_lookup(name, builtin, PRICES_DDL)),
             ),
         )
 
@@ -215,12 +240,15 @@ class PriceBook:
         families; a rule none of whose thresholds is exceeded lets the next
         shorter one try.
         """
-        name = canonical(model)
+        return self._tier_price(Name.of(model), total_input)
+
+    def _tier_price(self, name: Name, total_input: Column) -> Column:
         steps = []
         if self.tiers:
             most = max(len(rows) for rows in self.tiers.values())
-            own = {p: tier_literal(rows) for p, rows in self.tiers.items()}
-            steps += [exceeded(t, most, total_input) for t in prefix_lookup(name, own)]
+            own = {p: tier_values(rows) for p, rows in self.tiers.items()}
+            found = prefix_lookup(name, own, TIERS_DDL)
+            steps += [exceeded(tiers, most, total_input) for tiers in found]
         rules: dict[tuple[str, tuple[str, ...]], list] = {}
         for prefix, threshold, prices, excluded in builtin_tiers():
             if prefix not in self.disabled:
@@ -229,37 +257,32 @@ class PriceBook:
             applies = any_boundary(name, [prefix]) & ~any_boundary(
                 name, [*excluded, *UNPRICED_FAMILIES]
             )
-            steps.append(F.when(applies, exceeded(tier_literal(rows), len(rows), total_input)))
+            tiers = constant(tier_values(rows), TIERS_DDL)
+            steps.append(F.when(applies, exceeded(tiers, len(rows), total_input)))
         return F.coalesce(*steps) if steps else no_price()
 
     def write_1h_price(self, model: Column, input_price: Column) -> Column:
         """The user's 1h rate of the longest prefix, else twice the input price in force."""
-        twice = (input_price * F.lit(2)).cast("decimal(13,6)")
+        return self._write_1h_price(Name.of(model), input_price)
+
+    def _write_1h_price(self, name: Name, input_price: Column) -> Column:
+        twice = input_price * F.lit(2)
         if not self.write_1h:
             return twice
-        own = {p: F.lit(v).cast("decimal(13,6)") for p, v in self.write_1h.items()}
-        return F.coalesce(*prefix_lookup(canonical(model), own), twice)
+        own = {p: micro_price(v) for p, v in self.write_1h.items()}
+        return F.coalesce(*prefix_lookup(name, own, "bigint"), twice)
 
-    def rate(
-        self,
-        model: Column,
-        input_tokens: Column,
-        cache_read_tokens: Column,
-        cache_creation_tokens: Column,
-        long_context: bool,
-    ) -> Column:
-        """The price struct in force for one request."""
-        base = self.base_price(model)
-        if not long_context:
-            return base
-        total_input = input_tokens + cache_read_tokens + cache_creation_tokens
-        countable = (
-            (input_tokens >= 0) & (cache_read_tokens >= 0) & (cache_creation_tokens >= 0)
-        )
-        return F.coalesce(F.when(countable, self.tier_price(model, total_input)), base)
+    def part_counts(self) -> list[int]:
+        """How many leading parts of a name any rule looks at."""
+        names = [*builtin_models(), *UNPRICED_FAMILIES, *self.tiers, *self.write_1h]
+        for prefix, _, _, excluded in builtin_tiers():
+            names += [prefix, *excluded]
+        return list(by_part_count(names))
 
-    def cost(
+    def with_cost(
         self,
+        df: DataFrame,
+        target: str,
         model: Column,
         input_tokens: Column,
         output_tokens: Column,
@@ -268,8 +291,19 @@ class PriceBook:
         cache_creation_1h_tokens: Column | None = None,
         *,
         long_context: bool = True,
-    ) -> Column:
-        """Exact cost in micro-dollars; 0 for no usage, NULL when unpriced."""
+    ) -> DataFrame:
+        """Add the exact cost in micro-dollars; 0 for no usage, NULL when unpriced.
+
+        Works in steps, each a column the next one uses several times. The
+        optimizer keeps such steps apart, so every row is looked up once, and the
+        generated methods stay small enough for the JVM to compile.
+        """
+        step = {
+            k: f"__{target}_{k}" for k in ("name", "base", "tier", "rate", "quick")
+        }
+        counts = {n: f"__{target}_first{n}" for n in self.part_counts()}
+        name = Name(F.col(step["name"]), {n: F.col(c) for n, c in counts.items()})
+        rate = F.col(step["rate"])
         long_write = F.lit(0) if cache_creation_1h_tokens is None else cache_creation_1h_tokens
         idle = (
             (input_tokens <= 0)
@@ -278,28 +312,55 @@ class PriceBook:
             & (cache_creation_tokens <= 0)
             & (long_write <= 0)
         )
-        rate = self.rate(
-            model, input_tokens, cache_read_tokens, cache_creation_tokens, long_context
-        )
-        amount = (
-            input_tokens.cast(TOKENS) * rate["input"]
-            + output_tokens.cast(TOKENS) * rate["output"]
-            + cache_read_tokens.cast(TOKENS) * rate["cache_read"]
-        )
+        parts = [
+            (input_tokens, rate["input"]),
+            (output_tokens, rate["output"]),
+            (cache_read_tokens, rate["cache_read"]),
+        ]
         if cache_creation_1h_tokens is None:
-            amount = amount + cache_creation_tokens.cast(TOKENS) * rate["cache_write"]
+            parts.append((cache_creation_tokens, rate["cache_write"]))
         else:
             hour = F.greatest(F.least(long_write, cache_creation_tokens), F.lit(0))
-            short = cache_creation_tokens - hour
-            amount = (
-                amount
-                + short.cast(TOKENS) * rate["cache_write"]
-                + hour.cast(TOKENS) * self.write_1h_price(model, rate["input"])
+            parts.append((cache_creation_tokens - hour, rate["cache_write"]))
+            parts.append((hour, self._write_1h_price(name, rate["input"])))
+        # Whole pico-dollars in 64 bits. They are NULL when that overflows, which
+        # only sums over very many requests can do: then the decimal form steps in.
+        quick = None
+        wide = None
+        for count, price in parts:
+            count = count.cast("bigint")
+            product = F.try_multiply(count, price)
+            quick = product if quick is None else F.try_add(quick, product)
+            exact = count.cast(TOKENS) * price.cast("decimal(18,0)")
+            wide = exact if wide is None else wide + exact
+        unit = F.lit(MICRO).cast("decimal(7,6)")
+        amount = F.when(idle, F.lit(0).cast(MONEY)).otherwise(
+            F.coalesce(
+                (F.col(step["quick"]).cast("decimal(19,0)") * unit).cast(MONEY),
+                (wide.cast("decimal(31,0)") * unit).cast(MONEY),
             )
-        # The amount stands outside any condition, so that the rate is looked up
-        # once per row (shared subexpression) and not once per counter.
-        busy = F.when(idle, F.lit(0)).otherwise(F.lit(1)).cast("decimal(1,0)")
-        return F.coalesce((amount * busy).cast(MONEY), F.when(idle, F.lit(0).cast(MONEY)))
+        )
+        out = (
+            df.withColumn(step["name"], canonical(model))
+            .withColumns({c: F.substring_index(name.whole, "-", n) for n, c in counts.items()})
+            .withColumn(step["base"], self._base_price(name))
+        )
+        if long_context:
+            total_input = input_tokens + cache_read_tokens + cache_creation_tokens
+            countable = (
+                (input_tokens >= 0) & (cache_read_tokens >= 0) & (cache_creation_tokens >= 0)
+            )
+            tier = F.when(countable, self._tier_price(name, total_input))
+            out = out.withColumn(step["tier"], tier).withColumn(
+                step["rate"], F.coalesce(step["tier"], step["base"])
+            )
+        else:
+            out = out.withColumn(step["rate"], F.col(step["base"]))
+        return (
+            out.withColumn(step["quick"], quick)
+            .withColumn(target, amount)
+            .drop(*step.values(), *counts.values())
+        )
 
 
 BUILTIN = PriceBook()

@@ -64,16 +64,18 @@ def live_additions(
     A stored session adds what live is ahead by, if it has output at all; a
     session without stored rows adds everything, unless it did nothing.
     """
-    now = live.select(
+    priced = book.with_cost(
+        live.withColumns({f"t_{c}": today_counter(c) for c in COUNTERS}),
+        "t_cost",
+        F.col("model"),
+        *[F.col(f"t_{c}") for c in TOKEN_COLS],
+        long_context=False,
+    )
+    now = priced.select(
         *SESSION_KEY,
-        F.struct(
-            "user_turns",
-            "output_tokens",
-            *[today_counter(c).alias(f"t_{c}") for c in COUNTERS],
-            book.cost(
-                F.col("model"), *[today_counter(c) for c in TOKEN_COLS], long_context=False
-            ).alias("t_cost"),
-        ).alias("now"),
+        F.struct("user_turns", "output_tokens", *[f"t_{c}" for c in COUNTERS], "t_cost").alias(
+            "now"
+        ),
     )
     then = day_session_totals(usage, day).select(
         *SESSION_KEY, F.struct(*COUNTERS, "cost_micro", "unknown_cost_count").alias("then")

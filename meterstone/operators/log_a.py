@@ -187,8 +187,9 @@ def events_a(lines: DataFrame, as_of: date, book: PriceBook = BUILTIN) -> DataFr
             }
         )
     )
-    events = surviving_events(rows)
-    cost = book.cost(
+    priced = book.with_cost(
+        surviving_events(rows),
+        "cost_micro",
         F.col("model"),
         F.col("input_tokens"),
         F.col("output_tokens"),
@@ -196,9 +197,7 @@ def events_a(lines: DataFrame, as_of: date, book: PriceBook = BUILTIN) -> DataFr
         F.col("cache_creation_tokens"),
         F.col("cache_1h_tokens"),
     )
-    return events.withColumns({"agent_type": F.lit(AGENT), "cost_micro": cost}).select(
-        *EVENTS.fieldNames()
-    )
+    return priced.withColumn("agent_type", F.lit(AGENT)).select(*EVENTS.fieldNames())
 
 
 def files_a(lines: DataFrame, root: str) -> DataFrame:

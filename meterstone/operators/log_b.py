@@ -199,8 +199,8 @@ def fresh_input(side: str) -> Column:
     return F.greatest(F.col(f"raw_{side}") - F.col(f"cached_{side}"), F.lit(0))
 
 
-def request_cost(book: PriceBook) -> Column:
-    """Cost of the single request a token report describes, NULL if it describes none."""
+def with_request_cost(df: DataFrame, book: PriceBook) -> DataFrame:
+    """``request_cost`` of the single request a token report describes, else NULL."""
     request = F.col("request")
 
     def part(key: str) -> Column:
@@ -209,17 +209,24 @@ def request_cost(book: PriceBook) -> Column:
     known = F.lit(False)
     for key in ("input_tokens", "output_tokens", "cached_input_tokens"):
         known = known | F.map_contains_key(request, key)
-    cached = part("cached_input_tokens")
-    return F.when(
-        F.coalesce(known, F.lit(False)),
-        book.cost(
-            F.col("model"),
-            F.greatest(part("input_tokens") - cached, F.lit(0)),
-            part("output_tokens"),
-            cached,
-            part("cache_creation_input_tokens"),
-        ),
+    counts = df.withColumns(
+        {
+            "described": F.coalesce(known, F.lit(False)),
+            "request_in": F.greatest(
+                part("input_tokens") - part("cached_input_tokens"), F.lit(0)
+            ),
+            "request_out": part("output_tokens"),
+            "request_read": part("cached_input_tokens"),
+            "request_write": part("cache_creation_input_tokens"),
+        }
+    )
+    names = ["request_in", "request_out", "request_read", "request_write"]
+    priced = book.with_cost(
+        counts, "request_cost", F.col("model"), *[F.col(c) for c in names]
     )
+    return priced.withColumn(
+        "request_cost", F.when(F.col("described"), F.col("request_cost"))
+    ).drop("described", *names)
 
 
 def events_from_state(resolved: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
@@ -239,19 +246,23 @@ def events_from_state(resolved: DataFrame, book: PriceBook = BUILTIN) -> DataFra
     moved = F.lit(False)
     for name in steps:
         moved = moved | (F.col(name) != 0)
-    by_step = book.cost(
-        F.col("model"), *[F.col(name) for name in steps], long_context=False
+    by_request = with_request_cost(stepped.filter(~tokens | moved), book)
+    by_step = book.with_cost(
+        by_request,
+        "step_cost",
+        F.col("model"),
+        *[F.col(name) for name in steps],
+        long_context=False,
     )
     return (
-        stepped.filter(~tokens | moved)
-        .withColumns(
+        by_step.withColumns(
             {
                 "agent_type": F.lit(AGENT),
                 "usage_date": local_date(F.col("ts_text")),
                 "usage_hour": local_hour(F.col("ts_text")),
                 "message_count": F.when(tokens, zero).otherwise(F.lit(1)),
                 "user_turns": F.when(turn, F.lit(1)).otherwise(zero),
-                "cost_micro": F.coalesce(request_cost(book), by_step),
+                "cost_micro": F.coalesce("request_cost", "step_cost"),
             }
         )
         .select(*EVENTS.fieldNames())

@@ -177,10 +177,11 @@ def book_from_rules(rules: DataFrame, most: int = 10_000) -> PriceBook:
 
 def reprice_usage(usage: DataFrame, book: PriceBook) -> DataFrame:
     """New cost for buckets whose cost was not given by the source."""
-    cost = book.cost(F.col("model"), *[F.col(c) for c in TOKEN_COLS], long_context=False)
-    return usage.withColumn(
-        "cost_micro", F.when(F.col("cost_is_explicit"), F.col("cost_micro")).otherwise(cost)
+    priced = book.with_cost(
+        usage, "new_cost", F.col("model"), *[F.col(c) for c in TOKEN_COLS], long_context=False
     )
+    kept = F.when(F.col("cost_is_explicit"), F.col("cost_micro"))
+    return priced.withColumn("cost_micro", kept.otherwise(F.col("new_cost"))).drop("new_cost")
 
 
 def reprice_sessions(sessions: DataFrame, usage: DataFrame, book: PriceBook) -> DataFrame:
@@ -190,9 +191,13 @@ def reprice_sessions(sessions: DataFrame, usage: DataFrame, book: PriceBook) ->
     sums = usage.groupBy(*SESSION_KEY).agg(
         F.struct(poisoned_cost(F.col("cost_micro")).alias("cost")).alias("buckets")
     )
-    own = book.cost(F.col("model"), *[F.col(c) for c in TOKEN_COLS], long_context=False)
-    cost = F.when(F.col("buckets").isNotNull(), F.col("buckets.cost")).otherwise(own)
-    return (
-        sessions.join(sums, SESSION_KEY, "left").withColumn("cost_micro", cost).select(*names)
+    joined = book.with_cost(
+        sessions.join(sums, SESSION_KEY, "left"),
+        "own_cost",
+        F.col("model"),
+        *[F.col(c) for c in TOKEN_COLS],
+        long_context=False,
     )
+    followed = F.when(F.col("buckets").isNotNull(), F.col("buckets.cost"))
+    return joined.withColumn("cost_micro", followed.otherwise(F.col("own_cost"))).select(*names)
 

@@ -36,9 +36,10 @@ SESSION_TEXT = [
     "summary",
 ]
 
+# Looked-up prices: whole micro-dollars per million tokens.
 PRICES_TYPE = T.StructType(
     [
-        T.StructField(name, PRICE)
+        T.StructField(name, T.LongType())
         for name in ("input", "output", "cache_read", "cache_write")
     ]
 )
