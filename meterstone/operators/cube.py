@@ -62,6 +62,8 @@ def session_rows(hours: DataFrame, chosen: DataFrame) -> DataFrame:
     open_bucket = is_bucket() & F.col("cost_micro").isNull()
     totals = hours.groupBy("agent_type", "file_path").agg(
         *sums(),
+        (F.count_if(is_bucket()) > 0).alias("has_buckets"),
+        F.min(F.when(is_bucket(), F.col("usage_date"))).alias("first_usage_date"),
         F.when(
             F.count_if(open_bucket) == 0,
             F.coalesce(F.sum(bucket_cost), F.lit(0).cast(MONEY)),
@@ -80,8 +82,10 @@ def complete_sessions(rows: DataFrame) -> DataFrame:
     }
     started = F.col("started_at")
     derived = {"started_date": local_date(started), "started_hour": local_hour(started)}
+    if "has_buckets" in missing:
+        missing["has_buckets"] = F.lit(False)
     return (
-        rows.withColumns({**missing})
+        rows.withColumns(missing)
         .withColumns(derived)
         .select(*[F.col(f.name).cast(f.dataType) for f in SESSIONS])
     )

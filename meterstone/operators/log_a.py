@@ -18,7 +18,7 @@ from meterstone.functions.text import clean_prompt, nonempty
 from meterstone.functions.timebucket import local_date, local_hour
 from meterstone.operators.chunked import running
 from meterstone.schemas import EVENTS
-from meterstone.sources.logs import project_dir, session_id_a
+from meterstone.sources.logs import below, project_dir, session_id_a
 
 AGENT = "claude_code"
 
@@ -34,6 +34,11 @@ USAGE = (
 CWD_LINES = 11
 
 
+def in_project(root: str) -> Column:
+    """Logs lie in a project folder; files directly below the root are none."""
+    return F.instr(below(root, F.col("file_path")), "/") > 0
+
+
 def content_items(value: Column, content: Column) -> Column:
     """Items of ``message.content`` when it is an array, NULL when it is text.
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from meterstone.operators.cube import complete_sessions
 from meterstone.schemas import COUNTERS, MONEY, SESSION_KEY, SESSION_TEXT
 
+# What the session table knows about a session's buckets.
+STORAGE = ["has_buckets", "first_usage_date"]
+
 
 def merge_sessions(stored: DataFrame, changes: DataFrame) -> DataFrame:
     """Upsert by (agent, session); a NULL or absent column keeps the stored value.
@@ -27,9 +30,12 @@ def merge_sessions(stored: DataFrame, changes: DataFrame) -> DataFrame:
             new_cost.cast(MONEY).alias("cost_micro"),
             *texts,
             *counts,
+            *[c for c in STORAGE if c in given],
         ).alias("n"),
     )
-    old = stored.select(*SESSION_KEY, F.struct(*SESSION_TEXT, *COUNTERS, "cost_micro").alias("o"))
+    old = stored.select(
+        *SESSION_KEY, F.struct(*SESSION_TEXT, *COUNTERS, "cost_micro", *STORAGE).alias("o")
+    )
     merged = old.join(incoming, SESSION_KEY, "full_outer")
 
     def pick(name: str, default):
@@ -47,6 +53,8 @@ def merge_sessions(stored: DataFrame, changes: DataFrame) -> DataFrame:
             *[pick(c, "") for c in SESSION_TEXT],
             *[pick(c, 0) for c in COUNTERS],
             cost.alias("cost_micro"),
+            pick("has_buckets", False),
+            pick("first_usage_date", None),
         )
     )
 
@@ -59,7 +67,9 @@ def fill_from_index(index: DataFrame, logs: DataFrame) -> DataFrame:
     """
     from_log = logs.select(
         *SESSION_KEY,
-        F.struct(*[c for c in SESSION_TEXT if c != "summary"], *COUNTERS, "cost_micro").alias("l"),
+        F.struct(
+            *[c for c in SESSION_TEXT if c != "summary"], *COUNTERS, "cost_micro", *STORAGE
+        ).alias("l"),
     )
     text = ["project_path", "git_branch", "started_at", "ended_at"]
     from_index = index.select(
@@ -79,6 +89,7 @@ def fill_from_index(index: DataFrame, logs: DataFrame) -> DataFrame:
         F.coalesce(F.col("l.message_count"), F.col("i.message_count")).alias("message_count"),
         *[F.col(f"l.{c}").alias(c) for c in COUNTERS if c != "message_count"],
         F.col("l.cost_micro").alias("cost_micro"),
+        *[F.col(f"l.{c}").alias(c) for c in STORAGE],
         has_log.alias("cost_is_set"),
     )
 

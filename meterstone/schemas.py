@@ -74,6 +74,8 @@ SESSIONS = T.StructType(
         T.StructField("summary", T.StringType()),
         T.StructField("started_date", T.DateType()),
         T.StructField("started_hour", T.IntegerType()),
+        T.StructField("has_buckets", T.BooleanType()),
+        T.StructField("first_usage_date", T.DateType()),
     ]
 )
 

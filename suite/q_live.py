@@ -1 +1,240 @@
-"""Placeholder."""
+"""Live and streaming queries (L)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from meterstone.functions.measures import dollars
+from meterstone.operators import live as live_ops
+from meterstone.operators import log_b
+from meterstone.schemas import COUNTERS, TOKEN_COLS
+from meterstone.streaming.changes import counter_steps, snapshot_changes, summed_changes
+from meterstone.streaming.hourly import drain_append, drain_updates, hourly_usage, work_folder
+from suite.q_logs import LOGS_A, LOGS_B
+from suite.queries import query
+from suite.sqlbase import KNOWN, POISON, REQUESTS, SESSIONS, TOKENS, UNKNOWN, sums, tokens, usd
+from suite.views import (
+    AS_OF,
+    NOON,
+    all_buckets,
+    lines_b,
+    request_stream,
+    requests,
+    sessions,
+    week_id,
+)
+
+KEYS = ["agent_type", "session_id"]
+
+
+def live_rows(spark, sf):
+    """Session state at noon; nobody computed day counters for every sixth user."""
+    seen = requests(spark, sf).filter(F.col("ts") <= F.lit(NOON))
+    rows = live_ops.live_snapshot(sessions(seen), all_buckets(seen), AS_OF)
+    absent = F.col("user_id") % 6 == 0
+    return rows.withColumns(
+        {f"today_{c}": F.when(~absent, F.col(f"today_{c}")) for c in COUNTERS}
+    )
+
+
+def stored_rows(spark, sf):
+    """Usage synced at ten."""
+    return all_buckets(
+        requests(spark, sf).filter(F.col("ts") <= F.to_timestamp(F.lit("2024-01-30 10:00:00")))
+    )
+
+
+TODAY = "usage_date = DATE '2024-01-30'"
+LIVE = f"""{REQUESTS},
+seen AS (SELECT * FROM req WHERE ts <= TIMESTAMP '2024-01-30 12:00:00'),
+lv AS (
+  SELECT agent_type, session_id, user_id,
+    CASE WHEN user_id % 3 = 0 THEN '' WHEN user_id % 3 = 1 THEN '<synthetic>'
+      ELSE arg_max(model, event_id) END AS model,
+    {sums()}, max(ts) AS last_ts,
+    {', '.join(f'''CAST(CASE WHEN user_id % 6 = 0 THEN sum({c}) ELSE
+      coalesce(sum({c}) FILTER (WHERE {TODAY}), 0) END AS BIGINT) AS t_{c}''' for c in COUNTERS)}
+  FROM seen GROUP BY agent_type, session_id, user_id
+),
+st0 AS (SELECT agent_type, session_id, usage_date, usage_hour, project_path, model, {sums()},
+  {POISON} AS cost_micro FROM req WHERE ts <= TIMESTAMP '2024-01-30 10:00:00' GROUP BY ALL),
+st AS (SELECT agent_type, session_id, {sums()}, {KNOWN} AS c, {UNKNOWN} AS n_unknown
+  FROM st0 WHERE {TODAY} GROUP BY agent_type, session_id)"""
+
+
+@query(
+    "l04_snapshot",
+    f"""WITH {LIVE} SELECT agent_type, session_id, {', '.join(COUNTERS)},
+    {', '.join(f'CASE WHEN user_id % 6 <> 0 THEN t_{c} END AS today_{c}' for c in COUNTERS)} FROM lv""",
+)
+def snapshot_query(spark, sf):
+    return live_rows(spark, sf).select(*KEYS, *COUNTERS, *[f"today_{c}" for c in COUNTERS])
+
+
+@query(
+    "l05_active",
+    f"""WITH {LIVE} SELECT agent_type, session_id, strftime(last_ts, '%Y-%m-%dT%H:%M:%SZ')
+    AS last_active FROM lv WHERE date_trunc('second', last_ts) >= TIMESTAMP '2024-01-30 12:00:00'
+      - INTERVAL 3600 SECONDS AND user_turns > 0""",
+)
+def active_query(spark, sf):
+    """L5 with a window of an hour, so that the small tables have active sessions."""
+    rows = live_ops.recently_active(live_rows(spark, sf), NOON, seconds=3600)
+    return rows.select(*KEYS, "last_active")
+
+
+@query(
+    "l06_active_count",
+    f"WITH {LIVE} SELECT CAST(count(*) FILTER (WHERE user_turns > 0 OR output_tokens > 0) AS BIGINT) "
+    f"AS active_count FROM lv",
+)
+def active_count_query(spark, sf):
+    return live_ops.active_count(live_rows(spark, sf))
+
+
+def live_cost() -> str:
+    names = [f"t_{c}" for c in TOKENS]
+    parts = " + ".join(
+        f"{tokens(n)} * CAST(rt.{k} AS DECIMAL(12,6))" for n, k in zip(names, "iorw", strict=True)
+    )
+    idle = " AND ".join(f"{n} <= 0" for n in names)
+    return f"CASE WHEN {idle} THEN CAST(0 AS DECIMAL(38,6)) ELSE CAST({parts} AS DECIMAL(38,6)) END"
+
+
+ADDED = f"""{LIVE},
+now AS (SELECT lv.*, {live_cost()} AS t_cost FROM lv LEFT JOIN rates rt ON rt.model = lv.model),
+added AS (
+  SELECT n.agent_type, CASE WHEN st.session_id IS NULL THEN 1 ELSE 0 END AS session_count,
+    {', '.join(f'''CASE WHEN st.session_id IS NULL THEN t_{c}
+      ELSE greatest(t_{c} - st.{c}, 0) END AS {c}''' for c in COUNTERS)},
+    CASE WHEN t_cost IS NULL THEN 0 WHEN st.session_id IS NULL THEN t_cost
+      ELSE greatest(t_cost - st.c, CAST(0 AS DECIMAL(38,6))) END AS cost_micro,
+    CASE WHEN st.session_id IS NULL THEN CASE WHEN t_cost IS NULL THEN 1 ELSE 0 END
+      ELSE greatest(CASE WHEN t_cost IS NULL THEN 1 ELSE 0 END - st.n_unknown, 0) END AS n_unknown
+  FROM now n LEFT JOIN st USING (agent_type, session_id)
+  WHERE CASE WHEN st.session_id IS NULL THEN n.user_turns <> 0 OR n.output_tokens <> 0
+    ELSE n.output_tokens > 0 END
+)"""
+SUMMED = (
+    "CAST(sum(session_count) AS BIGINT) AS session_count, "
+    + sums()
+    + f", {usd('sum(cost_micro)')} AS estimated_cost_usd, CAST(sum(n_unknown) AS BIGINT) "
+    + "AS unknown_cost_count"
+)
+
+
+def stored_sql(keys: str, where: str) -> str:
+    return (
+        f"SELECT {keys}, {SESSIONS} AS session_count, {sums()}, {KNOWN} AS cost_micro, "
+        f"{UNKNOWN} AS n_unknown FROM st0 WHERE {where} GROUP BY {keys}"
+    )
+
+
+@query(
+    "l07_merge_overview",
+    f"""WITH {ADDED} SELECT agent_type, {SUMMED} FROM ({stored_sql('agent_type', TODAY)}
+    UNION ALL BY NAME SELECT * FROM added) GROUP BY GROUPING SETS ((agent_type), ())""",
+)
+def overview_query(spark, sf):
+    return live_ops.overview_with_live(stored_rows(spark, sf), live_rows(spark, sf), AS_OF)
+
+
+@query(
+    "l08_merge_trend",
+    f"""WITH {ADDED} SELECT CAST(usage_date AS VARCHAR) AS usage_date, {SUMMED} FROM (
+    {stored_sql('usage_date', "usage_date >= DATE '2024-01-20'")} UNION ALL BY NAME
+    SELECT DATE '2024-01-30' AS usage_date, * EXCLUDE (agent_type) FROM added) x
+    GROUP BY x.usage_date""",
+)
+def trend_query(spark, sf):
+    return live_ops.trend_with_live(
+        stored_rows(spark, sf), live_rows(spark, sf), AS_OF, days=10
+    )
+
+
+# ── Streams ──────────────────────────────────────────────────────────────
+
+
+@query(
+    "l02_stream_snapshot",
+    f"""WITH {LOGS_A.replace("WHERE agent_type = 'claude_code'", "")},
+    last AS (SELECT * EXCLUDE (cost_micro, i, o, r, w), {{cost}} AS cost_micro FROM a1
+      LEFT JOIN rates rt2(rm, i, o, r, w, lim, li, lo, lr, lw) ON rm = model WHERE rn = 1)
+    SELECT agent_type, session_id, CAST(usage_date AS VARCHAR) AS usage_date,
+      CAST(usage_hour AS BIGINT) AS usage_hour, model, {sums(TOKENS)}, {usd(POISON)} AS cost_usd
+    FROM last GROUP BY agent_type, session_id, last.usage_date, last.usage_hour, model""".replace(
+        "* EXCLUDE (cost_micro, i, o, r, w)", "a1.* EXCLUDE (cost_micro)"
+    ).replace(
+        "{cost}",
+        "CASE WHEN input_tokens <= 0 AND output_tokens <= 0 AND cache_read_tokens <= 0 AND "
+        "cache_creation_tokens <= 0 THEN CAST(0 AS DECIMAL(38,6)) ELSE CAST("
+        + " + ".join(
+            f"{tokens(c)} * CAST(CASE WHEN input_tokens + cache_read_tokens + cache_creation_tokens "
+            f"> lim THEN l{k} ELSE {k} END AS DECIMAL(12,6))"
+            for c, k in zip(TOKENS, "iorw", strict=True)
+        )
+        + " AS DECIMAL(38,6)) END",
+    ),
+)
+def stream_snapshot_query(spark, sf):
+    """L2: snapshots as a stream; the sum of its changes against the last snapshots."""
+    rows = request_stream(spark, sf).select(
+        *KEYS,
+        week_id().alias("msg_id"),
+        F.col("event_id").alias("seq"),
+        "usage_date",
+        "usage_hour",
+        "model",
+        *TOKEN_COLS,
+    )
+    changes = drain_append(snapshot_changes(rows), "snapshots")
+    return summed_changes(changes).withColumn("cost_usd", dollars(F.col("cost_micro"))).drop(
+        "cost_micro"
+    )
+
+
+@query(
+    "l03_stream_delta",
+    f"""WITH {LOGS_B} SELECT agent_type, session_id, CAST(usage_date AS VARCHAR) AS usage_date,
+    CAST(usage_hour AS BIGINT) AS usage_hour, model, {sums()} FROM eb GROUP BY agent_type,
+    session_id, eb.usage_date, eb.usage_hour, model""",
+)
+def stream_delta_query(spark, sf):
+    """L3: parsed agent-B rows as a stream; its steps summed per bucket."""
+    parsed = log_b.parse_lines(lines_b(requests(spark, sf)))
+    rows = parsed.select(
+        F.lit("codex").alias("agent_type"),
+        F.regexp_extract("file_path", r"rollout-([^/]+)\.jsonl$", 1).alias("session_id"),
+        F.col("pos").alias("seq"),
+        F.to_date(F.left("ts_text", F.lit(10))).alias("usage_date"),
+        F.substring("ts_text", 12, 2).cast("int").alias("usage_hour"),
+        "kind",
+        "meta_id",
+        "meta_forked",
+        "ctx_model",
+        *log_b.COUNTERS,
+    )
+    folder = work_folder(spark, "parsed")
+    rows.write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).parquet(folder)
+    steps = drain_append(counter_steps(stream), "steps")
+    return steps.groupBy(*KEYS, "usage_date", "usage_hour", "model").agg(
+        *[F.sum(c).alias(c) for c in COUNTERS]
+    )
+
+
+@query(
+    "l09_stream_hourly",
+    f"""WITH {REQUESTS} SELECT CAST(usage_date AS VARCHAR) AS usage_date, CAST(usage_hour AS BIGINT)
+    AS usage_hour, agent_type, model, {sums()}, {UNKNOWN} AS unknown_cost_count,
+    {usd(KNOWN)} AS estimated_cost_usd FROM req GROUP BY req.usage_date, req.usage_hour, agent_type,
+    model""",
+)
+def stream_hourly_query(spark, sf):
+    """Hourly usage kept by a watermarked aggregation."""
+    rows = request_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    keys = ["usage_date", "usage_hour", "agent_type", "model"]
+    latest = drain_updates(hourly_usage(rows), "hourly", keys)
+    return latest.withColumn("estimated_cost_usd", dollars(F.col("cost_micro"))).drop("cost_micro")
+
+

@@ -379,7 +379,7 @@ def session_query(spark, sf):
     """Session rows of both agents, from their logs."""
     rows = session_rows(*normalised(spark, sf))
     return rows.withColumn("cost_usd", dollars(F.col("cost_micro"))).drop(
-        "cost_micro", "summary", "started_date", "started_hour"
+        "cost_micro", "summary", "started_date", "started_hour", "has_buckets", "first_usage_date"
     )
 
 

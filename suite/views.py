@@ -61,9 +61,20 @@ def plain(df: DataFrame) -> DataFrame:
 
 def requests(spark: SparkSession, sf: str, book: PriceBook = BUILTIN) -> DataFrame:
     """One priced request per event."""
+    return requests_of(table(spark, sf, "events"), book)
+
+
+def request_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same requests as a stream over the event files."""
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return requests_of(events.parquet(sf))
+
+
+def requests_of(events: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
     e, user = F.col("event_id"), F.col("user_id")
     kind = F.col("event_type")
-    rows = table(spark, sf, "events").select(
+    rows = events.select(
         "event_id",
         "user_id",
         "ts",
@@ -147,6 +158,15 @@ def sessions(rows: DataFrame) -> DataFrame:
     )
 
 
+def stored_sessions(rows: DataFrame) -> DataFrame:
+    """Session rows as the session table holds them."""
+    held = F.col("user_id") % 10 != 3
+    first = F.when(held, F.col("started_date"))
+    return sessions(rows).withColumns({"has_buckets": held, "first_usage_date": first}).drop(
+        "user_id"
+    )
+
+
 def source(spark: SparkSession, sf: str, book: PriceBook = BUILTIN) -> DataFrame:
     """The usage source every report reads."""
     rows = requests(spark, sf, book)
