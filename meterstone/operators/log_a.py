@@ -2,7 +2,8 @@
 
 Input: lines ``(file_path, modified, chunk, pos, value)``. Each JSON line is
 parsed once into a narrow row; the text of tool results never leaves the scan
-stage.
+stage. Callers that need both events and file attributes keep the parsed rows
+(``session.cut_lineage``): they are a small part of the log.
 """
 
 from __future__ import annotations
@@ -175,13 +176,12 @@ def surviving_events(rows: DataFrame) -> DataFrame:
     return grouped.select("file_path", F.inline(both))
 
 
-def events_a(lines: DataFrame, as_of: date, book: PriceBook = BUILTIN) -> DataFrame:
-    """Canonical events of agent-A logs. ``as_of`` is the day of replies without a time."""
+def events_a(parsed: DataFrame, as_of: date, book: PriceBook = BUILTIN) -> DataFrame:
+    """Canonical events of parsed agent-A lines. ``as_of`` is the day of replies without a time."""
     reply = F.col("kind") == "reply"
     undated = F.col("usage_date").isNull()
-    parsed = parse_lines(lines).filter(F.col("kind") != "other")
     rows = (
-        with_bucket_model(parsed)
+        with_bucket_model(parsed.filter(F.col("kind") != "other"))
         .withColumns(
             {"usage_date": local_date(F.col("ts_text")), "usage_hour": local_hour(F.col("ts_text"))}
         )
@@ -205,13 +205,12 @@ def events_a(lines: DataFrame, as_of: date, book: PriceBook = BUILTIN) -> DataFr
     return priced.withColumn("agent_type", F.lit(AGENT)).select(*EVENTS.fieldNames())
 
 
-def files_a(lines: DataFrame, root: str) -> DataFrame:
+def files_a(parsed: DataFrame, root: str) -> DataFrame:
     """What one log says about its session; aggregates only, no window."""
-    rows = parse_lines(lines)
     order = F.struct("chunk", "pos")
     dated = F.when(F.col("ts_text") != "", order)
     real = F.when(F.col("msg_model") != SYNTHETIC, order)
-    attributes = rows.groupBy("file_path").agg(
+    attributes = parsed.groupBy("file_path").agg(
         F.max("modified").alias("modified"),
         F.count_if(F.col("kind") == "turn").alias("user_turns"),
         F.min_by("ts_text", dated).alias("started_at"),

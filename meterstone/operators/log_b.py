@@ -229,8 +229,8 @@ def with_request_cost(df: DataFrame, book: PriceBook) -> DataFrame:
     ).drop("described", *names)
 
 
-def events_from_state(resolved: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
-    """Turns, messages and the non-zero steps of the counters."""
+def events_b(resolved: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
+    """Canonical events: turns, messages and the non-zero steps of the counters."""
     tokens = F.col("kind") == "tokens"
     turn = F.col("kind") == "user"
     steps = {
@@ -269,14 +269,8 @@ def events_from_state(resolved: DataFrame, book: PriceBook = BUILTIN) -> DataFra
     )
 
 
-def events_b(lines: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
-    """Canonical events of agent-B logs."""
-    return events_from_state(resolve_state(parse_lines(lines)), book)
-
-
-def files_b(lines: DataFrame) -> DataFrame:
+def files_b(resolved: DataFrame) -> DataFrame:
     """What one log says about its session."""
-    resolved = resolve_state(parse_lines(lines))
     order = F.struct("chunk", "pos")
 
     def first(c: str) -> Column:

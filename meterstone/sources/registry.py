@@ -46,14 +46,17 @@ class LogSource:
 def agent_a(root: str) -> LogSource:
     def normalise(lines: DataFrame, as_of: date, book: PriceBook):
         nested = lines.filter(log_a.in_project(root))
-        return log_a.events_a(nested, as_of, book), log_a.files_a(nested, root)
+        parsed = cut_lineage(log_a.parse_lines(nested))
+        return log_a.events_a(parsed, as_of, book), log_a.files_a(parsed, root)
 
     return LogSource(log_a.AGENT, root, "*.jsonl", normalise)
 
 
 def agent_b(root: str) -> LogSource:
     def normalise(lines: DataFrame, as_of: date, book: PriceBook):
-        return log_b.events_b(lines, book), log_b.files_b(lines)
+        parsed = cut_lineage(log_b.parse_lines(lines))
+        resolved = cut_lineage(log_b.resolve_state(parsed))
+        return log_b.events_b(resolved, book), log_b.files_b(resolved)
 
     return LogSource(log_b.AGENT, root, "rollout-*.jsonl", normalise)
 

@@ -19,6 +19,7 @@ from meterstone.operators.cube import (
     usage_buckets,
 )
 from meterstone.schemas import COUNTERS
+from meterstone.session import cut_lineage
 from suite.queries import query
 from suite.sqlbase import BASE, POISON, RATES, TOKENS, cost, price, sums, tokens, usd
 from suite.views import AS_OF, lines_a, lines_b, requests, table, turn_lines
@@ -71,7 +72,7 @@ def turns_query(spark, sf):
 )
 def prompts_query(spark, sf):
     """First and last prompt of every conversation that has a human turn."""
-    files = chosen_files(log_a.files_a(turn_lines(spark, sf), ROOT))
+    files = chosen_files(log_a.files_a(log_a.parse_lines(turn_lines(spark, sf)), ROOT))
     return files.select(
         F.col("session_id").alias("session"), "first_prompt", "last_prompt", "user_turns"
     )
@@ -233,7 +234,7 @@ def model_query(spark, sf):
 
 
 def events_of_a(spark, sf):
-    return log_a.events_a(lines_a(requests(spark, sf)), AS_OF)
+    return log_a.events_a(log_a.parse_lines(lines_a(requests(spark, sf))), AS_OF)
 
 
 @query(
@@ -313,7 +314,7 @@ def fork_query(spark, sf):
 )
 def delta_query(spark, sf):
     """Steps of the cumulative counters and their cost."""
-    events = log_b.events_b(lines_b(requests(spark, sf)))
+    events = log_b.events_b(state_of_b(spark, sf))
     return events.filter(F.col("message_count") == 0).select(
         session_of_b(F.col("file_path")).alias("session_id"),
         F.col("ts_text").alias("at"),
@@ -329,11 +330,12 @@ def delta_query(spark, sf):
 
 
 def normalised(spark, sf):
-    """Hours and chosen logs of both agents."""
+    """Hours and chosen logs of both agents, as the history sync gets them."""
     rows = requests(spark, sf)
-    a, b = lines_a(rows), lines_b(rows)
-    events = log_a.events_a(a, AS_OF).unionByName(log_b.events_b(b))
-    files = log_a.files_a(a, ROOT).unionByName(log_b.files_b(b))
+    parsed = cut_lineage(log_a.parse_lines(lines_a(rows)))
+    resolved = cut_lineage(log_b.resolve_state(cut_lineage(log_b.parse_lines(lines_b(rows)))))
+    events = log_a.events_a(parsed, AS_OF).unionByName(log_b.events_b(resolved))
+    files = log_a.files_a(parsed, ROOT).unionByName(log_b.files_b(resolved))
     return hourly(events), chosen_files(files)
 
 
