@@ -23,6 +23,7 @@ from meterstone.schemas import COUNTERS, SESSION_KEY, TOKEN_COLS
 from meterstone.session import cut_lineage
 
 USD = "estimated_cost_usd"
+SMALL_REPORT = 10_000
 
 
 def publish(df: DataFrame) -> DataFrame:
@@ -93,6 +94,17 @@ def by_time_model(
     return publish(rows)
 
 
+def session_parts(usage: DataFrame) -> DataFrame:
+    """Sums per session, model and project: few rows per session, numeric state only."""
+    cost = F.col("cost_micro")
+    return usage.groupBy(*SESSION_KEY, "model", "project_path").agg(
+        *[M.total(c).alias(c) for c in COUNTERS],
+        M.known_cost(F.when(cost > 0, cost)).alias("billed_cost"),
+        M.unknown_count(cost).alias("unknown_cost_count"),
+        M.known_cost(cost).alias("cost_micro"),
+    )
+
+
 def top_sessions(
     usage: DataFrame,
     sessions: DataFrame,
@@ -103,21 +115,13 @@ def top_sessions(
 ) -> DataFrame:
     """Dearest sessions with their billed models.
 
-    Summed per (session, model) first and per session then: the model list of a
-    session is built from one row per model, never from its buckets. Only the
-    ``limit`` survivors meet the sessions table.
+    Summed per (session, model, project) first and per session then: the first
+    step has numbers only, so it aggregates in hash tables, and the model list
+    of a session is built from one row per model, never from its buckets. Only
+    the ``limit`` survivors meet the sessions table.
     """
-    cost = F.col("cost_micro")
     top = (
-        between(usage, first, last)
-        .groupBy(*SESSION_KEY, "model")
-        .agg(
-            *[M.total(c).alias(c) for c in COUNTERS],
-            M.known_cost(cost).alias("model_cost"),
-            M.known_cost(F.when(cost > 0, cost)).alias("billed_cost"),
-            M.unknown_count(cost).alias("unknown_cost_count"),
-            F.max(nonempty(F.col("project_path"))).alias("usage_project"),
-        )
+        session_parts(between(usage, first, last))
         .withColumn(
             "billed_model",
             F.when(
@@ -130,8 +134,8 @@ def top_sessions(
         .agg(
             *[M.total(c).alias(c) for c in COUNTERS],
             M.total("unknown_cost_count").alias("unknown_cost_count"),
-            M.known_cost(F.col("model_cost")).alias("cost_micro"),
-            F.max("usage_project").alias("usage_project"),
+            M.known_cost(F.col("cost_micro")).alias("cost_micro"),
+            F.max(nonempty(F.col("project_path"))).alias("usage_project"),
             F.max(real_model(F.col("model"))).alias("usage_model"),
             F.array_sort(F.collect_set("billed_model")).alias("billed"),
         )
@@ -140,9 +144,11 @@ def top_sessions(
         .limit(limit)
     )
     # ``limit`` rows, cut so that they can be broadcast to the sessions table and
-    # still be the preserved side of the join without summing the facts twice.
+    # still be the preserved side of the join without summing the facts twice. A
+    # limit beyond any report is left to the planner.
     top = cut_lineage(top)
-    described = sessions.join(F.broadcast(top.select(*SESSION_KEY)), SESSION_KEY).select(
+    small = F.broadcast if limit <= SMALL_REPORT else (lambda frame: frame)
+    described = sessions.join(small(top.select(*SESSION_KEY)), SESSION_KEY).select(
         *SESSION_KEY,
         F.col("project_path").alias("session_project"),
         "first_prompt",
@@ -155,7 +161,7 @@ def top_sessions(
         (F.col("unknown_cost_count") > 0) & (F.size(labels) == 0), F.array(F.lit("Unknown"))
     ).otherwise(labels)
     rows = (
-        top.join(F.broadcast(described), SESSION_KEY, "left")
+        top.join(small(described), SESSION_KEY, "left")
         .withColumn("raw_model", preferred_model(F.col("session_model"), F.col("usage_model")))
         .select(
             *SESSION_KEY,
@@ -242,14 +248,13 @@ def model_breakdown(
 
 def day_session_totals(usage: DataFrame, day: date) -> DataFrame:
     """One row per session active on a day."""
-    cost = F.col("cost_micro")
     return (
-        between(usage, day, day)
+        session_parts(between(usage, day, day))
         .groupBy(*SESSION_KEY)
         .agg(
             *[M.total(c).alias(c) for c in COUNTERS],
-            M.known_cost(cost).alias("cost_micro"),
-            M.unknown_count(cost).alias("unknown_cost_count"),
+            M.known_cost(F.col("cost_micro")).alias("cost_micro"),
+            M.total("unknown_cost_count").alias("unknown_cost_count"),
             F.max(nonempty(F.col("project_path"))).alias("usage_project"),
             F.max(real_model(F.col("model"))).alias("usage_model"),
         )

@@ -219,6 +219,27 @@ dirs AS (
 )"""
 
 
+@query(
+    "s05_line_hygiene",
+    f"""WITH {LOGS_A} SELECT session_id, CAST(count(*) FILTER (WHERE event_id % 7 <> 0) AS BIGINT)
+    AS replies, CAST(coalesce(sum(output_tokens) FILTER (WHERE event_id % 7 <> 0), 0) AS BIGINT)
+    AS output_tokens FROM a0 GROUP BY session_id""",
+)
+def hygiene_query(spark, sf):
+    """Logs with a blank line behind every reply and every seventh reply cut short."""
+    lines = lines_a(requests(spark, sf))
+    cut = (F.floor(F.col("pos") / 2) % 7 == 0) & (F.col("pos") % 2 == 1)
+    broken = lines.withColumn(
+        "value", F.when(cut, F.left("value", F.length("value") - 5)).otherwise(F.col("value"))
+    )
+    blank = lines.withColumn("value", F.lit("   "))
+    rows = log_a.parse_lines(broken.unionByName(blank))
+    return rows.groupBy(session_of(F.col("file_path")).alias("session_id")).agg(
+        F.count_if(F.col("kind") == "reply").alias("replies"),
+        F.sum("output_tokens").alias("output_tokens"),
+    )
+
+
 @query(
     "n06_model_ffill",
     f"WITH {LOGS_A} SELECT session_id, event_id, current_model AS model FROM a0 WHERE event_id % 4 = 0",

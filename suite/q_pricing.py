@@ -180,6 +180,29 @@ def own_cost(k_1h: str) -> str:
     )
 
 
+@query(
+    "p10_session_cost",
+    f"""WITH {REQUESTS},
+    s AS (SELECT agent_type, session_id, arg_max(model, event_id) AS model,
+      {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in TOKENS)} FROM ev GROUP BY ALL)
+    SELECT agent_type, session_id, s.model, {usd(cost(TOKENS, "FALSE"))} AS cost_usd
+    FROM s LEFT JOIN rates rt ON rt.model = s.model""",
+)
+def session_cost_query(spark, sf):
+    """P10: session sums at base rates, whatever their size."""
+    sums = (
+        requests(spark, sf)
+        .groupBy("agent_type", "session_id")
+        .agg(F.max_by("model", "event_id").alias("model"), *[F.sum(c).alias(c) for c in TOKENS])
+    )
+    priced = BUILTIN.with_cost(
+        sums, "cost_micro", F.col("model"), *[F.col(c) for c in TOKENS], long_context=False
+    )
+    return priced.select(
+        "agent_type", "session_id", "model", dollars(F.col("cost_micro")).alias("cost_usd")
+    )
+
+
 @query(
     "p08_cache_1h_cost",
     f"WITH {BASE}, {OWN_RATES} SELECT event_id, ev.model, CASE WHEN input_tokens <= 0 AND "
@@ -244,6 +267,9 @@ def tier_list_query(spark, sf):
     tiers = tier_list(spark, OWN_BOOK)
     total = F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_creation_tokens")
     sized = requests(spark, sf).select("model", total.alias("total"))
+    # No tier can apply to a request below the smallest threshold.
+    lowest = tiers.agg(F.min("threshold")).scalar()
+    sized = sized.filter(F.col("total") > lowest)
     # Tiers are configuration (a dozen rows); requests meet them by dash prefix.
     prefixes = sized.select("total", F.explode(dash_prefixes(F.col("model"))).alias("prefix"))
     above = (
