@@ -94,10 +94,14 @@ def any_boundary(name: Name, prefixes: Iterable[str]) -> Column:
     """
     out = F.lit(False)
     for count, group in by_part_count(prefixes).items():
-        out = out | name.first(count).isin(group)
+        out = out | F.array_contains(constant(group, "array<string>"), name.first(count))
     return out
 
 
+def unpriced_family(name: Name) -> Column:
+    return any_boundary(name, UNPRICED_FAMILIES)
+
+
 def micro_price(price: Decimal) -> int:
     """A price in whole micro-dollars per million tokens, that is pico-dollars per token."""
     return int(price.scaleb(6))
@@ -109,6 +113,7 @@ def price_value(prices: Prices) -> dict[str, int]:
 
 PRICES_DDL = PRICES_TYPE.simpleString()
 TIERS_DDL = f"array<struct<threshold:bigint,prices:{PRICES_DDL}>>"
+RULE_DDL = f"struct<tiers:{TIERS_DDL},excluded:array<string>>"
 
 
 def constant(value, ddl: str) -> Column:
@@ -135,6 +140,15 @@ def prefix_lookup(name: Name, table: dict[str, object], ddl: str) -> list[Column
     ]
 
 
+def longest_prefix(name: Name, prefixes: Iterable[str]) -> Column:
+    """The longest of the prefixes that matches, NULL if none does."""
+    levels = [
+        F.when(F.array_contains(constant(group, "array<string>"), name.first(count)), name.first(count))
+        for count, group in by_part_count(prefixes).items()
+    ]
+    return F.coalesce(*levels)
+
+
 def no_price() -> Column:
     return F.lit(None).cast(PRICES_TYPE)
 
@@ -205,20 +219,19 @@ class PriceBook:
 
     def base_price(self, model: Column) -> Column:
         """Price struct of a model, NULL when it has none."""
-        return self._base_price(Name.of(model))
+        name = Name.of(model)
+        return self._base_price(name, longest_prefix(name, builtin_models()), unpriced_family(name))
 
-    def _base_price(self, name: Name) -> Column:
-        own = {m: price_value(p) for m, p in self.models.items()}
-        own[SYNTHETIC] = price_value(as_prices((0, 0, 0, 0)))
-        exact = F.try_element_at(constant(own, f"map<string,{PRICES_DDL}>"), name.whole)
+    def _base_price(self, name: Name, prefix: Column, unpriced: Column) -> Column:
         builtin = {m: price_value(p) for m, p in builtin_models().items()}
-        return F.coalesce(
-            exact,
-            F.when(
-                ~any_boundary(name, UNPRICED_FAMILIES),
-                F.coalesce(*prefix_lookup(name, builtin, PRICES_DDL)),
-            ),
-        )
+        inherited = F.try_element_at(constant(builtin, f"map<string,{PRICES_DDL}>"), prefix)
+        free = constant(price_value(as_prices((0, 0, 0, 0))), PRICES_DDL)
+        price = F.when(name.whole == SYNTHETIC, free).when(~unpriced, inherited)
+        if not self.models:
+            return price
+        own = {m: price_value(p) for m, p in self.models.items() if m != SYNTHETIC}
+        exact = F.try_element_at(constant(own, f"map<string,{PRICES_DDL}>"), name.whole)
+        return F.coalesce(exact, price)
 
     def is_priced(self, model: Column) -> Column:
         """P4."""
@@ -240,26 +253,38 @@ class PriceBook:
         families; a rule none of whose thresholds is exceeded lets the next
         shorter one try.
         """
-        return self._tier_price(Name.of(model), total_input)
-
-    def _tier_price(self, name: Name, total_input: Column) -> Column:
-        steps = []
-        if self.tiers:
-            most = max(len(rows) for rows in self.tiers.values())
-            own = {p: tier_values(rows) for p, rows in self.tiers.items()}
-            found = prefix_lookup(name, own, TIERS_DDL)
-            steps += [exceeded(tiers, most, total_input) for tiers in found]
-        rules: dict[tuple[str, tuple[str, ...]], list] = {}
+        name = Name.of(model)
+        own, rule = self._own_rules(name), self._builtin_rule(name)
+        return self._tier_price(name, own, rule, unpriced_family(name), total_input)
+
+    def _own_rules(self, name: Name) -> list[Column]:
+        """Tiers of the matching user prefixes, longest first."""
+        table = {p: tier_values(rows) for p, rows in self.tiers.items()}
+        return prefix_lookup(name, table, TIERS_DDL)
+
+    def _builtin_rule(self, name: Name) -> Column:
+        """Tiers and exceptions of the matching built-in prefix; these prefixes never nest."""
+        table: dict[str, dict] = {}
         for prefix, threshold, prices, excluded in builtin_tiers():
             if prefix not in self.disabled:
-                rules.setdefault((prefix, excluded), []).append((threshold, prices))
-        for (prefix, excluded), rows in sorted(rules.items(), key=lambda r: -len(r[0][0])):
-            applies = any_boundary(name, [prefix]) & ~any_boundary(
-                name, [*excluded, *UNPRICED_FAMILIES]
-            )
-            tiers = constant(tier_values(rows), TIERS_DDL)
-            steps.append(F.when(applies, exceeded(tiers, len(rows), total_input)))
-        return F.coalesce(*steps) if steps else no_price()
+                rule = table.setdefault(prefix, {"tiers": [], "excluded": list(excluded)})
+                rule["tiers"] = tier_values([(threshold, prices)]) + rule["tiers"]
+        if not table:
+            return F.lit(None).cast(RULE_DDL)
+        key = longest_prefix(name, table)
+        return F.try_element_at(constant(table, f"map<string,{RULE_DDL}>"), key)
+
+    def _tier_price(
+        self, name: Name, own: list[Column], rule: Column, unpriced: Column, total_input: Column
+    ) -> Column:
+        rules = builtin_tiers()
+        most_own = max((len(rows) for rows in self.tiers.values()), default=0)
+        most = max(sum(r[0] == prefix for r in rules) for prefix in {r[0] for r in rules})
+        skip = unpriced
+        for count in by_part_count(x for r in rules for x in r[3]):
+            skip = skip | F.array_contains(rule["excluded"], name.first(count))
+        inherited = F.when(~skip, exceeded(rule["tiers"], most, total_input))
+        return F.coalesce(*[exceeded(tiers, most_own, total_input) for tiers in own], inherited)
 
     def write_1h_price(self, model: Column, input_price: Column) -> Column:
         """The user's 1h rate of the longest prefix, else twice the input price in force."""
@@ -290,16 +315,20 @@ class PriceBook:
         cache_creation_tokens: Column,
         cache_creation_1h_tokens: Column | None = None,
         *,
-        long_context: bool = True,
+        long_context: bool | Column = True,
     ) -> DataFrame:
         """Add the exact cost in micro-dollars; 0 for no usage, NULL when unpriced.
 
+        ``long_context`` says whether request-size rates apply; a column says so
+        row by row.
+
         Works in steps, each a column the next one uses several times. The
         optimizer keeps such steps apart, so every row is looked up once, and the
         generated methods stay small enough for the JVM to compile.
         """
         step = {
-            k: f"__{target}_{k}" for k in ("name", "base", "tier", "rate", "quick")
+            k: f"__{target}_{k}"
+            for k in ("name", "unpriced", "prefix", "rule", "total", "rate", "quick")
         }
         counts = {n: f"__{target}_first{n}" for n in self.part_counts()}
         name = Name(F.col(step["name"]), {n: F.col(c) for n, c in counts.items()})
@@ -340,26 +369,38 @@ class PriceBook:
                 (wide.cast("decimal(31,0)") * unit).cast(MONEY),
             )
         )
+        total_input = input_tokens + cache_read_tokens + cache_creation_tokens
+        countable = (
+            (input_tokens >= 0) & (cache_read_tokens >= 0) & (cache_creation_tokens >= 0)
+        )
         out = (
             df.withColumn(step["name"], canonical(model))
             .withColumns({c: F.substring_index(name.whole, "-", n) for n, c in counts.items()})
-            .withColumn(step["base"], self._base_price(name))
+            .withColumn(step["unpriced"], unpriced_family(name))
         )
-        if long_context:
-            total_input = input_tokens + cache_read_tokens + cache_creation_tokens
-            countable = (
-                (input_tokens >= 0) & (cache_read_tokens >= 0) & (cache_creation_tokens >= 0)
-            )
-            tier = F.when(countable, self._tier_price(name, total_input))
-            out = out.withColumn(step["tier"], tier).withColumn(
-                step["rate"], F.coalesce(step["tier"], step["base"])
+        unpriced = F.col(step["unpriced"])
+        found = {step["prefix"]: longest_prefix(name, builtin_models())}
+        base = self._base_price(name, F.col(step["prefix"]), unpriced)
+        if long_context is not False:
+            if isinstance(long_context, Column):
+                countable = countable & long_context
+            mine = {f"__{target}_own{i}": r for i, r in enumerate(self._own_rules(name))}
+            own = [F.col(c) for c in mine]
+            tier = self._tier_price(
+                name, own, F.col(step["rule"]), unpriced, F.col(step["total"])
             )
+            found |= {
+                **mine,
+                step["rule"]: self._builtin_rule(name),
+                step["total"]: F.when(countable, total_input),
+            }
+            out = out.withColumns(found).withColumn(step["rate"], F.coalesce(tier, base))
         else:
-            out = out.withColumn(step["rate"], F.col(step["base"]))
+            out = out.withColumns(found).withColumn(step["rate"], base)
         return (
             out.withColumn(step["quick"], quick)
             .withColumn(target, amount)
-            .drop(*step.values(), *counts.values())
+            .drop(*step.values(), *counts.values(), *found)
         )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from meterstone.functions.fixed_prices import SYNTHETIC
 from meterstone.functions.pricebook import BUILTIN, PriceBook
 from meterstone.functions.text import clean_prompt, nonempty
-from meterstone.functions.timebucket import local_date, local_hour
+from meterstone.functions.timebucket import with_local_bucket
 from meterstone.operators.chunked import running
 from meterstone.schemas import EVENTS
 from meterstone.sources.logs import below, project_dir, session_id_a
@@ -180,17 +180,12 @@ def events_a(parsed: DataFrame, as_of: date, book: PriceBook = BUILTIN) -> DataF
     """Canonical events of parsed agent-A lines. ``as_of`` is the day of replies without a time."""
     reply = F.col("kind") == "reply"
     undated = F.col("usage_date").isNull()
-    rows = (
-        with_bucket_model(parsed.filter(F.col("kind") != "other"))
-        .withColumns(
-            {"usage_date": local_date(F.col("ts_text")), "usage_hour": local_hour(F.col("ts_text"))}
-        )
-        .withColumns(
-            {
-                "usage_hour": F.when(reply & undated, F.lit(0)).otherwise(F.col("usage_hour")),
-                "usage_date": F.when(reply & undated, F.lit(as_of)).otherwise(F.col("usage_date")),
-            }
-        )
+    booked = with_bucket_model(parsed.filter(F.col("kind") != "other"))
+    rows = with_local_bucket(booked, "ts_text").withColumns(
+        {
+            "usage_hour": F.when(reply & undated, F.lit(0)).otherwise(F.col("usage_hour")),
+            "usage_date": F.when(reply & undated, F.lit(as_of)).otherwise(F.col("usage_date")),
+        }
     )
     priced = book.with_cost(
         surviving_events(rows),

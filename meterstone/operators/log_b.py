@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from meterstone.functions.pricebook import BUILTIN, PriceBook
 from meterstone.functions.text import clean_message, nonempty
-from meterstone.functions.timebucket import local_date, local_hour
-from meterstone.schemas import EVENTS, LOG_FILES
+from meterstone.functions.timebucket import with_local_bucket
+from meterstone.schemas import EVENTS, LOG_FILES, MONEY
 from meterstone.sources.logs import file_stem
 
 AGENT = "codex"
@@ -199,8 +199,15 @@ def fresh_input(side: str) -> Column:
     return F.greatest(F.col(f"raw_{side}") - F.col(f"cached_{side}"), F.lit(0))
 
 
-def with_request_cost(df: DataFrame, book: PriceBook) -> DataFrame:
-    """``request_cost`` of the single request a token report describes, else NULL."""
+STEPS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens"]
+
+
+def with_step_cost(df: DataFrame, book: PriceBook) -> DataFrame:
+    """Price the single request a token report describes, else the step of the counters.
+
+    Only a described request has a size that request-size rates can apply to. A
+    step that nowhere goes up is free even if the model has no price.
+    """
     request = F.col("request")
 
     def part(key: str) -> Column:
@@ -209,24 +216,29 @@ def with_request_cost(df: DataFrame, book: PriceBook) -> DataFrame:
     known = F.lit(False)
     for key in ("input_tokens", "output_tokens", "cached_input_tokens"):
         known = known | F.map_contains_key(request, key)
-    counts = df.withColumns(
-        {
-            "described": F.coalesce(known, F.lit(False)),
-            "request_in": F.greatest(
-                part("input_tokens") - part("cached_input_tokens"), F.lit(0)
-            ),
-            "request_out": part("output_tokens"),
-            "request_read": part("cached_input_tokens"),
-            "request_write": part("cache_creation_input_tokens"),
-        }
+    described = F.col("described")
+    cached = part("cached_input_tokens")
+    counts = {
+        "input_tokens": F.greatest(part("input_tokens") - cached, F.lit(0)),
+        "output_tokens": part("output_tokens"),
+        "cache_read_tokens": cached,
+        "cache_creation_tokens": part("cache_creation_input_tokens"),
+    }
+    basis = df.withColumn("described", F.coalesce(known, F.lit(False))).withColumns(
+        {f"priced_{c}": F.when(described, counts[c]).otherwise(F.col(c)) for c in STEPS}
     )
-    names = ["request_in", "request_out", "request_read", "request_write"]
     priced = book.with_cost(
-        counts, "request_cost", F.col("model"), *[F.col(c) for c in names]
+        basis,
+        "basis_cost",
+        F.col("model"),
+        *[F.col(f"priced_{c}") for c in STEPS],
+        long_context=described,
     )
-    return priced.withColumn(
-        "request_cost", F.when(F.col("described"), F.col("request_cost"))
-    ).drop("described", *names)
+    idle = F.lit(True)
+    for c in STEPS:
+        idle = idle & (F.col(c) <= 0)
+    cost = F.coalesce(F.col("basis_cost"), F.when(idle, F.lit(0).cast(MONEY)))
+    return priced.withColumn("cost_micro", cost)
 
 
 def events_b(resolved: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
@@ -242,27 +254,17 @@ def events_b(resolved: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     stepped = resolved.filter(
         ~F.col("replay") & F.col("kind").isin("user", "agent", "tokens")
-    ).withColumns({name: F.when(tokens, step).otherwise(zero) for name, step in steps.items()})
+    ).withColumns({c: F.when(tokens, steps[c]).otherwise(zero) for c in STEPS})
     moved = F.lit(False)
-    for name in steps:
-        moved = moved | (F.col(name) != 0)
-    by_request = with_request_cost(stepped.filter(~tokens | moved), book)
-    by_step = book.with_cost(
-        by_request,
-        "step_cost",
-        F.col("model"),
-        *[F.col(name) for name in steps],
-        long_context=False,
-    )
+    for c in STEPS:
+        moved = moved | (F.col(c) != 0)
     return (
-        by_step.withColumns(
+        with_local_bucket(with_step_cost(stepped.filter(~tokens | moved), book), "ts_text")
+        .withColumns(
             {
                 "agent_type": F.lit(AGENT),
-                "usage_date": local_date(F.col("ts_text")),
-                "usage_hour": local_hour(F.col("ts_text")),
                 "message_count": F.when(tokens, zero).otherwise(F.lit(1)),
                 "user_turns": F.when(turn, F.lit(1)).otherwise(zero),
-                "cost_micro": F.coalesce("request_cost", "step_cost"),
             }
         )
         .select(*EVENTS.fieldNames())

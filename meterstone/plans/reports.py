@@ -488,14 +488,21 @@ def period_rows(usage: DataFrame, as_of: date, kinds: tuple[str, ...] = PERIODS)
 
 
 def compare_periods(rows: DataFrame) -> DataFrame:
-    """Put the previous period beside the current one (six rows at most)."""
-    now = rows.filter(F.col("back") == 0)
-    keep = ["period", USD, "unknown_cost_count"]
-    then = rows.filter(F.col("back") == 1).select(
-        "period", F.col(USD).alias("prev_cost_usd"), F.col(keep[2]).alias("prev_unknown_count")
-    )
-    return now.join(F.broadcast(then), "period").withColumns(
-        delta_columns(USD, "unknown_cost_count", "prev_cost_usd", "prev_unknown_count")
+    """Put the previous period beside the current one: a pivot, so the facts are summed once."""
+
+    def at(back: int, name: str) -> Column:
+        return F.max(F.when(F.col("back") == back, F.col(name)))
+
+    kept = [c for c in rows.columns if c not in ("period", "back")]
+    return (
+        rows.groupBy("period")
+        .agg(
+            *[at(0, c).alias(c) for c in kept],
+            at(1, USD).alias("prev_cost_usd"),
+            at(1, "unknown_cost_count").alias("prev_unknown_count"),
+        )
+        .withColumns(delta_columns(USD, "unknown_cost_count", "prev_cost_usd", "prev_unknown_count"))
+        .orderBy("position")
     )
 
 

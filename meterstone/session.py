@@ -13,6 +13,9 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    # The JVM does not compile methods beyond 8000 bytes of code; a stage that
+    # would need one runs operator by operator instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -255,7 +255,7 @@ def model_query(spark, sf):
 
 
 def events_of_a(spark, sf):
-    return log_a.events_a(log_a.parse_lines(lines_a(requests(spark, sf))), AS_OF)
+    return log_a.events_a(cut_lineage(log_a.parse_lines(lines_a(requests(spark, sf)))), AS_OF)
 
 
 @query(
@@ -297,7 +297,7 @@ def snapshot_query(spark, sf):
 
 
 def state_of_b(spark, sf):
-    return log_b.resolve_state(log_b.parse_lines(lines_b(requests(spark, sf))))
+    return log_b.resolve_state(cut_lineage(log_b.parse_lines(lines_b(requests(spark, sf)))))
 
 
 def session_of_b(path):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meterstone.operators.usage import preferred_model, real_model
+from meterstone.operators.usage import preferred_model, real_model, usage_source
 from meterstone.plans import reports as R
 from meterstone.schemas import COUNTERS, SESSION_KEY
 from suite.queries import query
@@ -45,7 +45,9 @@ def sql(body: str) -> str:
               "CAST(user_turns AS BIGINT) AS user_turns, input"),
 )
 def usage_source_query(spark, sf):
-    return R.publish(source(spark, sf).select(*SOURCE_COLUMNS))
+    """U1 with its anti join: these sessions carry no flag."""
+    rows = requests(spark, sf)
+    return R.publish(usage_source(buckets(rows), sessions(rows)).select(*SOURCE_COLUMNS))
 
 
 @query(

@@ -168,9 +168,9 @@ def stored_sessions(rows: DataFrame) -> DataFrame:
 
 
 def source(spark: SparkSession, sf: str, book: PriceBook = BUILTIN) -> DataFrame:
-    """The usage source every report reads."""
+    """The usage source every report reads, with sessions as the session table holds them."""
     rows = requests(spark, sf, book)
-    return usage_source(buckets(rows), sessions(rows)).select(*COLUMNS)
+    return usage_source(buckets(rows), stored_sessions(rows)).select(*COLUMNS)
 
 
 # ── JSON logs ────────────────────────────────────────────────────────────
