@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterstone.functions.pricebook import BUILTIN, PriceBook
+from meterstone.functions.pricebook import BUILTIN, PriceBook, constant
 from meterstone.functions.text import clean_message, nonempty
 from meterstone.functions.timebucket import with_local_bucket
 from meterstone.schemas import EVENTS, LOG_FILES, MONEY
@@ -38,7 +38,7 @@ COUNTERS = list(READINGS)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """One narrow row per line; broken lines stay as rows without any value."""
+    """One narrow row per line; broken lines stay as rows without any value."""
     e = F.col("e")
     payload = e["payload"]
     meta = e["type"] == "session_meta"
@@ -69,7 +69,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         .when(said.startswith("{"), as_map["payload"]["message"].isNull())
         .otherwise(F.lit(True))
     )
-    return lines.withColumn("e", F.from_json("value", ENTRY)).select(
+    parsed = lines.withColumn("e", F.from_json("value", ENTRY)).select(
         "file_path",
         "modified",
         "chunk",
@@ -85,6 +85,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         *[F.when(tokens, total[source]).alias(name) for name, source in READINGS.items()],
         F.when(tokens, payload["info"]["last_token_usage"]).alias("request"),
     )
+    return with_local_bucket(parsed, "ts_text")
 
 
 def resolve_state(rows: DataFrame) -> DataFrame:
@@ -213,9 +214,8 @@ def with_step_cost(df: DataFrame, book: PriceBook) -> DataFrame:
     def part(key: str) -> Column:
         return F.coalesce(F.try_element_at(request, F.lit(key)).try_cast("bigint"), F.lit(0))
 
-    known = F.lit(False)
-    for key in ("input_tokens", "output_tokens", "cached_input_tokens"):
-        known = known | F.map_contains_key(request, key)
+    telling = constant(["input_tokens", "output_tokens", "cached_input_tokens"], "array<string>")
+    known = F.arrays_overlap(F.map_keys(request), telling)
     described = F.col("described")
     cached = part("cached_input_tokens")
     counts = {
@@ -259,7 +259,7 @@ def events_b(resolved: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
     for c in STEPS:
         moved = moved | (F.col(c) != 0)
     return (
-        with_local_bucket(with_step_cost(stepped.filter(~tokens | moved), book), "ts_text")
+        with_step_cost(stepped.filter(~tokens | moved), book)
         .withColumns(
             {
                 "agent_type": F.lit(AGENT),

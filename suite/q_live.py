@@ -206,8 +206,8 @@ def stream_delta_query(spark, sf):
         F.lit("codex").alias("agent_type"),
         F.regexp_extract("file_path", r"rollout-([^/]+)\.jsonl$", 1).alias("session_id"),
         F.col("pos").alias("seq"),
-        F.to_date(F.left("ts_text", F.lit(10))).alias("usage_date"),
-        F.substring("ts_text", 12, 2).cast("int").alias("usage_hour"),
+        "usage_date",
+        "usage_hour",
         "kind",
         "meta_id",
         "meta_forked",
