@@ -3,8 +3,8 @@
 A book is configuration: tens of rules, never data. It becomes constant maps
 inside the generated code of the scan stage, so pricing a request needs no join,
 no broadcast and no shuffle, whatever the number of distinct models in the facts.
-Books with more rules than ``INLINE_LIMIT`` are priced through the model
-dimension of ``operators.pricing`` instead.
+A user's list of more than ``INLINE_LIMIT`` model prices is joined by name
+instead, because constant maps are searched entry by entry.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from meterstone.functions.fixed_prices import (
 from meterstone.schemas import MONEY, PRICE, PRICES_TYPE, TOKENS
 
 INLINE_LIMIT = 300
+BROADCAST_LIMIT = 50_000
 RULES_VERSION = 1
 MICRO = Decimal("0.000001")
 
@@ -222,11 +223,15 @@ class PriceBook:
         name = Name.of(model)
         return self._base_price(name, longest_prefix(name, builtin_models()), unpriced_family(name))
 
-    def _base_price(self, name: Name, prefix: Column, unpriced: Column) -> Column:
+    def _base_price(
+        self, name: Name, prefix: Column, unpriced: Column, own_price: Column | None = None
+    ) -> Column:
         builtin = {m: price_value(p) for m, p in builtin_models().items()}
         inherited = F.try_element_at(constant(builtin, f"map<string,{PRICES_DDL}>"), prefix)
         free = constant(price_value(as_prices((0, 0, 0, 0))), PRICES_DDL)
         price = F.when(name.whole == SYNTHETIC, free).when(~unpriced, inherited)
+        if own_price is not None:
+            return F.coalesce(own_price, price)
         if not self.models:
             return price
         own = {m: price_value(p) for m, p in self.models.items() if m != SYNTHETIC}
@@ -304,6 +309,15 @@ class PriceBook:
             names += [prefix, *excluded]
         return list(by_part_count(names))
 
+    def _own_prices(self, df: DataFrame, step: dict[str, str]) -> DataFrame:
+        """The user's model prices as rows; broadcast up to a checked number."""
+        rows = [
+            (m, tuple(price_value(p).values())) for m, p in self.models.items() if m != SYNTHETIC
+        ]
+        ddl = f"{step['name']} string, {step['own']} {PRICES_DDL}"
+        frame = df.sparkSession.createDataFrame(rows, ddl)
+        return F.broadcast(frame) if len(rows) <= BROADCAST_LIMIT else frame
+
     def with_cost(
         self,
         df: DataFrame,
@@ -328,7 +342,7 @@ class PriceBook:
         """
         step = {
             k: f"__{target}_{k}"
-            for k in ("name", "unpriced", "prefix", "rule", "total", "rate", "quick")
+            for k in ("name", "own", "unpriced", "prefix", "rule", "total", "rate", "quick")
         }
         counts = {n: f"__{target}_first{n}" for n in self.part_counts()}
         name = Name(F.col(step["name"]), {n: F.col(c) for n, c in counts.items()})
@@ -379,8 +393,12 @@ class PriceBook:
             .withColumn(step["unpriced"], unpriced_family(name))
         )
         unpriced = F.col(step["unpriced"])
+        own_price = None
+        if len(self.models) > INLINE_LIMIT:
+            out = out.join(self._own_prices(df, step), step["name"], "left")
+            own_price = F.col(step["own"])
         found = {step["prefix"]: longest_prefix(name, builtin_models())}
-        base = self._base_price(name, F.col(step["prefix"]), unpriced)
+        base = self._base_price(name, F.col(step["prefix"]), unpriced, own_price)
         if long_context is not False:
             if isinstance(long_context, Column):
                 countable = countable & long_context

@@ -13,7 +13,7 @@ from meterstone.functions.fixed_prices import (
     builtin_tiers,
 )
 from meterstone.functions.measures import poisoned_cost
-from meterstone.functions.pricebook import INLINE_LIMIT, PriceBook, canonical
+from meterstone.functions.pricebook import BROADCAST_LIMIT, PriceBook, canonical
 from meterstone.functions.text import dash_prefixes
 from meterstone.schemas import PRICE, SESSION_KEY, TOKEN_COLS
 
@@ -85,8 +85,8 @@ def model_dimension(models: DataFrame, book: PriceBook) -> DataFrame:
     """P2, P3 as joins: one row per distinct model with its base price.
 
     Every model is exploded into its dash prefixes, which turns prefix matching
-    into an equi-join; the longest match wins. For books too large to compile
-    into the scan.
+    into an equi-join; the longest match wins. One row per model, for lists
+    and look-ups outside a scan.
     """
     spark = models.sparkSession
     named = models.select("model").distinct().withColumn("name", canonical(F.col("model")))
@@ -108,7 +108,7 @@ def model_dimension(models: DataFrame, book: PriceBook) -> DataFrame:
         F.col("model").alias("name"), F.struct(*PRICE_COLS).alias("own")
     )
     # The user's rules are checked before they are broadcast; a longer list is shuffled.
-    own = F.broadcast(own) if book.rule_count <= INLINE_LIMIT else own
+    own = F.broadcast(own) if len(book.models) <= BROADCAST_LIMIT else own
     free = F.struct(*[F.lit(0).cast(PRICE).alias(c) for c in PRICE_COLS])
     price = (
         F.when(F.col("name") == SYNTHETIC, free)

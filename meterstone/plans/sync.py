@@ -29,8 +29,8 @@ class SyncResult:
 
 def reprice(store: TableStore, book: PriceBook) -> None:
     """Bring stored costs to the current book."""
-    usage = cut_lineage(reprice_usage(store.usage(), book))
-    sessions = cut_lineage(reprice_sessions(store.sessions(), usage, book))
+    usage = cut_lineage(reprice_usage(store.usage(), book), required=True)
+    sessions = cut_lineage(reprice_sessions(store.sessions(), usage, book), required=True)
     store.overwrite(usage, sessions)
 
 

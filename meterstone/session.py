@@ -29,18 +29,22 @@ def build_session(app: str = "meterstone", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, required: bool = False) -> DataFrame:
     """Checkpoint ``df`` in the folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session. Only a local session that
     names none gets a temporary folder; on a cluster without the setting the
-    frame is returned as it is, which is right but computes twice.
+    frame is returned as it is, which is right but computes twice. Where a table
+    is about to be overwritten by what is read from it, that would not be right:
+    there the cut is ``required``.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and context.master.startswith("local"):
         folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="meterstone-cp-")
+    if not folder and required:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
     if not folder:
         return df
     if not context.getCheckpointDir():

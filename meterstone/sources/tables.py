@@ -61,7 +61,7 @@ class TableStore:
     def put_setting(self, key: str, value: str) -> None:
         rest = self._read("settings", SETTINGS).filter(F.col("key") != key)
         new = self.spark.createDataFrame([(key, value)], SETTINGS)
-        cut_lineage(rest.unionByName(new)).coalesce(1).write.mode("overwrite").parquet(
+        cut_lineage(rest.unionByName(new), required=True).coalesce(1).write.mode("overwrite").parquet(
             self.path("settings")
         )
 
@@ -145,4 +145,4 @@ class TableStore:
         self._write_sessions(sessions)
 
     def put_manifest(self, rows: DataFrame) -> None:
-        cut_lineage(rows).write.mode("overwrite").parquet(self.path("manifest"))
+        cut_lineage(rows, required=True).write.mode("overwrite").parquet(self.path("manifest"))

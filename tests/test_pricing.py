@@ -100,6 +100,18 @@ def test_user_rules(spark):
     ]
 
 
+def test_long_price_list_is_joined(spark, monkeypatch):
+    book = PriceBook.of(models={"house": (1, 2, 3, 4), "gpt-5.4": (9, 9, 9, 9), "<synthetic>": (5, 5, 5, 5)})
+    rows = [
+        ("house", 10**6, 0, 0, 0, 0), ("gpt-5.4", 10**6, 0, 0, 0, 0), ("gpt-5.4-x", 100, 0, 0, 0, 0),
+        ("<synthetic>", 10**6, 0, 0, 0, 0), ("nobody", 1, 0, 0, 0, 0),
+    ]
+    inline = costs(spark, rows, book, long_context=False)
+    monkeypatch.setattr("meterstone.functions.pricebook.INLINE_LIMIT", 1)
+    assert costs(spark, rows, book, long_context=False) == inline
+    assert inline == [1.0, 9.0, pytest.approx(0.00025), 0.0, None]
+
+
 def prefix_price(model):
     """Longest-prefix lookup spelled out, to compare the expressions with."""
     if model == "<synthetic>":
