@@ -92,7 +92,8 @@ def resolve_state(rows: DataFrame) -> DataFrame:
     """Current model, replay flag and counters before and after every row.
 
     Adds ``model``, ``replay`` and for each counter ``<c>_now`` and ``<c>_prev``:
-    the newest reading less the fork baseline, floored at zero.
+    the newest reading less the fork baseline, floored at zero. ``base`` is the
+    baseline of the log, NULL before its first turn context.
 
     The baseline of a forked log is what the replayed part had counted when the
     first turn context ended it. A counter the fork has not reported yet thus
@@ -192,6 +193,7 @@ def resolve_state(rows: DataFrame) -> DataFrame:
         (forked & ~seen_context).alias("replay"),
         *[counted(c, "here").alias(f"{c}_now") for c in COUNTERS],
         *[counted(c, "before").alias(f"{c}_prev") for c in COUNTERS],
+        "base",
     )
 
 

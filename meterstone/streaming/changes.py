@@ -1,10 +1,10 @@
-"""Stateful change streams over session events (L1-L3).
+"""Message snapshots as a stream of signed changes (L1, L2).
 
 Input contract (L1): every event is one immutable record with its session and a
 sequence number; records of a session arrive in sequence, in any batch split.
 
-Both operators turn state into signed change rows in append mode. Their sum per
-bucket is what the batch operators compute, so a sink only has to add up.
+State becomes signed change rows in append mode. Their sum per bucket is what
+the batch operator computes, so a sink only has to add up.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from meterstone.functions.measures import poisoned_cost
 from meterstone.functions.pricebook import BUILTIN, PriceBook
-from meterstone.schemas import COUNTERS, TOKEN_COLS
+from meterstone.schemas import TOKEN_COLS
 
 PLACE = ["usage_date", "usage_hour", "model"]
 
@@ -78,149 +78,27 @@ class SnapshotChanges(StatefulProcessor):
         pass
 
 
+def newest_of_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keep one row per message of each Arrow batch."""
+    for frame in frames:
+        newest = frame.groupby(["agent_type", "session_id", "msg_id"], sort=False)["seq"].idxmax()
+        yield frame.loc[newest]
+
+
 def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     """L2: signed usage rows from a stream of message snapshots.
 
     Keyed by message, not by session: a busy session spreads over the cluster.
-    Needs ``agent_type, session_id, msg_id, seq``, the bucket and the tokens.
+    Repeats of a message are dropped before the shuffle. Needs ``agent_type,
+    session_id, msg_id, seq``, the bucket and the tokens.
     """
-    return snapshots.groupBy("agent_type", "session_id", "msg_id").transformWithStateInPandas(
+    names = ["agent_type", "session_id", "msg_id", "seq", *PLACE, *TOKEN_COLS]
+    rows = snapshots.select(*names)
+    return rows.mapInPandas(newest_of_batch, rows.schema).groupBy("agent_type", "session_id", "msg_id").transformWithStateInPandas(
         SnapshotChanges(), CHANGE, "append", "none"
     )
 
 
-READINGS = ["raw", "cached", "out", "create"]
-
-COUNTER_STATE = T.StructType(
-    [
-        *[T.StructField(c, T.LongType()) for c in READINGS],
-        *[T.StructField(f"base_{c}", T.LongType()) for c in READINGS],
-        T.StructField("identified", T.BooleanType()),
-        T.StructField("forked", T.BooleanType()),
-        T.StructField("opened", T.BooleanType()),
-        T.StructField("model", T.StringType()),
-    ]
-)
-FRESH = (0, 0, 0, 0, 0, 0, 0, 0, False, False, False, "")
-
-STEP = T.StructType(
-    [
-        T.StructField("agent_type", T.StringType()),
-        T.StructField("session_id", T.StringType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("usage_date", T.DateType()),
-        T.StructField("usage_hour", T.IntegerType()),
-        T.StructField("model", T.StringType()),
-        *[T.StructField(c, T.LongType()) for c in COUNTERS],
-    ]
-)
-
-
-def counted(readings: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-    """Readings less the baseline as input, output and cache counters."""
-    net = (readings - base).clip(lower=0)
-    return pd.DataFrame(
-        {
-            "input_tokens": (net["raw"] - net["cached"]).clip(lower=0),
-            "output_tokens": net["out"],
-            "cache_read_tokens": net["cached"],
-            "cache_creation_tokens": net["create"],
-        }
-    )
-
-
-class CounterSteps(StatefulProcessor):
-    """L3: cumulative counters of one session to steps, with the fork baseline.
-
-    State is a dozen numbers per session. A batch holds at most what the source
-    admits per trigger; its rows are put in sequence here.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("counters", COUNTER_STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        held = dict(
-            zip(
-                COUNTER_STATE.fieldNames(),
-                self.state.get() if self.state.exists() else FRESH,
-            )
-        )
-        frame = pd.concat(list(rows)).sort_values("seq").reset_index(drop=True)
-        kind = frame["kind"]
-
-        # The first meta line with an id settles the fork flag, until then the newest does.
-        meta = frame["meta_forked"].where(kind == "meta")
-        settled = meta.where(frame["meta_id"].notna() & (kind == "meta")).bfill()
-        first = settled.iloc[0] if len(settled) and settled.notna().any() else None
-        has_id = (frame["meta_id"].notna() & (kind == "meta")).cummax() | held["identified"]
-        flag = meta.ffill().fillna(held["forked"]).astype(bool)
-        if held["identified"]:
-            flag = pd.Series(held["forked"], index=frame.index)
-        elif first is not None:
-            flag = flag.where(~has_id, bool(first))
-
-        context = kind == "context"
-        opened = context.cummax() | held["opened"]
-        readings = pd.DataFrame(
-            {c: frame[c].astype("Int64").ffill().fillna(held[c]).astype("int64") for c in READINGS}
-        )
-        base = {c: held[f"base_{c}"] for c in READINGS}
-        if not held["opened"] and context.any():
-            at = context.idxmax()
-            base = {c: int(readings[c][at]) if flag[at] else 0 for c in READINGS}
-        bases = pd.DataFrame({c: opened.astype("int64") * base[c] for c in READINGS})
-        before = readings.shift(1)
-        before.iloc[0] = [held[c] for c in READINGS]
-        now, then = counted(readings, bases), counted(before.astype("int64"), bases)
-
-        named = frame["ctx_model"].where(context & frame["ctx_model"].notna())
-        model = named.ffill().fillna(held["model"])
-        replay = flag & ~opened
-        is_tokens = kind == "tokens"
-        steps = (now - then).where(is_tokens, 0)
-        said = kind.isin(["user", "agent"])
-        keep = ~replay & (said | (is_tokens & steps.ne(0).any(axis=1)))
-        out = steps.assign(
-            agent_type=key[0],
-            session_id=key[1],
-            seq=frame["seq"],
-            usage_date=frame["usage_date"],
-            usage_hour=frame["usage_hour"],
-            model=model,
-            message_count=said.astype("int64"),
-            user_turns=(kind == "user").astype("int64"),
-        )[keep]
-
-        end = len(frame) - 1
-        self.state.update(
-            (
-                *[int(readings[c][end]) for c in READINGS],
-                *[int(base[c]) for c in READINGS],
-                bool(has_id[end]),
-                bool(flag[end]),
-                bool(opened[end]),
-                str(model[end]),
-            )
-        )
-        if len(out):
-            yield out[STEP.fieldNames()]
-
-    def close(self) -> None:
-        pass
-
-
-def counter_steps(events: DataFrame) -> DataFrame:
-    """L3: turns, messages and counter steps from a stream of parsed agent-B rows.
-
-    Needs ``agent_type, session_id, seq, usage_date, usage_hour`` and the parsed
-    columns ``kind, meta_id, meta_forked, ctx_model, raw, cached, out, create``.
-    """
-    return events.groupBy("agent_type", "session_id").transformWithStateInPandas(
-        CounterSteps(), STEP, "append", "none"
-    )
-
-
 def summed_changes(changes: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
     """Buckets from accumulated snapshot changes: a taken-back row is priced like the row it
     takes back, so the pair cancels out."""

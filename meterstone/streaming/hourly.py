@@ -69,6 +69,18 @@ def drain_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def run_available(stream: DataFrame, write, mode: str, folder: str) -> None:
+    """Feed everything available to a ``foreachBatch`` function."""
+    query = (
+        stream.writeStream.foreachBatch(write)
+        .outputMode(mode)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
 def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Run an update stream over everything available; the last version of each key stays.
 
@@ -82,14 +94,7 @@ def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    query = (
-        stream.writeStream.foreachBatch(write)
-        .outputMode("update")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    run_available(stream, write, "update", folder)
     rows = spark.read.parquet(f"{folder}/rows")
     rest = [f.name for f in stream.schema if f.name not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meterstone.functions.measures import dollars
+from meterstone.functions.measures import dollars, poisoned_cost
 from meterstone.operators import live as live_ops
 from meterstone.operators import log_b
 from meterstone.schemas import COUNTERS, TOKEN_COLS
-from meterstone.streaming.changes import counter_steps, snapshot_changes, summed_changes
+from meterstone.streaming.changes import snapshot_changes, summed_changes
 from meterstone.streaming.hourly import drain_append, drain_updates, hourly_usage, work_folder
+from meterstone.streaming.steps import drain_steps
 from suite.q_logs import LOGS_A, LOGS_B
 from suite.queries import query
 from suite.sqlbase import KNOWN, POISON, REQUESTS, SESSIONS, TOKENS, UNKNOWN, sums, tokens, usd
@@ -196,30 +197,26 @@ def stream_snapshot_query(spark, sf):
 @query(
     "l03_stream_delta",
     f"""WITH {LOGS_B} SELECT agent_type, session_id, CAST(usage_date AS VARCHAR) AS usage_date,
-    CAST(usage_hour AS BIGINT) AS usage_hour, model, {sums()} FROM eb GROUP BY agent_type,
-    session_id, eb.usage_date, eb.usage_hour, model""",
+    CAST(usage_hour AS BIGINT) AS usage_hour, model, {sums()}, {usd(POISON)} AS cost_usd
+    FROM eb GROUP BY agent_type, session_id, eb.usage_date, eb.usage_hour, model""",
 )
 def stream_delta_query(spark, sf):
     """L3: parsed agent-B rows as a stream; its steps summed per bucket."""
-    parsed = log_b.parse_lines(lines_b(requests(spark, sf)))
-    rows = parsed.select(
-        F.lit("codex").alias("agent_type"),
-        F.regexp_extract("file_path", r"rollout-([^/]+)\.jsonl$", 1).alias("session_id"),
-        F.col("pos").alias("seq"),
-        "usage_date",
-        "usage_hour",
-        "kind",
-        "meta_id",
-        "meta_forked",
-        "ctx_model",
-        *log_b.COUNTERS,
-    )
+    rows = log_b.parse_lines(lines_b(requests(spark, sf)))
     folder = work_folder(spark, "parsed")
     rows.write.parquet(folder)
     stream = spark.readStream.schema(rows.schema).parquet(folder)
-    steps = drain_append(counter_steps(stream), "steps")
-    return steps.groupBy(*KEYS, "usage_date", "usage_hour", "model").agg(
-        *[F.sum(c).alias(c) for c in COUNTERS]
+    session = F.regexp_extract("file_path", r"rollout-([^/]+)\.jsonl$", 1)
+    keys = ["agent_type", session.alias("session_id"), "usage_date", "usage_hour", "model"]
+    return (
+        drain_steps(stream)
+        .groupBy(*keys)
+        .agg(
+            *[F.sum(c).alias(c) for c in COUNTERS],
+            poisoned_cost(F.col("cost_micro")).alias("cost_micro"),
+        )
+        .withColumn("cost_usd", dollars(F.col("cost_micro")))
+        .drop("cost_micro")
     )
 
 

@@ -7,8 +7,9 @@ from logs import context, event, meta, tokens, total
 from meterstone.operators import log_b
 from meterstone.schemas import COUNTERS, TOKEN_COLS
 from meterstone.sources.logs import read_agent_b
-from meterstone.streaming.changes import counter_steps, snapshot_changes, summed_changes
+from meterstone.streaming.changes import snapshot_changes, summed_changes
 from meterstone.streaming.hourly import drain_append, drain_updates, hourly_usage
+from meterstone.streaming.steps import drain_steps
 
 DAY = date(2026, 4, 20)
 
@@ -78,27 +79,17 @@ def test_steps_equal_batch_whatever_the_batches(spark, tmp_path, write_log):
         write_log(root / f"rollout-{name}.jsonl", entries)
     parsed = log_b.parse_lines(read_agent_b(spark, str(root)))
     batch = log_b.events_b(log_b.resolve_state(parsed))
-    session = F.regexp_extract("file_path", r"rollout-([^/]+)\.jsonl$", 1)
-    keys = ["session_id", "model"]
-    want = batch.groupBy(session.alias("session_id"), "model").agg(
-        *[F.sum(c).alias(c) for c in COUNTERS]
+    keys = ["file_path", "usage_date", "usage_hour", "model"]
+    sums = [*[F.sum(c).alias(c) for c in COUNTERS], F.sum("cost_micro").alias("cost")]
+    want = sorted(map(str, batch.groupBy(*keys).agg(*sums).collect()))
+    line = F.expr("row_number() over (partition by file_path order by chunk, pos)").cast("long")
+    rows = parsed.withColumn("pos", line).withColumns(
+        {"seq": F.col("pos"), "chunk": F.floor(F.col("pos") / 10)}
     )
-    rows = parsed.select(
-        F.lit("codex").alias("agent_type"),
-        session.alias("session_id"),
-        F.expr("row_number() over (partition by file_path order by chunk, pos)")
-        .cast("long")
-        .alias("seq"),
-        F.lit(DAY).alias("usage_date"),
-        F.lit(10).alias("usage_hour"),
-        "kind", "meta_id", "meta_forked", "ctx_model", *log_b.COUNTERS,
-    )
-    expected = sorted(tuple(r) for r in want.select(*keys, *COUNTERS).collect())
     for step in (7, 100):
-        stream = in_batches(spark, rows, str(tmp_path / f"in{step}"), step)
-        steps = drain_append(counter_steps(stream), "steps")
-        got = steps.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTERS])
-        assert sorted(tuple(r) for r in got.select(*keys, *COUNTERS).collect()) == expected
+        stream = in_batches(spark, rows, str(tmp_path / f"in{step}"), step).drop("seq")
+        got = drain_steps(stream).groupBy(*keys).agg(*sums)
+        assert sorted(map(str, got.collect())) == want
 
 
 def test_hourly(spark, tmp_path):
