@@ -624,9 +624,9 @@ def folded_models(
 
 def peak_bucket(series: DataFrame) -> DataFrame:
     """The dearest bucket; without any cost the first one with unknown cost."""
-    unknown = F.col("unknown_cost_count") > 0
+    telling = (F.col("cost") <= 0) & (F.col("unknown_cost_count") > 0)
     return series.orderBy(
-        F.col("cost").desc(), F.when(unknown, 0).otherwise(1), "position"
+        F.col("cost").desc(), F.when(telling, 0).otherwise(1), "position"
     ).limit(1)
 
 

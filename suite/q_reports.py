@@ -459,7 +459,7 @@ def fold_query(spark, sf):
     "r23_peak",
     sql(
         f"SELECT * FROM ({HEAT_DAY}) x ORDER BY cost DESC, "
-        f"CASE WHEN unknown_cost_count > 0 THEN 0 ELSE 1 END, position LIMIT 1"
+        f"CASE WHEN cost <= 0 AND unknown_cost_count > 0 THEN 0 ELSE 1 END, position LIMIT 1"
     ),
 )
 def peak_query(spark, sf):

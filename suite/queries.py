@@ -17,6 +17,9 @@ def query(name: str, sql: str | None = None):
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf: str) -> DataFrame:
+            # Log times carry an offset; the oracles read them as UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
             return plain(fn(spark, sf))
 
         run.__doc__ = fn.__doc__

@@ -135,6 +135,14 @@ def test_cross_day_session(spark):
     assert [r.session_count for r in month] == [0, 0, 0, 1, 0]
 
 
+def test_peak(spark):
+    ddl = "position int, cost double, unknown_cost_count long"
+    known = spark.createDataFrame([(0, 1.0, 0), (1, 2.0, 0), (2, 2.0, 3)], ddl)
+    assert R.peak_bucket(known).first().position == 1
+    unknown = spark.createDataFrame([(0, 0.0, 0), (1, 0.0, 2), (2, 0.0, 3)], ddl)
+    assert R.peak_bucket(unknown).first().position == 1
+
+
 def test_no_data(spark):
     usage = usage_frame(spark, [])
     assert R.totals(usage, DAY, DAY).first().estimated_cost_usd == 0
