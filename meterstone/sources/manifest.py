@@ -7,6 +7,8 @@ truncated and rewritten files.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +60,11 @@ def update_manifest(manifest: DataFrame, seen: DataFrame) -> DataFrame:
     return kept.select(*STAMP).unionByName(seen.select(*STAMP))
 
 
+def literal_path(path: str) -> str:
+    """A path whose pattern characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def forget(manifest: DataFrame, prefix: str) -> DataFrame:
     """Drop every entry below a path, so that it is read again."""
     return manifest.filter(~F.col("file_path").startswith(prefix))
@@ -76,7 +83,7 @@ def read_changed(
     if not paths:
         return read_lines(spark, root, glob).limit(0)
     if len(paths) <= limit:
-        return read_lines(spark, paths, glob)
+        return read_lines(spark, [literal_path(p) for p in paths], glob)
     # The bound excludes its own second, so it is set one second earlier.
     oldest = changed.agg(F.min("modified") - F.expr("INTERVAL 2 SECONDS")).first()[0]
     after = oldest.strftime("%Y-%m-%dT%H:%M:%S")

@@ -108,6 +108,16 @@ def test_many_changed_files_are_matched_on_the_cluster(spark, world, write_log):
     assert named.count() == matched.count() == read_agent_b(spark, str(b)).count() == 8
 
 
+def test_odd_file_names(spark, tmp_path, write_log):
+    root = tmp_path / "odd"
+    for name in ("p[1] a+b", "p{x,y}", "p*q", "p%20z"):
+        write_log(root / name / "rollout-1.jsonl", [event("user_message", message=name)])
+    listing = mf.list_files(spark, str(root), "rollout-*.jsonl", "v")
+    lines = mf.read_changed(spark, str(root), "rollout-*.jsonl", listing)
+    assert {r.file_path for r in lines.collect()} == {r.file_path for r in listing.collect()}
+    assert lines.count() == 4
+
+
 def test_price_change_reprices_requests(world):
     store, a, b = world
     go(store, a, b)
