@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,6 +95,34 @@ def steps_of_batch(
     return events_b(resolved.filter(F.col("chunk") > SEED_CHUNK), book), state_after(resolved)
 
 
+def newest_state(parts: DataFrame) -> DataFrame:
+    """The last state of every session over the batches that touched it."""
+    names = [c for c in STATE.fieldNames() if c != "file_path"]
+    newest = parts.groupBy("file_path").agg(F.max_by(F.struct(*names), "batch").alias("s"))
+    return newest.select("file_path", "s.*")
+
+
+def compact_state(spark: SparkSession, folder: str) -> None:
+    """Gather the state of old batches in one, while the stream is not running.
+
+    The last batch stays as it is: a restarted stream may repeat it and must
+    find what lay before it. The gathered rows are written before the old ones
+    are emptied, so stopping half-way leaves nothing wrong.
+    """
+    parts = spark.read.parquet(f"{folder}/state")
+    numbers = sorted(r.batch for r in parts.select("batch").distinct().collect())
+    if len(numbers) < 3:
+        return
+    target = numbers[-2]
+    gathered = newest_state(parts.filter(F.col("batch") <= target))
+    cut_lineage(gathered, required=True).write.mode("overwrite").parquet(
+        f"{folder}/state/batch={target}"
+    )
+    for number in numbers[:-2]:
+        bare = spark.createDataFrame([], STATE)
+        bare.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+
+
 def batch_writer(folder: str, book: PriceBook = BUILTIN) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that keeps events and state below ``folder``.
 
@@ -106,12 +134,7 @@ def batch_writer(folder: str, book: PriceBook = BUILTIN) -> Callable[[DataFrame,
         spark = batch.sparkSession
         try:
             parts = spark.read.parquet(f"{folder}/state")
-            earlier = parts.filter(F.col("batch") < number)
-            names = [c for c in STATE.fieldNames() if c != "file_path"]
-            newest = earlier.groupBy("file_path").agg(
-                F.max_by(F.struct(*names), "batch").alias("s")
-            )
-            state = newest.select("file_path", "s.*")
+            state = newest_state(parts.filter(F.col("batch") < number))
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise

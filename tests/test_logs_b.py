@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from logs import context, event, meta, tokens, total
@@ -188,3 +190,17 @@ def test_splits_give_the_same_result(spark, tmp_path, write_log):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert whole == split
+
+
+def test_only_chunk_summaries_meet_per_file(spark):
+    """Rows are shuffled by file and chunk; what is shuffled by file alone is already summed."""
+    parsed = spark.createDataFrame([], log_b.parse_lines(read_agent_b(spark, "/nowhere")).schema)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = log_b.resolve_state(parsed)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    lines = plan.splitlines()
+    alone = [n for n, text in enumerate(lines) if re.search(r"hashpartitioning\(file_path#\d+, \d", text)]
+    assert len(alone) == 1
+    assert "SortAggregate" in lines[alone[0] + 1]

@@ -9,7 +9,7 @@ from meterstone.schemas import COUNTERS, TOKEN_COLS
 from meterstone.sources.logs import read_agent_b
 from meterstone.streaming.changes import snapshot_changes, summed_changes
 from meterstone.streaming.hourly import drain_append, drain_updates, hourly_usage
-from meterstone.streaming.steps import drain_steps
+from meterstone.streaming.steps import batch_writer, compact_state, drain_steps
 
 DAY = date(2026, 4, 20)
 
@@ -92,6 +92,31 @@ def test_steps_equal_batch_whatever_the_batches(spark, tmp_path, write_log):
         assert sorted(map(str, got.collect())) == want
 
 
+def test_repeated_batches_and_compaction(spark, tmp_path, write_log):
+    entries = [meta("s", forked_from_id="p")]
+    for i in range(1, 13):
+        if i == 4:
+            entries.append(context("gpt-5.4"))
+        entries.append(event("user_message", message="m"))
+        entries.append(tokens(total(i * 100, i * 10, i)))
+    write_log(tmp_path / "logs" / "rollout-s.jsonl", entries)
+    parsed = log_b.parse_lines(read_agent_b(spark, str(tmp_path / "logs")))
+    line = F.expr("row_number() over (partition by file_path order by chunk, pos)").cast("long")
+    rows = parsed.withColumn("pos", line).checkpoint()
+    want = log_b.events_b(log_b.resolve_state(rows)).agg(*[F.sum(c) for c in COUNTERS]).first()
+    folder = str(tmp_path / "steps")
+    write = batch_writer(folder)
+    for number in range(4):
+        if number == 3:
+            compact_state(spark, folder)
+            write(rows.filter(F.floor(F.col("pos") / 7) == 2), 2)
+        write(rows.filter(F.floor(F.col("pos") / 7) == number), number)
+    events = spark.read.parquet(f"{folder}/events")
+    assert events.agg(*[F.sum(c) for c in COUNTERS]).first() == want
+    state = spark.read.parquet(f"{folder}/state")
+    assert {r.batch for r in state.select("batch").distinct().collect()} == {1, 2, 3}
+
+
 def test_hourly(spark, tmp_path):
     rows = [
         (1, datetime(2026, 4, 20, 10, 5), "codex", "m", 1, 1, 10, 1, 0, 0, None),
