@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterstone.llm.common import documents
+from meterstone.llm import oracles
+from meterstone.llm.common import bucket_of, documents
+from meterstone.llm.compression_quality import fit_quality, quality_score
+from meterstone.llm.cross_parse_language import fit_language, language
 from meterstone.llm.decontaminate import contaminated, decontaminate, n_hit
+from meterstone.llm.html_layout import visible_text
 from meterstone.llm.mixing import mix
-from meterstone.llm import oracles
+from meterstone.llm.weak_rules import judge
+
+
+def held_out(buckets: int, left_out: int) -> Column:
+    return F.coalesce(bucket_of(F.col("doc_id"), buckets) == left_out, F.lit(False))
+
+
+def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return visible_text(pages).select("page_id", "page.title", "page.text")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +44,50 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "votes",
+        "posterior",
+        "base_failed",
+        "kept",
+    )
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = fit_quality(
+        docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), bucket_of(F.col("id"), 3) != 1
+    )
+    return quality_score(docs, model).select(
+        "doc_id",
+        held_out(3, 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = fit_language(docs, bucket_of(F.col("id"), 4) != 2)
+    return language(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        held_out(4, 2).alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+    )
+
+
 QUERIES = {
+    "op4_html_layout": (op4_html_layout, None),
+    "op8_quality_rules": (op8_quality_rules, None),
+    "op9_quality_classifier": (op9_quality_classifier, None),
+    "op10_language": (op10_language, None),
     "op5_mixing": (op5_mixing, None),
     "op7_decontamination": (op7_decontamination, oracles.DECONTAMINATION),
 }
