@@ -9,6 +9,7 @@ from meterstone.llm import oracles
 from meterstone.llm.common import bucket_of, documents
 from meterstone.llm.compression_quality import fit_quality, quality_score
 from meterstone.llm.cross_parse_language import fit_language, language
+from meterstone.llm.context_pii import KINDS, find_pii
 from meterstone.llm.decontaminate import contaminated, decontaminate, n_hit
 from meterstone.llm.html_layout import visible_text
 from meterstone.llm.mixing import mix
@@ -28,6 +29,26 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def spelled(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))),
+        ",",
+    )
+
+
+def op6_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["base"])
+
+    def number_of(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(number_of, KINDS)
+    return find_pii(documents(spark, sf_dir)).select(
+        "doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans")
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(
         documents(spark, sf_dir).select("doc_id", "text"),
@@ -89,5 +110,6 @@ QUERIES = {
     "op9_quality_classifier": (op9_quality_classifier, None),
     "op10_language": (op10_language, None),
     "op5_mixing": (op5_mixing, None),
+    "op6_context_pii": (op6_context_pii, None),
     "op7_decontamination": (op7_decontamination, oracles.DECONTAMINATION),
 }
