@@ -26,3 +26,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """
+
+SUBSTRING_DEDUP = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT k, min(doc_id) AS first FROM v GROUP BY k),
+g AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p
+  FROM v JOIN f USING (k) WHERE first < doc_id),
+l AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(
+    list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone, x)), lambda x: w[x]), ' ') END) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""

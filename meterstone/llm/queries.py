@@ -14,6 +14,7 @@ from meterstone.llm.decontaminate import contaminated, decontaminate, n_hit
 from meterstone.llm.html_layout import visible_text
 from meterstone.llm.mixing import mix
 from meterstone.llm.partenum_join import jaccard_join
+from meterstone.llm.substring_dedup import repeats
 from meterstone.llm.weak_rules import judge
 
 
@@ -25,6 +26,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
     return visible_text(pages).select("page_id", "page.title", "page.text")
@@ -111,6 +116,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jaccard_join": (op1_jaccard_join, None),
+    "op3_substring_dedup": (op3_substring_dedup, oracles.SUBSTRING_DEDUP),
     "op4_html_layout": (op4_html_layout, None),
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_quality_classifier": (op9_quality_classifier, None),
