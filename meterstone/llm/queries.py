@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterstone.llm import oracles
+from meterstone.llm.brown_lm import score_texts
 from meterstone.llm.common import bucket_of, documents
 from meterstone.llm.compression_quality import fit_quality, quality_score
 from meterstone.llm.cross_parse_language import fit_language, language
@@ -26,6 +27,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir))
 
 
+def op2_brown_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir), bucket_of(F.col("id"), 7) != 2)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(documents(spark, sf_dir)).drop("spans")
 
@@ -116,6 +121,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jaccard_join": (op1_jaccard_join, None),
+    "op2_brown_scoring": (op2_brown_scoring, None),
     "op3_substring_dedup": (op3_substring_dedup, oracles.SUBSTRING_DEDUP),
     "op4_html_layout": (op4_html_layout, None),
     "op8_quality_rules": (op8_quality_rules, None),
