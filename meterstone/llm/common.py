@@ -51,6 +51,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(docs: DataFrame) -> Column:
+    """All columns as one struct ``doc``, so that no helper column can clash with them."""
+    return F.struct(*map(column, docs.columns)).alias("doc")
+
+
+def unboxed(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``doc``, some of them changed."""
+    return [changed.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns]
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bucket_of(doc_id: Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; NULL for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % buckets

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterstone.llm.common import stage
+from meterstone.llm.common import boxed, stage, unboxed
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -305,11 +305,9 @@ def mask_pii(docs: DataFrame, text_col: str = "text", how: Bootstrap = Bootstrap
     Overlapping finds become one, named after the first. Texts without finds, NULL
     ones among them, stay as they are, and so do all other columns.
     """
-    row = "row"
-    while row in docs.columns:
-        row += "_"
-    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = stage(numbered.select(F.col(row).alias("row"), pieces(F.col(text_col)).alias("found")))
+    numbered = stage(docs.select(boxed(docs), F.monotonically_increasing_id().alias("row")))
+    text = F.col("doc").getField(text_col)
+    found = stage(numbered.select("row", pieces(text).alias("found")))
     order = Window.partitionBy("row").orderBy("start", rank(F.col("kind")), "stop")
     reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     parts = (
@@ -324,9 +322,8 @@ def mask_pii(docs: DataFrame, text_col: str = "text", how: Bootstrap = Bootstrap
         )
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("masks"))
-        .select(F.col("row").alias("masked_row"), "masks")
     )
-    text, masks = F.col(f"`{text_col}`"), F.col("masks")
+    masks = F.col("masks")
 
     def upto(mask: Column, at: Column) -> Column:
         last = F.when(at == 0, 0).otherwise(F.try_element_at(masks, at.cast("int"))["stop"]).cast("int")
@@ -339,8 +336,4 @@ def mask_pii(docs: DataFrame, text_col: str = "text", how: Bootstrap = Bootstrap
     masked = F.when(masks.isNull(), text).otherwise(
         F.concat(F.array_join(F.transform(masks, upto), ""), rest)
     )
-    small = numbered.withColumnRenamed("masks", "masks_") if "masks" in docs.columns else numbered
-    out = small.join(parts, F.col(row) == F.col("masked_row"), "left").withColumn(text_col, masked)
-    if "masks" in docs.columns:
-        out = out.drop("masks").withColumnRenamed("masks_", "masks")
-    return out.select(*docs.columns)
+    return numbered.join(parts, "row", "left").select(*unboxed(docs, **{text_col: masked}))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterstone.llm.common import stage
+from meterstone.llm.common import boxed, stage, unboxed
 
 #: Up to so many words of test items the hash set is broadcast (some 100 bytes each);
 #: a larger test set is joined by its windows instead.
@@ -167,12 +167,14 @@ def _by_join(docs: DataFrame, items: DataFrame, text: Column, width: int, to: st
         r[0] for r in cut_items.select(F.least("w.n", F.lit(width))).where("w.n > 0").distinct().collect()
     )
     grams = cut_items.select("item", F.explode("w.windows.key").alias("key")).distinct()
-    numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()))
+    numbered = stage(
+        docs.select(boxed(docs), text.cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
+    )
     found = (
-        numbered.select("__row", F.explode(windowed(sizes)(text.cast("binary"))["windows"]).alias("w"))
-        .select("__row", "w.at", "w.key")
+        numbered.select("row", F.explode(windowed(sizes)("text")["windows"]).alias("w"))
+        .select("row", "w.at", "w.key")
         .join(grams, "key")
-        .groupBy("__row")
+        .groupBy("row")
         .agg(
             F.collect_set(F.struct("at", "key")).alias("at"), F.array_sort(F.collect_set("item")).alias("items")
         )
@@ -201,10 +203,9 @@ def _by_join(docs: DataFrame, items: DataFrame, text: Column, width: int, to: st
             ),
         )
 
-    return (
-        numbered.join(found.select(F.col("__row").alias("__of"), "at", "items"), F.col("__row") == F.col("__of"), "left")
-        .withColumn(to, gather(text.cast("binary"), F.col("at"), F.col("items")))
-        .select(*docs.columns, to)
+    kept = [c for c, name in zip(unboxed(docs), docs.columns, strict=True) if name.lower() != to.lower()]
+    return numbered.join(found, "row", "left").select(
+        *kept, gather("text", F.col("at"), F.col("items")).alias(to)
     )
 
 

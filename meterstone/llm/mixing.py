@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterstone.llm.common import WORD, stage
+from meterstone.llm.common import WORD, boxed, column, stage, unboxed
 
 #: Bits of the hash that one level of the histogram looks at, and the levels.
 BITS, LEVELS = 10, 4
@@ -119,6 +119,39 @@ def thresholds(rows: DataFrame, targets: DataFrame, bits: int = BITS, levels: in
     )
 
 
+def _marks(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[Column, Column, Column]:
+    """Source, words and hash of a row."""
+    mark = F.shiftrightunsigned(F.xxhash64(column(id_col), column(text_col)), 64 - BITS * LEVELS)
+    return column(source_col).alias("source"), word_count(column(text_col)).alias("size"), mark.alias("mark")
+
+
+def _per_source(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
+    """One row per source, with what decides on its rows."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = stage(source_targets(sizes, weights, share, cap))
+    bounds = thresholds(rows, targets)
+    table = targets.join(bounds, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.col("source").alias("s"),
+        "source_size",
+        "target",
+        F.coalesce("copies", F.lit(0)).alias("whole"),
+        F.coalesce("bound", F.lit(0)).alias("bound"),
+    )
+    return checked(table, targets.count())
+
+
+def _with_copies(rows: DataFrame, table: DataFrame) -> DataFrame:
+    copies = (F.col("whole") + (F.col("mark") < F.col("bound")).cast("long")).cast("long")
+    return (
+        rows.join(table, F.col("source").eqNullSafe(F.col("s")))
+        .withColumn("copies", copies)
+        .withColumn("taken", F.col("size") * F.col("copies"))
+    )
+
+
+ADDED = ("size", "source_size", "target", "copies", "taken")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -137,30 +170,22 @@ def mix(
     empty table gives an empty result. The hash depends on nothing else, so reruns
     agree.
     """
-    whole = BITS * LEVELS
-    rows = stage(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            F.shiftrightunsigned(F.xxhash64(id_col, text_col), 64 - whole).alias("mark"),
-        )
-    )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = stage(source_targets(sizes, weights, share, cap))
-    bounds = thresholds(rows, targets)
-    per_source = targets.join(bounds, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("s"),
-        "source_size",
-        "target",
-        F.coalesce("copies", F.lit(0)).alias("whole"),
-        F.coalesce("bound", F.lit(0)).alias("bound"),
-    )
-    copies = (F.col("whole") + (F.col("mark") < F.col("bound")).cast("long")).cast("long")
-    return (
-        rows.join(checked(per_source, targets.count()), F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("copies", copies)
-        .select(
-            "doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
-        )
-    )
+    rows = stage(docs.select(column(id_col).alias("doc_id"), *_marks(docs, id_col, text_col, source_col)))
+    return _with_copies(rows, _per_source(rows, weights, share, cap)).select("doc_id", *ADDED)
+
+
+def take(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    share: float = 1.5,
+    cap: float = 2.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with the figures of ``mix`` as columns
+    after their own; of own columns with those names the figures take the place."""
+    marks = _marks(docs, id_col, text_col, source_col)
+    table = _per_source(stage(docs.select(*marks)), weights, share, cap)
+    own = [c for c, name in zip(unboxed(docs), docs.columns, strict=True) if name.lower() not in ADDED]
+    return _with_copies(docs.select(boxed(docs), *marks), table).where("copies > 0").select(*own, *ADDED)

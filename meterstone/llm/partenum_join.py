@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterstone.llm.common import components, stage
+from meterstone.llm.common import boxed, components, stage, unboxed
 from meterstone.llm.wordhash import Words, chunks, mixed, rolled, words_of
 
 _U = np.uint64
@@ -437,17 +437,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jo
 
     Rows without words are linked with nothing and stay. All columns stay.
     """
-    row = "row"
-    while row in docs.columns:
-        row += "_"
-    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    numbered = stage(docs.select(boxed(docs), F.monotonically_increasing_id().alias("row")))
+    doc = F.col("doc")
     linked = linked_rows(
         numbered.select(
-            F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+            "row", doc.getField(id_col).cast("long").alias("doc_id"), doc.getField(text_col).alias("text")
         ),
         join,
     )
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
-    with_words = linked.where("n_shingles > 0").groupBy("component_id").agg(first.alias("kept"))
-    kept = with_words.select("kept").union(linked.where("n_shingles = 0").select("row"))
-    return numbered.join(kept, numbered[row] == kept["kept"], "left_semi").select(*docs.columns)
+    with_words = linked.where("n_shingles > 0").groupBy("component_id").agg(first.alias("row"))
+    kept = with_words.select("row").union(linked.where("n_shingles = 0").select("row"))
+    return numbered.join(kept, "row", "left_semi").select(*unboxed(docs))
