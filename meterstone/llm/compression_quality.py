@@ -59,9 +59,7 @@ class Measure:
         self.good, self.bad = compressor(good, fit.level), compressor(bad, fit.level)
         self.block = fit.block_bytes
 
-    def __call__(self, text: bytes | None) -> tuple[float, float]:
-        if not text:
-            return 0.0, 0.0
+    def __call__(self, text: bytes) -> tuple[float, float]:
         good = bad = 0
         for block in blocks(text, self.block):
             good += len(self.good.compress(block))
@@ -98,12 +96,15 @@ class QualityModel:
     fit: Fit
 
     def scorer(self):
-        """A function from a text to its score; without both labels, the share of good ones."""
+        """A function from a text to its score: for an empty text, and without both labels,
+        the share of good labels."""
         if not self.weights:
             return lambda text: self.prior
         measure, w = Measure(self.good, self.bad, self.fit), np.array(self.weights)
 
         def score(text: bytes | None) -> float:
+            if not text:
+                return self.prior
             z = float((inputs(np.array([measure(text)])) @ w)[0])
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
@@ -168,7 +169,7 @@ def fit_quality(
 def quality_score(docs: DataFrame, model: QualityModel, text_col: str = "text", to: str = "score") -> DataFrame:
     """Add ``to``, the probability that a row's whole text is good (0 to 1).
 
-    NULL and empty texts get the score of a text that says nothing either way.
+    NULL and empty texts get the share of good labels.
     All other columns stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

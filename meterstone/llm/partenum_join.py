@@ -322,7 +322,8 @@ def _elements(join: Join):
 
 
 def linked_rows(rows: DataFrame, join: Join = Join()) -> DataFrame:
-    """``rows(row, doc_id, text)``: return ``row, doc_id, n_shingles, component_id, n_links``."""
+    """``rows(row, doc_id, text)``: return ``row, doc_id, n_shingles, component_id, n_links``
+    and ``component``, which names the component also where ids are shared or missing."""
     texts = rows.select("row", "doc_id", F.col("text").cast("binary").alias("text"))
     known = stage(
         texts.mapInArrow(_doc_rows(join), "row long, doc_id long, n_shingles long, h1 long, h2 long")
@@ -400,6 +401,7 @@ def linked_rows(rows: DataFrame, join: Join = Join()) -> DataFrame:
         .select(
             "h1",
             "h2",
+            "component",
             "component_id",
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         )
@@ -410,6 +412,7 @@ def linked_rows(rows: DataFrame, join: Join = Join()) -> DataFrame:
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "component",
     )
 
 
@@ -429,7 +432,7 @@ def jaccard_join(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).alias("text"),
     )
-    return linked_rows(rows, join).drop("row")
+    return linked_rows(rows, join).drop("row", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
@@ -446,6 +449,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jo
         join,
     )
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
-    with_words = linked.where("n_shingles > 0").groupBy("component_id").agg(first.alias("row"))
+    with_words = linked.where("n_shingles > 0").groupBy("component").agg(first.alias("row"))
     kept = with_words.select("row").union(linked.where("n_shingles = 0").select("row"))
     return numbered.join(kept, "row", "left_semi").select(*unboxed(docs))
