@@ -45,6 +45,24 @@ def chosen_files(files: DataFrame) -> DataFrame:
     return newest.select("agent_type", "session_id", "f.*").select(*names)
 
 
+def not_older(chosen: DataFrame, sessions: DataFrame) -> DataFrame:
+    """S12 across syncs: drop a log if its session already stands on a newer one.
+
+    The log that a session stands on may always replace itself.
+    """
+    held = sessions.filter(F.col("log_path").isNotNull()).select(
+        "agent_type", "session_id", "log_modified", "log_path"
+    )
+    stamp = F.struct(F.col("modified"), F.col("file_path"))
+    stays = (
+        F.col("log_path").isNull()
+        | (F.col("log_path") == F.col("file_path"))
+        | (stamp >= F.struct(F.col("log_modified"), F.col("log_path")))
+    )
+    joined = chosen.join(held, ["agent_type", "session_id"], "left")
+    return joined.filter(stays).select(*chosen.columns)
+
+
 def usage_buckets(hours: DataFrame, chosen: DataFrame) -> DataFrame:
     """Bucket rows of the chosen logs, stamped with the session's id and project."""
     owner = chosen.select("agent_type", "file_path", "session_id", "project_path")
@@ -69,7 +87,10 @@ def session_rows(hours: DataFrame, chosen: DataFrame) -> DataFrame:
             F.coalesce(F.sum(bucket_cost), F.lit(0).cast(MONEY)),
         ).alias("cost_micro"),
     )
-    return complete_sessions(chosen.drop("user_turns").join(totals, ["agent_type", "file_path"]))
+    log = chosen.drop("user_turns").withColumns(
+        {"log_modified": F.col("modified"), "log_path": F.col("file_path")}
+    )
+    return complete_sessions(log.join(totals, ["agent_type", "file_path"]))
 
 
 def complete_sessions(rows: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterstone.functions.fixed_prices import SYNTHETIC
+from meterstone.functions.jsonline import is_number_or_flag, whole_number, with_object
 from meterstone.functions.pricebook import BUILTIN, PriceBook
 from meterstone.functions.text import clean_prompt, nonempty
 from meterstone.functions.timebucket import with_local_bucket
@@ -27,11 +28,8 @@ ENTRY = (
     "struct<type:string,timestamp:string,cwd:string,gitBranch:string,"
     "message:struct<id:string,model:string,content:string,usage:string>>"
 )
-USAGE = (
-    "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,"
-    "cache_creation_input_tokens:bigint,"
-    "cache_creation:struct<ephemeral_1h_input_tokens:bigint>>"
-)
+# Counts come as numbers of any form, or as text.
+USAGE = "map<string,string>"
 CWD_LINES = 11
 
 
@@ -72,7 +70,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
     usage_text = F.coalesce(entry["message"]["usage"], F.lit(""))
     usage = F.col("u")
-    parsed = lines.withColumn("e", F.from_json("value", ENTRY)).withColumns(
+    parsed = with_object(lines, ENTRY, "e").withColumns(
         {
             "items": F.when(user, content_items(F.col("value"), content)),
             "u": F.when(
@@ -81,11 +79,17 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             ),
         }
     )
-    is_text = F.col("items").isNull() & ~is_object(F.col("value"), content)
+    is_text = (
+        F.col("items").isNull()
+        & ~is_object(F.col("value"), content)
+        & ~is_number_or_flag(F.col("value"), "message.content", content)
+    )
     turn = user & ~tool_result
 
     def counter(c: Column) -> Column:
-        return F.coalesce(c, F.lit(0)).cast("bigint")
+        return F.coalesce(whole_number(c), F.lit(0).cast("bigint"))
+
+    long_writes = F.from_json(usage["cache_creation"], USAGE)
 
     return parsed.select(
         "file_path",
@@ -104,7 +108,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         counter(usage["output_tokens"]).alias("output_tokens"),
         counter(usage["cache_read_input_tokens"]).alias("cache_read_tokens"),
         counter(usage["cache_creation_input_tokens"]).alias("cache_creation_tokens"),
-        counter(usage["cache_creation"]["ephemeral_1h_input_tokens"]).alias("cache_1h_tokens"),
+        counter(long_writes["ephemeral_1h_input_tokens"]).alias("cache_1h_tokens"),
     )
 
 

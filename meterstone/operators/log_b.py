@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meterstone.functions.jsonline import is_number_or_flag, whole_number, with_object
 from meterstone.functions.pricebook import BUILTIN, PriceBook, constant
 from meterstone.functions.text import clean_message, nonempty
 from meterstone.functions.timebucket import with_local_bucket
@@ -23,9 +24,7 @@ ENTRY = (
     "struct<type:string,timestamp:string,payload:struct<"
     "id:string,cwd:string,forked_from_id:string,source:string,git:struct<branch:string>,"
     "model:string,type:string,message:string,"
-    "info:struct<total_token_usage:struct<input_tokens:bigint,cached_input_tokens:bigint,"
-    "output_tokens:bigint,cache_creation_input_tokens:bigint>,"
-    "last_token_usage:map<string,string>>>>"
+    "info:struct<total_token_usage:map<string,string>,last_token_usage:map<string,string>>>>"
 )
 # Cumulative counters of a token report, by the name they get here.
 READINGS = {
@@ -67,9 +66,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     is_text = (
         F.when(said.startswith("["), as_array["payload"]["message"].isNull())
         .when(said.startswith("{"), as_map["payload"]["message"].isNull())
-        .otherwise(F.lit(True))
+        .otherwise(~is_number_or_flag(F.col("value"), "payload.message", said))
     )
-    parsed = lines.withColumn("e", F.from_json("value", ENTRY)).select(
+    parsed = with_object(lines, ENTRY, "e").select(
         "file_path",
         "modified",
         "chunk",
@@ -82,7 +81,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.when(meta, forked).alias("meta_forked"),
         nonempty(F.when(context, payload["model"])).alias("ctx_model"),
         nonempty(F.when(user & is_text, clean_message(payload["message"]))).alias("prompt"),
-        *[F.when(tokens, total[source]).alias(name) for name, source in READINGS.items()],
+        *[F.when(tokens, whole_number(total[source])).alias(name) for name, source in READINGS.items()],
         F.when(tokens, payload["info"]["last_token_usage"]).alias("request"),
     )
     return with_local_bucket(parsed, "ts_text")

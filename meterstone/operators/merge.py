@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from meterstone.operators.cube import complete_sessions
 from meterstone.schemas import COUNTERS, MONEY, SESSION_KEY, SESSION_TEXT
 
-# What the session table knows about a session's buckets.
-STORAGE = ["has_buckets", "first_usage_date"]
+# What the session table knows about a session's buckets and the log they come from.
+STORAGE = ["has_buckets", "first_usage_date", "log_modified", "log_path"]
 
 
 def merge_sessions(stored: DataFrame, changes: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def merge_sessions(stored: DataFrame, changes: DataFrame) -> DataFrame:
             *[pick(c, 0) for c in COUNTERS],
             cost.alias("cost_micro"),
             pick("has_buckets", False),
-            pick("first_usage_date", None),
+            *[pick(c, None) for c in STORAGE if c != "has_buckets"],
         )
     )
 

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterstone.functions.pricebook import BUILTIN, PriceBook
-from meterstone.operators.cube import chosen_files, session_rows, usage_buckets
+from meterstone.operators.cube import chosen_files, not_older, session_rows, usage_buckets
 from meterstone.operators.merge import fill_from_index
 from meterstone.operators.pricing import reprice_sessions, reprice_usage
-from meterstone.session import cut_lineage
+from meterstone.session import cut_lineage, work_folder
 from meterstone.sources.logs import index_sessions, read_session_index
 from meterstone.sources.manifest import update_manifest
 from meterstone.sources.registry import LogSource, parse_all
@@ -29,8 +29,8 @@ class SyncResult:
 
 def reprice(store: TableStore, book: PriceBook) -> None:
     """Bring stored costs to the current book."""
-    usage = cut_lineage(reprice_usage(store.usage(), book), required=True)
-    sessions = cut_lineage(reprice_sessions(store.sessions(), usage, book), required=True)
+    usage = cut_lineage(reprice_usage(store.usage(), book))
+    sessions = cut_lineage(reprice_sessions(store.sessions(), usage, book))
     store.overwrite(usage, sessions)
 
 
@@ -47,6 +47,7 @@ def sync_history(
     new again and its requests are priced one by one.
     """
     spark = store.spark
+    work_folder(spark)  # without one nothing is begun
     result = SyncResult()
     if store.setting(PRICE_KEY) not in (None, book.version):
         reprice(store, book)
@@ -57,7 +58,7 @@ def sync_history(
     if index_root is not None:
         index = index_sessions(read_session_index(spark, index_root))
     if parsed is not None:
-        chosen = cut_lineage(chosen_files(parsed.files))
+        chosen = cut_lineage(not_older(chosen_files(parsed.files), store.sessions()))
         fresh = cut_lineage(usage_buckets(parsed.hours, chosen))
         store.replace_usage(chosen, fresh)
         rows = session_rows(parsed.hours, chosen)

@@ -1,8 +1,9 @@
-"""Session settings the engine wants, and the one way it cuts lineage."""
+"""Session settings the engine wants, the shared work folder, and the one way to cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,24 +30,35 @@ def build_session(app: str = "meterstone", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame, required: bool = False) -> DataFrame:
-    """Checkpoint ``df`` in the folder the cluster names.
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, from ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session. Only a local session that
-    names none gets a temporary folder; on a cluster without the setting the
-    frame is returned as it is, which is right but computes twice. Where a table
-    is about to be overwritten by what is read from it, that would not be right:
-    there the cut is ``required``.
+    A local session that names none gets a temporary folder and keeps it; on a
+    cluster the setting is required.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and context.master.startswith("local"):
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="meterstone-cp-")
-    if not folder and required:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
     if not folder:
-        return df
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="meterstone-work-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the work folder that nobody uses; it goes when the driver's JVM ends."""
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Stage ``df`` as Parquet in the work folder and read it back.
+
+    Runs its job at once, so a failure shows here. What reads the table sees its
+    columns only, with statistics, and a lost executor costs no more than its tasks.
+    """
+    path = new_folder(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -32,14 +32,14 @@ def decoded_path(uri: Column) -> Column:
 
 
 def read_lines(
-    spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl", **options
+    spark: SparkSession, root: str, glob: str = "*.jsonl", **options
 ) -> DataFrame:
-    """Every line of the matching files below ``paths``; a missing path gives no lines."""
+    """Every line of the matching files below ``root``; a missing root gives no lines."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     for name, value in options.items():
         reader = reader.option(name, value)
     try:
-        text = reader.text(paths)
+        text = reader.text(root)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise

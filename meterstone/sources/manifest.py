@@ -7,8 +7,6 @@ truncated and rewritten files.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +23,6 @@ MANIFEST = T.StructType(
     ]
 )
 STAMP = ["file_path", "size", "modified", "price_version"]
-PATH_LIMIT = 5_000
 
 
 def list_files(spark: SparkSession, root: str, glob: str, price_version: str) -> DataFrame:
@@ -60,33 +57,34 @@ def update_manifest(manifest: DataFrame, seen: DataFrame) -> DataFrame:
     return kept.select(*STAMP).unionByName(seen.select(*STAMP))
 
 
-def literal_path(path: str) -> str:
-    """A path whose pattern characters stand for themselves."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
-
-
 def forget(manifest: DataFrame, prefix: str) -> DataFrame:
     """Drop every entry below a path, so that it is read again."""
     return manifest.filter(~F.col("file_path").startswith(prefix))
 
 
-def read_changed(
-    spark: SparkSession, root: str, glob: str, changed: DataFrame, limit: int = PATH_LIMIT
-) -> DataFrame:
+def read_changed(spark: SparkSession, root: str, glob: str, changed: DataFrame) -> DataFrame:
     """Lines of the changed files only.
 
-    A few changed files are opened by name. When there are more than ``limit``,
-    names would not fit the driver: then everything modified since the oldest
-    change is scanned and matched by path on the cluster.
+    Everything modified since the oldest change is scanned and matched by path on
+    the cluster, however many files that are. A file that has gone since it was
+    listed gives no lines; the others are read all the same.
     """
-    paths = [r.file_path for r in changed.select("file_path").limit(limit + 1).collect()]
-    if not paths:
-        return read_lines(spark, root, glob).limit(0)
-    if len(paths) <= limit:
-        return read_lines(spark, [literal_path(p) for p in paths], glob)
     # The bound excludes its own second, so it is set one second earlier.
     oldest = changed.agg(F.min("modified") - F.expr("INTERVAL 2 SECONDS")).first()[0]
-    after = oldest.strftime("%Y-%m-%dT%H:%M:%S")
-    zone = {"timeZone": spark.conf.get("spark.sql.session.timeZone")}
-    lines = read_lines(spark, root, glob, modifiedAfter=after, **zone)
+    if oldest is None:
+        return read_lines(spark, root, glob).limit(0)
+    lines = read_lines(
+        spark,
+        root,
+        glob,
+        modifiedAfter=oldest.strftime("%Y-%m-%dT%H:%M:%S"),
+        timeZone=spark.conf.get("spark.sql.session.timeZone"),
+        ignoreMissingFiles="true",
+    )
     return lines.join(changed.select("file_path"), "file_path", "left_semi")
+
+
+def read_files(seen: DataFrame, files: DataFrame) -> DataFrame:
+    """Of the files set out to be read those that gave lines (empty files are not listed)."""
+    found = files.select("file_path").distinct()
+    return seen.join(found, "file_path", "left_semi").select(*STAMP)

@@ -11,14 +11,21 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meterstone.functions.pricebook import BUILTIN, PriceBook
 from meterstone.operators import log_a, log_b
 from meterstone.operators.cube import hourly
 from meterstone.schemas import LOG_FILES
 from meterstone.session import cut_lineage
-from meterstone.sources.manifest import STAMP, changed_files, list_files, read_changed
+from meterstone.sources.manifest import (
+    STAMP,
+    changed_files,
+    list_files,
+    read_changed,
+    read_files,
+)
 
 log = logging.getLogger(__name__)
 
@@ -41,15 +48,16 @@ class LogSource:
     root: str
     glob: str
     normalise: Normaliser
+    #: Which files of the listing are logs at all, by their path.
+    is_log: Callable[[], Column] = lambda: F.lit(True)
 
 
 def agent_a(root: str) -> LogSource:
     def normalise(lines: DataFrame, as_of: date, book: PriceBook):
-        nested = lines.filter(log_a.in_project(root))
-        parsed = cut_lineage(log_a.parse_lines(nested))
+        parsed = cut_lineage(log_a.parse_lines(lines))
         return log_a.events_a(parsed, as_of, book), log_a.files_a(parsed, root)
 
-    return LogSource(log_a.AGENT, root, "*.jsonl", normalise)
+    return LogSource(log_a.AGENT, root, "*.jsonl", normalise, lambda: log_a.in_project(root))
 
 
 def agent_b(root: str) -> LogSource:
@@ -69,13 +77,12 @@ def parse_source(
     book: PriceBook = BUILTIN,
 ) -> Parsed:
     """Parse what changed below a source. Runs its jobs, so that a failure shows here."""
-    listing = list_files(spark, source.root, source.glob, book.version)
+    listing = list_files(spark, source.root, source.glob, book.version).filter(source.is_log())
     seen = cut_lineage(changed_files(listing, manifest).select(*STAMP))
     lines = read_changed(spark, source.root, source.glob, seen)
     events, files = source.normalise(lines, as_of, book)
-    return Parsed(
-        cut_lineage(hourly(events)), cut_lineage(files.select(*LOG_FILES.fieldNames())), seen
-    )
+    read = cut_lineage(files.select(*LOG_FILES.fieldNames()))
+    return Parsed(cut_lineage(hourly(events)), read, read_files(seen, read))
 
 
 def parse_all(

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterstone.functions.measures import known_cost, unknown_count
 from meterstone.schemas import COUNTERS
+from meterstone.session import new_folder
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -40,23 +39,11 @@ def hourly_usage(events: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder next to the cluster's checkpoints; a local session gets its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.startswith("local"):
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="meterstone-stream-")
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def drain_append(stream: DataFrame, name: str) -> DataFrame:
     """Run an append stream over everything available into parquet and read it back."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    folder = work_folder(spark, name)
+    folder = new_folder(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
@@ -89,7 +76,7 @@ def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    folder = work_folder(spark, name)
+    folder = new_folder(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from meterstone.functions.pricebook import BUILTIN, PriceBook
 from meterstone.operators.log_b import COUNTERS, events_b, resolve_state
-from meterstone.session import cut_lineage
+from meterstone.session import cut_lineage, new_folder
 from meterstone.streaming.hourly import run_available, work_folder
 
 SEED_CHUNK = -1
@@ -115,7 +115,7 @@ def compact_state(spark: SparkSession, folder: str) -> None:
         return
     target = numbers[-2]
     gathered = newest_state(parts.filter(F.col("batch") <= target))
-    cut_lineage(gathered, required=True).write.mode("overwrite").parquet(
+    cut_lineage(gathered).write.mode("overwrite").parquet(
         f"{folder}/state/batch={target}"
     )
     for number in numbers[:-2]:
@@ -153,6 +153,6 @@ def drain_steps(parsed: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
     within a session from batch to batch.
     """
     spark = parsed.sparkSession
-    folder = work_folder(spark, "steps")
+    folder = new_folder(spark, "steps")
     run_available(parsed, batch_writer(folder, book), "append", folder)
     return spark.read.parquet(f"{folder}/events").drop("batch")

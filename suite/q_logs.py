@@ -18,6 +18,7 @@ from meterstone.operators.cube import (
     session_rows,
     usage_buckets,
 )
+from meterstone.operators.merge import STORAGE
 from meterstone.schemas import COUNTERS
 from meterstone.session import cut_lineage
 from suite.queries import query
@@ -402,7 +403,7 @@ def session_query(spark, sf):
     """Session rows of both agents, from their logs."""
     rows = session_rows(*normalised(spark, sf))
     return rows.withColumn("cost_usd", dollars(F.col("cost_micro"))).drop(
-        "cost_micro", "summary", "started_date", "started_hour", "has_buckets", "first_usage_date"
+        "cost_micro", "summary", "started_date", "started_hour", *STORAGE
     )
 
 

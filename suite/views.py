@@ -162,8 +162,17 @@ def stored_sessions(rows: DataFrame) -> DataFrame:
     """Session rows as the session table holds them."""
     held = F.col("user_id") % 10 != 3
     first = F.when(held, F.col("started_date"))
-    return sessions(rows).withColumns({"has_buckets": held, "first_usage_date": first}).drop(
-        "user_id"
+    return (
+        sessions(rows)
+        .withColumns(
+            {
+                "has_buckets": held,
+                "first_usage_date": first,
+                "log_modified": F.lit(None).cast("timestamp"),
+                "log_path": F.lit(None).cast("string"),
+            }
+        )
+        .drop("user_id")
     )
 
 

@@ -1,4 +1,5 @@
-from datetime import date
+import json
+from datetime import date, datetime
 
 import pytest
 
@@ -10,6 +11,11 @@ from meterstone.sources.logs import read_agent_a, read_session_index, index_sess
 DAY = date(2026, 4, 20)
 
 
+def frame(spark, values):
+    rows = [("/logs/proj/s.jsonl", datetime(2026, 4, 20), 0, i, v) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "file_path string, modified timestamp, chunk long, pos long, value string")
+
+
 def run(spark, root):
     parsed = log_a.parse_lines(read_agent_a(spark, str(root)))
     hours = hourly(log_a.events_a(parsed, DAY))
@@ -168,3 +174,24 @@ def test_tag_stripping_is_exact_and_linear(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(strip_tags(F.col("t"))).first()[0]
     want = text if text.startswith("<" * 10) else re.sub(r"<[^>]+>", "", text)
     assert got == want
+
+
+def test_a_line_is_one_object_and_nothing_else(spark):
+    good = json.dumps(user("hi"))
+    lines = [good + tail for tail in ("", "  ", " garbage", good, "," + good, "] x", "}", "]")]
+    rows = log_a.parse_lines(frame(spark, lines)).collect()
+    assert [r.kind for r in sorted(rows, key=lambda r: r.pos)] == ["turn"] * 2 + ["other"] * 6
+
+
+def test_counts_of_any_form(spark):
+    forms = [10, 10.0, "12", 1e3, None, "x", True, -2]
+    lines = [json.dumps(reply(f"m{i}", {"input_tokens": n, "cache_creation": {"ephemeral_1h_input_tokens": n}})) for i, n in enumerate(forms)]
+    rows = sorted(log_a.parse_lines(frame(spark, lines)).collect(), key=lambda r: r.pos)
+    assert [r.input_tokens for r in rows] == [10, 10, 12, 1000, 0, 0, 0, -2]
+    assert [r.cache_1h_tokens for r in rows] == [r.input_tokens for r in rows]
+
+
+def test_only_text_is_a_prompt(spark):
+    contents = [5, True, "5", "true", 1.5, {"a": 1}, None]
+    rows = sorted(log_a.parse_lines(frame(spark, [json.dumps(user(c)) for c in contents])).collect(), key=lambda r: r.pos)
+    assert [r.prompt for r in rows] == [None, None, "5", "true", None, None, None]

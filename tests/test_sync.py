@@ -11,7 +11,6 @@ from meterstone.operators.usage import usage_source
 from meterstone.plans import reports as R
 from meterstone.plans.sync import sync_history
 from meterstone.sources import manifest as mf
-from meterstone.sources.logs import read_agent_b
 from meterstone.sources.registry import LogSource, agent_a, agent_b
 from meterstone.sources.tables import TableStore
 
@@ -98,14 +97,47 @@ def test_same_size_edit_is_seen_and_unchanged_files_are_not_read(spark, world):
     assert forgotten.count() == store.manifest().count() - 1
 
 
-def test_many_changed_files_are_matched_on_the_cluster(spark, world, write_log):
+def test_a_log_that_vanishes_takes_no_other_with_it(spark, world, write_log):
     store, a, b = world
-    for i in range(4):
-        write_log(b / "2026" / f"rollout-{i}.jsonl", [event("user_message", message="m")])
-    listing = mf.list_files(spark, str(b), "rollout-*.jsonl", "v")
-    named = mf.read_changed(spark, str(b), "rollout-*.jsonl", listing)
-    matched = mf.read_changed(spark, str(b), "rollout-*.jsonl", listing, limit=2)
-    assert named.count() == matched.count() == read_agent_b(spark, str(b)).count() == 8
+    gone = write_log(b / "2026" / "rollout-gone.jsonl", [meta("gone"), event("user_message", message="m")])
+    write_log(b / "2026" / "rollout-stays.jsonl", [meta("stays"), event("user_message", message="m")])
+    listed = mf.list_files(spark, str(b), "rollout-*.jsonl", "v").collect()
+    listing = spark.createDataFrame(listed, mf.MANIFEST)
+    gone.unlink()
+    lines = mf.read_changed(spark, str(b), "rollout-*.jsonl", listing)
+    assert {os.path.basename(r.file_path) for r in lines.collect()} == {"rollout-x.jsonl", "rollout-stays.jsonl"}
+    known = mf.read_files(listing, lines)
+    assert str(gone) not in {r.file_path for r in known.collect()} and known.count() == 2
+
+
+def test_only_what_was_read_is_known(spark, world, write_log):
+    store, a, b = world
+    (a / "loose.jsonl").write_text("{}")
+    (a / "proj" / "empty.jsonl").write_text("")
+    go(store, a, b)
+    known = {os.path.basename(r.file_path) for r in store.manifest().collect()}
+    assert known == {"s.jsonl", "rollout-x.jsonl"}
+
+
+def test_an_older_log_of_a_session_does_not_replace_the_newer_one(world, write_log):
+    store, a, b = world
+
+    def log(name, out, time):
+        path = write_log(b / "2026" / f"rollout-{name}.jsonl", [meta("two"), event("user_message", message=name), tokens(total(0, 0, out))])
+        os.utime(path, (time, time))
+
+    log("new", 50, 1_800_000_000)
+    go(store, a, b)
+    log("old", 7, 1_700_000_000)
+    go(store, a, b)
+    assert rows(store)["two"].output_tokens == 50
+    log("new", 60, 1_800_000_500)
+    go(store, a, b)
+    log("newer", 9, 1_800_001_000)
+    go(store, a, b)
+    assert rows(store)["two"].output_tokens == 9
+    mine = store.usage().filter(F.col("session_id") == "two")
+    assert mine.agg(F.sum("output_tokens")).first()[0] == 9
 
 
 def test_odd_file_names(spark, tmp_path, write_log):
