@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from meterstone.functions.pricebook import BUILTIN, PriceBook
 from meterstone.operators.log_b import COUNTERS, events_b, resolve_state
 from meterstone.session import cut_lineage, new_folder
-from meterstone.streaming.hourly import run_available, work_folder
+from meterstone.streaming.hourly import run_available
 
 SEED_CHUNK = -1
 

@@ -9,7 +9,8 @@ from meterstone.operators import live as live_ops
 from meterstone.operators import log_b
 from meterstone.schemas import COUNTERS, TOKEN_COLS
 from meterstone.streaming.changes import snapshot_changes, summed_changes
-from meterstone.streaming.hourly import drain_append, drain_updates, hourly_usage, work_folder
+from meterstone.session import new_folder
+from meterstone.streaming.hourly import drain_append, drain_updates, hourly_usage
 from meterstone.streaming.steps import drain_steps
 from suite.q_logs import LOGS_A, LOGS_B
 from suite.queries import query
@@ -203,7 +204,7 @@ def stream_snapshot_query(spark, sf):
 def stream_delta_query(spark, sf):
     """L3: parsed agent-B rows as a stream; its steps summed per bucket."""
     rows = log_b.parse_lines(lines_b(requests(spark, sf)))
-    folder = work_folder(spark, "parsed")
+    folder = new_folder(spark, "parsed")
     rows.write.parquet(folder)
     stream = spark.readStream.schema(rows.schema).parquet(folder)
     session = F.regexp_extract("file_path", r"rollout-([^/]+)\.jsonl$", 1)

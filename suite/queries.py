@@ -36,6 +36,7 @@ def load() -> dict[str, tuple[Query, str | None]]:
         q_maintenance,
         q_pricing,
         q_reports,
+        q_sync,
     )
 
     return REGISTRY
