@@ -34,9 +34,18 @@ RULES_VERSION = 1
 MICRO = Decimal("0.000001")
 
 
+def as_price(value) -> Decimal:
+    """A price in USD per million tokens; more than six decimals cannot be kept."""
+    given = Decimal(str(value))
+    kept = given.quantize(MICRO)
+    if kept != given:
+        raise ValueError(f"a price has six decimals at most: {value}")
+    return kept
+
+
 def as_prices(values: Iterable) -> Prices:
-    """Four non-missing numbers, kept to six decimals."""
-    out = tuple(Decimal(str(v)).quantize(Decimal("0.000001")) for v in values)
+    """Four non-missing numbers."""
+    out = tuple(as_price(v) for v in values)
     if len(out) != 4:
         raise ValueError("a price is a list of four numbers")
     return out
@@ -183,10 +192,7 @@ class PriceBook:
         return cls(
             {canonical_name(m): as_prices(p) for m, p in (models or {}).items()},
             {canonical_name(m): as_tiers(t) for m, t in (tiers or {}).items()},
-            {
-                canonical_name(m): Decimal(str(v)).quantize(Decimal("0.000001"))
-                for m, v in (write_1h or {}).items()
-            },
+            {canonical_name(m): as_price(v) for m, v in (write_1h or {}).items()},
             frozenset(canonical_name(m) for m in disabled),
         )
 

@@ -24,6 +24,8 @@ from meterstone.session import cut_lineage
 
 USD = "estimated_cost_usd"
 SMALL_REPORT = 10_000
+# Parts of the models of one agent that are ranked on their own first.
+RANK_PARTS = 64
 
 
 def publish(df: DataFrame) -> DataFrame:
@@ -586,16 +588,22 @@ def folded_models(
 ) -> DataFrame:
     """Per agent the ``top`` dearest known models, all unknown ones, and the rest as one row.
 
-    Ranks are taken over summed (agent, model) rows.
+    Ranks are taken over summed (agent, model) rows of known models, first within
+    parts of an agent's models and then among the best of each part: model names
+    are free text, so an agent may have any number of them.
     """
     cost = F.col("cost_micro")
-    unknown = F.col("unknown_cost_count") > 0
-    rank = W.partitionBy("agent_type", "is_unknown").orderBy(cost.desc(), "raw_model")
-    ranked = (
-        model_rows(usage, first, last, book)
-        .withColumn("is_unknown", unknown)
-        .withColumn("rank", F.row_number().over(rank))
-        .withColumn("folded", (F.col("rank") > top) & ~F.col("is_unknown"))
+    rows = model_rows(usage, first, last, book).withColumn(
+        "is_unknown", F.col("unknown_cost_count") > 0
+    )
+    best = rows.filter(~F.col("is_unknown")).select("agent_type", "raw_model", "cost_micro")
+    part = F.pmod(F.hash("raw_model"), F.lit(RANK_PARTS))
+    for group in (["agent_type", part], ["agent_type"]):
+        rank = W.partitionBy(*group).orderBy(cost.desc(), "raw_model")
+        best = best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top)
+    kept = best.select("agent_type", "raw_model", F.lit(True).alias("kept"))
+    ranked = rows.join(kept, ["agent_type", "raw_model"], "left").withColumn(
+        "folded", F.col("kept").isNull() & ~F.col("is_unknown")
     )
     shown = F.when(~F.col("folded"), F.col("raw_model"))
     rows = (
@@ -700,13 +708,21 @@ def full_report(
 ) -> Report:
     """Totals, breakdowns, calendar and previous period of a range.
 
-    A custom ``span`` has no calendar and no previous period. Each part is its
-    own lazy frame; callers that run all of them may cache
-    ``between(usage, span.first, span.last)`` first.
+    A custom ``span`` has no calendar and no previous period. The facts of all
+    parts are read once and staged, with the columns that the parts need; each
+    part is then a lazy frame over the stage.
     """
     named = span is None
     chosen = cal.named_range(kind, as_of) if named else span
     before = cal.named_range(kind, as_of, 1) if named else None
+    day = F.col("usage_date")
+    wanted = day.between(F.lit(chosen.first), F.lit(chosen.last))
+    if before:
+        wanted = wanted | day.between(F.lit(before.first), F.lit(before.last))
+        # The calendar of a range reaches over its whole week or month.
+        first = cal.monday_of(as_of) if kind == "week" else chosen.first
+        wanted = wanted | day.between(F.lit(first), F.lit(as_of))
+    usage = cut_lineage(usage.filter(wanted))
     return Report(
         chosen,
         totals(usage, chosen.first, chosen.last),

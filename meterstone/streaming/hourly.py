@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterstone.functions.measures import known_cost, unknown_count
@@ -15,8 +18,8 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 def hourly_usage(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Usage per event-time hour, agent and model, kept up to date.
 
-    ``late`` is how far behind the newest event a row may be; later rows go
-    through the history sync.
+    ``late`` is how far behind the newest event a row may be; ``late_writer`` keeps
+    the rows that this leaves out.
     """
     cost = F.col("cost_micro")
     return (
@@ -39,6 +42,35 @@ def hourly_usage(events: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
+def late_writer(folder: str, late: str = "1 day") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function over the same events: what ``hourly_usage`` drops.
+
+    A row is late if its hour had ended ``late`` before the newest event of the
+    batches before it. Late rows go to ``<folder>/late``, for the history to take up;
+    the newest event of every batch goes to ``<folder>/newest``. Both are written under
+    the batch number, so a repeated batch replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        newest = F.max("ts").alias("ts")
+        try:
+            before = spark.read.parquet(f"{folder}/newest").filter(F.col("batch") < number)
+            seen = before.agg(newest).first().ts
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            seen = None
+        ended = F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")
+        # Event times count in whole milliseconds there.
+        bound = F.date_trunc("millisecond", F.lit(seen)) - F.expr(f"INTERVAL {late}")
+        missed = batch.filter(F.lit(False) if seen is None else ended <= bound)
+        missed.write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        batch.agg(newest).write.mode("overwrite").parquet(f"{folder}/newest/batch={number}")
+
+    return write
+
+
 def drain_append(stream: DataFrame, name: str) -> DataFrame:
     """Run an append stream over everything available into parquet and read it back."""
     spark = stream.sparkSession

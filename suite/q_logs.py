@@ -227,14 +227,22 @@ dirs AS (
     AS output_tokens FROM a0 GROUP BY session_id""",
 )
 def hygiene_query(spark, sf):
-    """Logs with a blank line behind every reply and every seventh reply cut short."""
+    """Logs with a blank line behind every reply and every seventh reply cut short; all
+    lines once more with something behind them, which makes them no lines at all."""
     lines = lines_a(requests(spark, sf))
     cut = (F.floor(F.col("pos") / 2) % 7 == 0) & (F.col("pos") % 2 == 1)
     broken = lines.withColumn(
         "value", F.when(cut, F.left("value", F.length("value") - 5)).otherwise(F.col("value"))
     )
     blank = lines.withColumn("value", F.lit("   "))
-    rows = log_a.parse_lines(broken.unionByName(blank))
+    value = F.col("value")
+    tail = (
+        F.when(F.col("pos") % 3 == 0, F.concat(value, F.lit(" garbage")))
+        .when(F.col("pos") % 3 == 1, F.concat(value, value))
+        .otherwise(F.concat(value, F.lit("] {}")))
+    )
+    longer = lines.withColumn("value", tail)
+    rows = log_a.parse_lines(broken.unionByName(blank).unionByName(longer))
     return rows.groupBy(session_of(F.col("file_path")).alias("session_id")).agg(
         F.count_if(F.col("kind") == "reply").alias("replies"),
         F.sum("output_tokens").alias("output_tokens"),
@@ -283,8 +291,19 @@ def message_query(spark, sf):
     FROM a1 WHERE rn = 1""",
 )
 def snapshot_query(spark, sf):
-    """The surviving usage snapshot of every message id, with its 1h cache writes."""
-    used = events_of_a(spark, sf).filter((F.col("message_count") == 0))
+    """The surviving usage snapshot of every message id, with its 1h cache writes.
+
+    A third of the lines write their counts as text, a third with a decimal point."""
+    lines = lines_a(requests(spark, sf))
+    form = F.floor(F.col("pos") / 2) % 3
+    counts = r'(_tokens":)(\d+)'
+    written = (
+        F.when(form == 0, F.regexp_replace("value", counts, '$1"$2"'))
+        .when(form == 1, F.regexp_replace("value", counts, "$1$2.0"))
+        .otherwise(F.col("value"))
+    )
+    parsed = cut_lineage(log_a.parse_lines(lines.withColumn("value", written)))
+    used = log_a.events_a(parsed, AS_OF).filter(F.col("message_count") == 0)
     return used.select(
         session_of(F.col("file_path")).alias("session_id"),
         F.col("ts_text").alias("at"),

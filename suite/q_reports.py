@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterstone.functions import measures as M
+from meterstone.operators.calendar import custom_range, last_days
 from meterstone.operators.usage import preferred_model, real_model, usage_source
 from meterstone.plans import reports as R
 from meterstone.schemas import COUNTERS, SESSION_KEY
@@ -363,7 +369,17 @@ DELTA = (
     f"{KIND} AS delta_kind, CASE WHEN {KIND} IN ('up', 'down') "
     f"THEN (usd / prev_usd - 1.0) * 100.0 END AS delta_pct"
 )
-PRICED = "(SELECT * FROM src WHERE cost_micro IS NOT NULL) src"
+# Over all buckets a period with an unpriced one has no comparable cost; over the
+# priced ones alone every period has.
+SCOPES = """scoped AS (SELECT 'all' AS scope, * FROM src
+  UNION ALL SELECT 'priced', * FROM src WHERE cost_micro IS NOT NULL)"""
+DAYS = """spans(day, period, back, a, b) AS (
+  SELECT '2024-01-30', * FROM spans1 UNION ALL SELECT '2024-01-01', * FROM spans2)"""
+SPANS1 = SPANS.replace("spans(", "spans1(")
+SPANS2 = """spans2(period, back, a, b) AS (VALUES
+  ('today', 0, DATE '2024-01-01', DATE '2024-01-01'), ('today', 1, DATE '2023-12-31', DATE '2023-12-31'),
+  ('week', 0, DATE '2024-01-01', DATE '2024-01-01'), ('week', 1, DATE '2023-12-25', DATE '2023-12-31'),
+  ('month', 0, DATE '2024-01-01', DATE '2024-01-01'), ('month', 1, DATE '2023-12-01', DATE '2023-12-31'))"""
 
 
 def period_sql(source_sql: str, body: str) -> str:
@@ -372,20 +388,34 @@ def period_sql(source_sql: str, body: str) -> str:
 
 @query(
     "r19_delta",
-    period_sql(
-        PRICED,
-        f"SELECT period, usd AS estimated_cost_usd, prev_usd AS prev_cost_usd, "
-        f"prev_unknown AS prev_unknown_count, n_unknown AS unknown_cost_count, {DELTA} FROM cmp",
+    f"""WITH {STORES}, {SCOPES}, {SPANS1}, {SPANS2}, {DAYS},
+    per AS (
+      SELECT s.scope, day, period, back, {usd(KNOWN)} AS usd,
+        CAST(count(*) FILTER (WHERE session_id IS NOT NULL AND cost_micro IS NULL) AS BIGINT) AS n_unknown
+      FROM (VALUES ('all'), ('priced')) s(scope) CROSS JOIN spans
+        LEFT JOIN scoped ON scoped.scope = s.scope AND usage_date BETWEEN a AND b
+      GROUP BY s.scope, day, period, back
     ),
+    cmp AS (
+      SELECT n.*, p.usd AS prev_usd, p.n_unknown AS prev_unknown
+      FROM per n JOIN per p USING (scope, day, period) WHERE n.back = 0 AND p.back = 1
+    )
+    SELECT scope, day, period, usd AS estimated_cost_usd, prev_usd AS prev_cost_usd,
+      prev_unknown AS prev_unknown_count, n_unknown AS unknown_cost_count, {DELTA} FROM cmp""",
 )
 def delta_query(spark, sf):
-    """Over priced buckets only, so that every period has a comparable cost."""
-    known = source(spark, sf).filter(F.col("cost_micro").isNotNull())
-    out = None
-    for kind in ("today", "week", "month"):
-        rows = R.period_delta(known, kind, AS_OF)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Over all buckets and over the priced ones, late in the data and on its first day."""
+    every = source(spark, sf)
+    known = every.filter(F.col("cost_micro").isNotNull())
+    parts = [
+        R.period_delta(rows, kind, day).select(
+            F.lit(scope).alias("scope"), F.lit(str(day)).alias("day"), "*"
+        )
+        for scope, rows in (("all", every), ("priced", known))
+        for day in (AS_OF, date(2024, 1, 1))
+        for kind in ("today", "week", "month")
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -508,16 +538,83 @@ def cache_hit_query(spark, sf):
 @query(
     "u09_share",
     sql(
-        f"""SELECT *, CASE WHEN max(unknown_cost_count) OVER () = 0 AND sum(estimated_cost_usd)
+        f"""SELECT 'priced' AS scope, *, CASE WHEN sum(estimated_cost_usd)
         OVER () > 0 THEN 100.0::DOUBLE * estimated_cost_usd / (SELECT {usd(KNOWN)} FROM src
         WHERE {SPAN} AND cost_micro IS NOT NULL) END AS share_pct
         FROM (SELECT agent_type, {standard('user_turns')} FROM src
-          WHERE {SPAN} AND cost_micro IS NOT NULL GROUP BY agent_type)"""
+          WHERE {SPAN} AND cost_micro IS NOT NULL GROUP BY agent_type)
+        UNION ALL
+        SELECT 'all', *, CASE WHEN max(unknown_cost_count) OVER () = 0 AND sum(estimated_cost_usd)
+        OVER () > 0 THEN 100.0::DOUBLE * estimated_cost_usd / (SELECT {usd(KNOWN)} FROM src
+        WHERE {SPAN}) END FROM (SELECT agent_type, {standard('user_turns')} FROM src
+          WHERE {SPAN} GROUP BY agent_type)"""
     ),
 )
 def share_query(spark, sf):
-    known = source(spark, sf).filter(F.col("cost_micro").isNotNull())
-    return R.with_share(R.by_agent(known, FIRST, LAST), R.totals(known, FIRST, LAST))
+    """Over the priced buckets, and over all: with an unknown cost there is no share."""
+    every = source(spark, sf)
+    scopes = {"priced": every.filter(F.col("cost_micro").isNotNull()), "all": every}
+    parts = [
+        R.with_share(R.by_agent(rows, FIRST, LAST), R.totals(rows, FIRST, LAST)).select(
+            F.lit(scope).alias("scope"), "*"
+        )
+        for scope, rows in scopes.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "u11_order",
+    sql(
+        f"""SELECT agent_type, raw_model, CAST(row_number() OVER (ORDER BY agent_type, c DESC, n DESC,
+        raw_model) AS BIGINT) AS place, CAST(CASE WHEN n > 0 AND c = 0 THEN 1 ELSE 0 END AS BIGINT)
+        AS unknown_last FROM (SELECT agent_type, model AS raw_model, {KNOWN} AS c, {UNKNOWN} AS n
+          FROM src WHERE {SPAN} GROUP BY agent_type, src.model)"""
+    ),
+)
+def order_query(spark, sf):
+    """U11 and the order of R5: the place of every row as the report gives it."""
+    rows = R.by_agent_model(source(spark, sf), FIRST, LAST).withColumn(
+        "at", F.monotonically_increasing_id()
+    )
+    return rows.select(
+        "agent_type",
+        "raw_model",
+        F.row_number().over(Window.orderBy("at")).alias("place"),
+        M.unknown_last("estimated_cost_usd").alias("unknown_last"),
+    )
+
+
+@query(
+    "r02_custom_range",
+    sql(
+        f"SELECT 'from_to' AS part, {standard('message_count', 'user_turns')} FROM src WHERE "
+        f"{rng('2024-01-10', '2024-01-20')} UNION ALL SELECT 'last_7', "
+        f"{standard('message_count', 'user_turns')} FROM src WHERE {rng('2024-01-24', '2024-01-30')}"
+    ),
+)
+def custom_range_query(spark, sf):
+    """R2: totals of a stated range and of the last seven days."""
+    spans = {"from_to": custom_range("2024-01-10: 2024-01-20"), "last_7": last_days(AS_OF, 7)}
+    rows = source(spark, sf)
+    parts = [
+        R.totals(rows, span.first, span.last).select(F.lit(part).alias("part"), "*")
+        for part, span in spans.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "r24_blank",
+    sql(
+        f"SELECT *, CASE WHEN cost > 0 THEN CAST(least(round_even(cost / CASE WHEN max(cost) OVER () > 0 "
+        f"THEN max(cost) OVER () ELSE 1.0 END * 4, 0), 4) AS BIGINT) END AS level FROM ({HEAT_DAY}) x"
+    ),
+)
+def blank_query(spark, sf):
+    """R24 with no shade where nothing was spent."""
+    heat = R.heatmap(source(spark, sf), "today", AS_OF)
+    return R.with_intensity(heat, levels=5, blank_zero=True)
 
 
 @query("r26_report", sql(f"SELECT 'totals' AS part, '' AS name, {standard()} FROM src WHERE "

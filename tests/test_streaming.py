@@ -8,7 +8,13 @@ from meterstone.operators import log_b
 from meterstone.schemas import COUNTERS, TOKEN_COLS
 from meterstone.sources.logs import read_agent_b
 from meterstone.streaming.changes import snapshot_changes, summed_changes
-from meterstone.streaming.hourly import drain_append, drain_updates, hourly_usage
+from meterstone.streaming.hourly import (
+    drain_append,
+    drain_updates,
+    hourly_usage,
+    late_writer,
+    run_available,
+)
 from meterstone.streaming.steps import batch_writer, compact_state, drain_steps
 
 DAY = date(2026, 4, 20)
@@ -117,6 +123,16 @@ def test_repeated_batches_and_compaction(spark, tmp_path, write_log):
     assert {r.batch for r in state.select("batch").distinct().collect()} == {1, 2, 3}
 
 
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    times = [datetime(2026, 4, 20, 10), datetime(2026, 4, 22, 12), datetime(2026, 4, 21, 9), datetime(2026, 4, 22, 1)]
+    frame = spark.createDataFrame(list(enumerate(times)), "seq long, ts timestamp")
+    stream = in_batches(spark, frame, str(tmp_path / "in"), 1)
+    folder = str(tmp_path / "out")
+    run_available(stream, late_writer(folder), "append", folder)
+    late = spark.read.parquet(f"{folder}/late").select("seq").collect()
+    assert [r.seq for r in late] == [2]
+
+
 def test_hourly(spark, tmp_path):
     rows = [
         (1, datetime(2026, 4, 20, 10, 5), "codex", "m", 1, 1, 10, 1, 0, 0, None),
