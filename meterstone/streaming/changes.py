@@ -3,111 +3,109 @@
 Input contract (L1): every event is one immutable record with its session and a
 sequence number; records of a session arrive in sequence, in any batch split.
 
-State becomes signed change rows in append mode. Their sum per bucket is what
+The state of messages becomes signed change rows. Their sum per bucket is what
 the batch operator computes, so a sink only has to add up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from meterstone.functions.measures import poisoned_cost
 from meterstone.functions.pricebook import BUILTIN, PriceBook
 from meterstone.schemas import TOKEN_COLS
+from meterstone.session import cut_lineage, new_folder
+from meterstone.streaming.hourly import run_available
+from meterstone.streaming.state import BatchState
 
 PLACE = ["usage_date", "usage_hour", "model"]
-
-CHANGE = T.StructType(
-    [
-        T.StructField("agent_type", T.StringType()),
-        T.StructField("session_id", T.StringType()),
-        T.StructField("usage_date", T.DateType()),
-        T.StructField("usage_hour", T.IntegerType()),
-        T.StructField("model", T.StringType()),
-        T.StructField("sign", T.LongType()),
-        *[T.StructField(c, T.LongType()) for c in TOKEN_COLS],
-    ]
-)
+KEY = ["agent_type", "session_id", "msg_id"]
+LONG_WRITES = "cache_1h_tokens"
+COUNTS = [*TOKEN_COLS, LONG_WRITES]
 
 SNAPSHOT_STATE = T.StructType(
     [
+        *[T.StructField(c, T.StringType()) for c in KEY],
         T.StructField("seq", T.LongType()),
         T.StructField("usage_date", T.DateType()),
         T.StructField("usage_hour", T.IntegerType()),
         T.StructField("model", T.StringType()),
-        *[T.StructField(c, T.LongType()) for c in TOKEN_COLS],
+        *[T.StructField(c, T.LongType()) for c in COUNTS],
     ]
 )
 
 
-class SnapshotChanges(StatefulProcessor):
-    """L2: keep the newest usage snapshot of a message; take back the one it replaces."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", SNAPSHOT_STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        held = self.newest.get() if self.newest.exists() else None
-        best = None
-        # One frame at a time: only the newest row of each is kept.
-        for frame in rows:
-            top = frame.loc[frame["seq"].idxmax()]
-            if best is None or top["seq"] > best["seq"]:
-                best = top
-        if best is None or (held is not None and best["seq"] <= held[0]):
-            return
-        fields = [*PLACE, *TOKEN_COLS]
-        out = [dict(zip(fields, [best[f] for f in fields]), sign=1)]
-        if held is not None:
-            out.append(dict(zip(fields, held[1:]), sign=-1))
-        number = ("usage_hour", *TOKEN_COLS)
-        self.newest.update(
-            (int(best["seq"]), *[int(best[f]) if f in number else best[f] for f in fields])
-        )
-        frame = pd.DataFrame(out)
-        frame["agent_type"], frame["session_id"] = key[0], key[1]
-        yield frame[CHANGE.fieldNames()]
-
-    def close(self) -> None:
-        pass
+def newest_snapshots(rows: DataFrame) -> DataFrame:
+    """The last snapshot of every message among ``rows``; missing counts are zero."""
+    long_writes = F.col(LONG_WRITES) if LONG_WRITES in rows.columns else F.lit(0)
+    zero = F.lit(0).cast("bigint")
+    counts = [F.coalesce(F.col(c).cast("bigint"), zero).alias(c) for c in TOKEN_COLS]
+    counts.append(F.coalesce(long_writes.cast("bigint"), zero).alias(LONG_WRITES))
+    newest = rows.groupBy(*KEY).agg(
+        F.max_by(F.struct("seq", *PLACE, *counts), "seq").alias("s")
+    )
+    return newest.select(*KEY, "s.*").select(
+        *[F.col(f.name).cast(f.dataType) for f in SNAPSHOT_STATE]
+    )
 
 
-def newest_of_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep one row per message of each Arrow batch."""
-    for frame in frames:
-        newest = frame.groupby(["agent_type", "session_id", "msg_id"], sort=False)["seq"].idxmax()
-        yield frame.loc[newest]
+def changes_of_batch(rows: DataFrame, state: BatchState, number: int) -> tuple[DataFrame, DataFrame]:
+    """Signed changes of a batch, and the snapshots that are new in it."""
+    newest = cut_lineage(newest_snapshots(rows))
+    held = state.before(number, newest)
+    values = ["seq", *PLACE, *COUNTS]
+    old = held.select(*KEY, F.struct(*values).alias("old"))
+    better = (
+        newest.select(*KEY, F.struct(*values).alias("new"))
+        .join(old, KEY, "left")
+        .filter(F.col("old").isNull() | (F.col("new.seq") > F.col("old.seq")))
+    )
+    better = cut_lineage(better)
+    added = F.struct(F.lit(1).cast("bigint").alias("sign"), "new.*")
+    taken = F.when(F.col("old").isNotNull(), F.struct(F.lit(-1).cast("bigint").alias("sign"), "old.*"))
+    changes = better.select(*KEY, F.inline(F.array_compact(F.array(added, taken)))).drop("msg_id", "seq")
+    return changes, better.select(*KEY, "new.*")
 
 
-def snapshot_changes(snapshots: DataFrame) -> DataFrame:
-    """L2: signed usage rows from a stream of message snapshots.
+def snapshot_writer(folder: str, **options) -> Callable[[DataFrame, int], None]:
+    """L2, ``foreachBatch`` function: signed usage rows below ``<folder>/changes``.
 
-    Keyed by message, not by session: a busy session spreads over the cluster.
-    Repeats of a message are dropped before the shuffle. Needs ``agent_type,
-    session_id, msg_id, seq``, the bucket and the tokens.
+    Keyed by message, not by session: a busy session spreads over the cluster, and
+    repeats of a message are combined before the shuffle. Rows need ``agent_type,
+    session_id, msg_id, seq``, the bucket and the tokens; 1h cache writes may be given.
+    ``options`` go to the state table. A repeated batch replaces itself.
     """
-    names = ["agent_type", "session_id", "msg_id", "seq", *PLACE, *TOKEN_COLS]
-    rows = snapshots.select(*names)
-    return rows.mapInPandas(newest_of_batch, rows.schema).groupBy("agent_type", "session_id", "msg_id").transformWithStateInPandas(
-        SnapshotChanges(), CHANGE, "append", "none"
-    )
+
+    def write(batch: DataFrame, number: int) -> None:
+        state = BatchState(batch.sparkSession, f"{folder}/state", SNAPSHOT_STATE, KEY, **options)
+        changes, newest = changes_of_batch(batch, state, number)
+        changes.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+        state.put(number, newest)
+
+    return write
+
+
+def drain_snapshots(snapshots: DataFrame, **options) -> DataFrame:
+    """Run a stream of snapshots over everything available; its changes."""
+    spark = snapshots.sparkSession
+    folder = new_folder(spark, "snapshots")
+    run_available(snapshots, snapshot_writer(folder, **options), "append", folder)
+    return spark.read.parquet(f"{folder}/changes").drop("batch")
 
 
 def summed_changes(changes: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
     """Buckets from accumulated snapshot changes: a taken-back row is priced like the row it
     takes back, so the pair cancels out."""
     priced = book.with_cost(
-        changes, "cost_micro", F.col("model"), *[F.col(c) for c in TOKEN_COLS]
+        changes, "cost_micro", F.col("model"), *[F.col(c) for c in COUNTS]
     )
     # A pair of added and taken-back rows cancels before the poison test sees it.
     net = priced.groupBy(
-        "agent_type", "session_id", *PLACE, *TOKEN_COLS, "cost_micro"
+        "agent_type", "session_id", *PLACE, *COUNTS, "cost_micro"
     ).agg(F.sum("sign").alias("net"))
     return (
         net.filter(F.col("net") != 0)

@@ -12,8 +12,6 @@ from meterstone.functions.measures import known_cost, unknown_count
 from meterstone.schemas import COUNTERS
 from meterstone.session import new_folder
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def hourly_usage(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Usage per event-time hour, agent and model, kept up to date.
@@ -71,23 +69,6 @@ def late_writer(folder: str, late: str = "1 day") -> Callable[[DataFrame, int],
     return write
 
 
-def drain_append(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append stream over everything available into parquet and read it back."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    folder = new_folder(spark, name)
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{folder}/rows")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
-
-
 def run_available(stream: DataFrame, write, mode: str, folder: str) -> None:
     """Feed everything available to a ``foreachBatch`` function."""
     query = (
@@ -107,7 +88,6 @@ def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     itself.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     folder = new_folder(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:

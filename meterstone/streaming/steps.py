@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +17,7 @@ from meterstone.functions.pricebook import BUILTIN, PriceBook
 from meterstone.operators.log_b import COUNTERS, events_b, resolve_state
 from meterstone.session import cut_lineage, new_folder
 from meterstone.streaming.hourly import run_available
+from meterstone.streaming.state import BatchState
 
 SEED_CHUNK = -1
 
@@ -30,6 +30,8 @@ STATE = T.StructType(
         T.StructField("ctx_model", T.StringType()),
         *[T.StructField(c, T.LongType()) for c in COUNTERS],
         *[T.StructField(f"base_{c}", T.LongType()) for c in COUNTERS],
+        T.StructField("last_chunk", T.LongType()),
+        T.StructField("last_pos", T.LongType()),
     ]
 )
 
@@ -82,7 +84,8 @@ def state_after(resolved: DataFrame) -> DataFrame:
         newest("ctx_model").alias("ctx_model"),
         *[newest(c).alias(c) for c in COUNTERS],
         *[F.max(f"base.{c}").alias(f"base_{c}") for c in COUNTERS],
-    )
+        F.max(order).alias("at"),
+    ).select("*", F.col("at.chunk").alias("last_chunk"), F.col("at.pos").alias("last_pos")).drop("at")
 
 
 def steps_of_batch(
@@ -95,58 +98,42 @@ def steps_of_batch(
     return events_b(resolved.filter(F.col("chunk") > SEED_CHUNK), book), state_after(resolved)
 
 
-def newest_state(parts: DataFrame) -> DataFrame:
-    """The last state of every session over the batches that touched it."""
-    names = [c for c in STATE.fieldNames() if c != "file_path"]
-    newest = parts.groupBy("file_path").agg(F.max_by(F.struct(*names), "batch").alias("s"))
-    return newest.select("file_path", "s.*")
-
+def out_of_sequence(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows at or before a place that an earlier batch has passed already."""
+    passed = state.select("file_path", F.struct("last_chunk", "last_pos").alias("passed"))
+    late = F.struct("chunk", "pos") <= F.col("passed")
+    return rows.join(passed, "file_path", "left").filter(late).drop("passed")
 
-def compact_state(spark: SparkSession, folder: str) -> None:
-    """Gather the state of old batches in one, while the stream is not running.
 
-    The last batch stays as it is: a restarted stream may repeat it and must
-    find what lay before it. The gathered rows are written before the old ones
-    are emptied, so stopping half-way leaves nothing wrong.
-    """
-    parts = spark.read.parquet(f"{folder}/state")
-    numbers = sorted(r.batch for r in parts.select("batch").distinct().collect())
-    if len(numbers) < 3:
-        return
-    target = numbers[-2]
-    gathered = newest_state(parts.filter(F.col("batch") <= target))
-    cut_lineage(gathered).write.mode("overwrite").parquet(
-        f"{folder}/state/batch={target}"
-    )
-    for number in numbers[:-2]:
-        bare = spark.createDataFrame([], STATE)
-        bare.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
-
-
-def batch_writer(folder: str, book: PriceBook = BUILTIN) -> Callable[[DataFrame, int], None]:
+def batch_writer(
+    folder: str, book: PriceBook = BUILTIN, **options
+) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that keeps events and state below ``folder``.
 
     Both are written under the batch number and a batch reads the state of the
-    batches before it only, so a repeated batch replaces itself.
+    batches before it only, so a repeated batch replaces itself. Rows that come
+    after their place has passed would give wrong steps: they are left out and kept
+    below ``<folder>/late``, for the history sync to read their logs again.
+    ``options`` go to the state table.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            parts = spark.read.parquet(f"{folder}/state")
-            state = newest_state(parts.filter(F.col("batch") < number))
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            state = spark.createDataFrame([], STATE)
-        events, after = steps_of_batch(batch, state, book)
+        table = BatchState(batch.sparkSession, f"{folder}/state", STATE, ["file_path"], **options)
+        rows = cut_lineage(batch)
+        state = cut_lineage(
+            table.before(number, rows).join(rows.select("file_path").distinct(), "file_path", "left_semi")
+        )
+        late = cut_lineage(out_of_sequence(rows, state))
+        late.write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        good = rows.join(late.select("file_path", "chunk", "pos"), ["file_path", "chunk", "pos"], "left_anti")
+        events, after = steps_of_batch(good.select(*rows.columns), state, book)
         events.write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
-        after.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        table.put(number, after)
 
     return write
 
 
-def drain_steps(parsed: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
+def drain_steps(parsed: DataFrame, book: PriceBook = BUILTIN, **options) -> DataFrame:
     """L3: run a stream of parsed agent-B rows over everything available; its events.
 
     ``parsed`` has the columns of ``log_b.parse_lines``; ``(chunk, pos)`` goes up
@@ -154,5 +141,5 @@ def drain_steps(parsed: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
     """
     spark = parsed.sparkSession
     folder = new_folder(spark, "steps")
-    run_available(parsed, batch_writer(folder, book), "append", folder)
+    run_available(parsed, batch_writer(folder, book, **options), "append", folder)
     return spark.read.parquet(f"{folder}/events").drop("batch")

@@ -8,9 +8,9 @@ from meterstone.functions.measures import dollars, poisoned_cost
 from meterstone.operators import live as live_ops
 from meterstone.operators import log_b
 from meterstone.schemas import COUNTERS, TOKEN_COLS
-from meterstone.streaming.changes import snapshot_changes, summed_changes
-from meterstone.session import new_folder
-from meterstone.streaming.hourly import drain_append, drain_updates, hourly_usage
+from meterstone.streaming.changes import drain_snapshots, summed_changes
+from meterstone.session import cut_lineage, new_folder
+from meterstone.streaming.hourly import drain_updates, hourly_usage
 from meterstone.streaming.steps import drain_steps
 from suite.q_logs import LOGS_A, LOGS_B
 from suite.queries import query
@@ -20,7 +20,6 @@ from suite.views import (
     NOON,
     all_buckets,
     lines_b,
-    request_stream,
     requests,
     sessions,
     week_id,
@@ -157,6 +156,20 @@ def trend_query(spark, sf):
 # ── Streams ──────────────────────────────────────────────────────────────
 
 
+def in_batches(rows, order: str, batches: int = 4):
+    """The rows as a stream of so many batches, in the order of a column."""
+    spark = rows.sparkSession
+    folder = new_folder(spark, "stream")
+    held = cut_lineage(rows)
+    low, high = held.agg(F.min(order), F.max(order)).first()
+    step = (high - low) // batches + 1
+    for k in range(batches):
+        part = held.filter(F.col(order).between(low + k * step, low + (k + 1) * step - 1))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    files = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", "1")
+    return files.parquet(folder)
+
+
 @query(
     "l02_stream_snapshot",
     f"""WITH {LOGS_A.replace("WHERE agent_type = 'claude_code'", "")},
@@ -179,8 +192,9 @@ def trend_query(spark, sf):
     ),
 )
 def stream_snapshot_query(spark, sf):
-    """L2: snapshots as a stream; the sum of its changes against the last snapshots."""
-    rows = request_stream(spark, sf).select(
+    """L2: snapshots as a stream of several batches; the sum of its changes against the
+    last snapshots."""
+    rows = in_batches(requests(spark, sf), "event_id").select(
         *KEYS,
         week_id().alias("msg_id"),
         F.col("event_id").alias("seq"),
@@ -189,7 +203,7 @@ def stream_snapshot_query(spark, sf):
         "model",
         *TOKEN_COLS,
     )
-    changes = drain_append(snapshot_changes(rows), "snapshots")
+    changes = drain_snapshots(rows, gather=2)
     return summed_changes(changes).withColumn("cost_usd", dollars(F.col("cost_micro"))).drop(
         "cost_micro"
     )
@@ -202,15 +216,13 @@ def stream_snapshot_query(spark, sf):
     FROM eb GROUP BY agent_type, session_id, eb.usage_date, eb.usage_hour, model""",
 )
 def stream_delta_query(spark, sf):
-    """L3: parsed agent-B rows as a stream; its steps summed per bucket."""
+    """L3: parsed agent-B rows as a stream of several batches; its steps summed per bucket."""
     rows = log_b.parse_lines(lines_b(requests(spark, sf)))
-    folder = new_folder(spark, "parsed")
-    rows.write.parquet(folder)
-    stream = spark.readStream.schema(rows.schema).parquet(folder)
+    stream = in_batches(rows, "pos")
     session = F.regexp_extract("file_path", r"rollout-([^/]+)\.jsonl$", 1)
     keys = ["agent_type", session.alias("session_id"), "usage_date", "usage_hour", "model"]
     return (
-        drain_steps(stream)
+        drain_steps(stream, gather=2)
         .groupBy(*keys)
         .agg(
             *[F.sum(c).alias(c) for c in COUNTERS],
@@ -229,8 +241,8 @@ def stream_delta_query(spark, sf):
     model""",
 )
 def stream_hourly_query(spark, sf):
-    """Hourly usage kept by a watermarked aggregation."""
-    rows = request_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    """Hourly usage kept by a watermarked aggregation, over several batches."""
+    rows = in_batches(requests(spark, sf), "event_id").withColumn("ts", F.col("ts").cast("timestamp"))
     keys = ["usage_date", "usage_hour", "agent_type", "model"]
     latest = drain_updates(hourly_usage(rows), "hourly", keys)
     return latest.withColumn("estimated_cost_usd", dollars(F.col("cost_micro"))).drop("cost_micro")

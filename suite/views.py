@@ -64,13 +64,6 @@ def requests(spark: SparkSession, sf: str, book: PriceBook = BUILTIN) -> DataFra
     return requests_of(table(spark, sf, "events"), book)
 
 
-def request_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same requests as a stream over the event files."""
-    schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return requests_of(events.parquet(sf))
-
-
 def requests_of(events: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
     e, user = F.col("event_id"), F.col("user_id")
     kind = F.col("event_type")

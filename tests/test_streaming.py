@@ -7,15 +7,15 @@ from logs import context, event, meta, tokens, total
 from meterstone.operators import log_b
 from meterstone.schemas import COUNTERS, TOKEN_COLS
 from meterstone.sources.logs import read_agent_b
-from meterstone.streaming.changes import snapshot_changes, summed_changes
+from meterstone.streaming.changes import drain_snapshots, summed_changes
 from meterstone.streaming.hourly import (
-    drain_append,
     drain_updates,
     hourly_usage,
     late_writer,
     run_available,
 )
-from meterstone.streaming.steps import batch_writer, compact_state, drain_steps
+from meterstone.streaming.state import BatchState
+from meterstone.streaming.steps import STATE, batch_writer, drain_steps
 
 DAY = date(2026, 4, 20)
 
@@ -53,7 +53,7 @@ def test_snapshot_moves_between_batches(spark, tmp_path):
         "usage_hour int, model string, " + ", ".join(f"{c} long" for c in TOKEN_COLS),
     )
     stream = in_batches(spark, frame, str(tmp_path / "in"), 2)
-    changes = drain_append(snapshot_changes(stream), "snapshots")
+    changes = drain_snapshots(stream, buckets=2, gather=2)
     got = {
         (r.usage_hour, r.model): (r.input_tokens, r.output_tokens, r.cost_micro)
         for r in summed_changes(changes).collect()
@@ -111,16 +111,19 @@ def test_repeated_batches_and_compaction(spark, tmp_path, write_log):
     rows = parsed.withColumn("pos", line).checkpoint()
     want = log_b.events_b(log_b.resolve_state(rows)).agg(*[F.sum(c) for c in COUNTERS]).first()
     folder = str(tmp_path / "steps")
-    write = batch_writer(folder)
+    write = batch_writer(folder, gather=2)
     for number in range(4):
         if number == 3:
-            compact_state(spark, folder)
             write(rows.filter(F.floor(F.col("pos") / 7) == 2), 2)
         write(rows.filter(F.floor(F.col("pos") / 7) == number), number)
+    # A row whose place has passed changes nothing and is kept apart.
+    write(rows.filter("pos = 5"), 4)
     events = spark.read.parquet(f"{folder}/events")
     assert events.agg(*[F.sum(c) for c in COUNTERS]).first() == want
-    state = spark.read.parquet(f"{folder}/state")
-    assert {r.batch for r in state.select("batch").distinct().collect()} == {1, 2, 3}
+    assert [r.pos for r in spark.read.parquet(f"{folder}/late").collect()] == [5]
+    state = BatchState(spark, f"{folder}/state", STATE, ["file_path"], gather=2)
+    assert sorted(state._numbers("base")) == [1, 3]
+    assert state.before(5).count() == 1 and state.before(0).count() == 0
 
 
 def test_late_rows_are_kept_apart(spark, tmp_path):
