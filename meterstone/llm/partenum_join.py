@@ -28,7 +28,7 @@ from meterstone.llm.wordhash import Words, chunks, mixed, rolled, words_of
 _U = np.uint64
 
 #: A block holds about so many shingles and sets at most; two blocks meet in a task.
-BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 4_096
+BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 512
 #: Up to so many ids of candidates are broadcast to pick their texts; beyond, texts are
 #: joined by id.
 BROADCAST_IDS = 2_000_000
