@@ -16,7 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterstone.llm.common import stage
+
 UNKNOWN = "und"
+#: Up to so many languages their rates are broadcast; beyond, Spark joins them.
+BROADCAST_LANGUAGES = 10_000
 
 #: ASCII letters stay (lower-cased), all other ASCII becomes a blank.
 _LETTERS = bytes(
@@ -178,8 +182,10 @@ def fit_language(
     ).where(F.col("lang").isNotNull() & (F.col("text") != ""))
     if training is not None:
         known = known.where(training)
-    counts = known.groupBy("lang").count()
-    rate = F.broadcast(counts.select("lang", (F.lit(float(fit.sample_rows)) / F.col("count")).alias("rate")))
+    counts = stage(known.groupBy("lang").count())
+    rate = counts.select("lang", (F.lit(float(fit.sample_rows)) / F.col("count")).alias("rate"))
+    if counts.count() <= BROADCAST_LANGUAGES:
+        rate = F.broadcast(rate)
     mark = F.xxhash64("id", "text")
     rows = (
         known.join(rate, "lang")
