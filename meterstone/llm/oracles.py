@@ -43,3 +43,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS
     list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone, x)), lambda x: w[x]), ' ') END) AS kept_sha256
 FROM d LEFT JOIN l USING (doc_id)
 """
+
+JACCARD_JOIN = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT rid, array_to_string(w[i:i + 2], ' ') AS sh
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (
+  SELECT x.rid AS a, y.rid AS b, count(*) AS k FROM s x JOIN s y ON x.sh = y.sh AND x.rid < y.rid
+  GROUP BY x.rid, y.rid),
+e AS (
+  SELECT a, b FROM p JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b
+  WHERE 100 * k >= 90 * (na.n + nb.n - k)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(rid, other) AS (
+  SELECT rid, rid FROM d UNION SELECT r.rid, u.b FROM r JOIN u ON u.a = r.other),
+c AS (SELECT r.rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.other GROUP BY r.rid),
+l AS (SELECT a AS rid, count(*) AS n_links FROM u GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id,
+  CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM d JOIN c USING (rid) LEFT JOIN n USING (rid) LEFT JOIN l USING (rid)
+"""

@@ -120,7 +120,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_jaccard_join": (op1_jaccard_join, None),
+    "op1_jaccard_join": (op1_jaccard_join, oracles.JACCARD_JOIN),
     "op2_brown_scoring": (op2_brown_scoring, None),
     "op3_substring_dedup": (op3_substring_dedup, oracles.SUBSTRING_DEDUP),
     "op4_html_layout": (op4_html_layout, None),
