@@ -165,7 +165,7 @@ def judge(
     voted = stage(measured.withColumn("votes", F.concat(*(v.cast("string") for v in rules().values()))))
     # Bounded: one row for each vote pattern.
     patterns = voted.groupBy("votes").count().orderBy("votes").collect()
-    votes = np.array([[int(v) for v in r.votes] for r in patterns], dtype=int).reshape(len(patterns), -1)
+    votes = np.array([[int(v) for v in r.votes] for r in patterns], dtype=int)
     posterior = (
         expectation_maximisation(votes, np.array([r["count"] for r in patterns], dtype=float))[0]
         if patterns
