@@ -82,6 +82,7 @@ def session_rows(hours: DataFrame, chosen: DataFrame) -> DataFrame:
         *sums(),
         (F.count_if(is_bucket()) > 0).alias("has_buckets"),
         F.min(F.when(is_bucket(), F.col("usage_date"))).alias("first_usage_date"),
+        F.array_sort(F.collect_set(F.when(is_bucket(), F.col("usage_date")))).alias("usage_days"),
         F.when(
             F.count_if(open_bucket) == 0,
             F.coalesce(F.sum(bucket_cost), F.lit(0).cast(MONEY)),

@@ -9,7 +9,7 @@ from meterstone.operators.cube import complete_sessions
 from meterstone.schemas import COUNTERS, MONEY, SESSION_KEY, SESSION_TEXT
 
 # What the session table knows about a session's buckets and the log they come from.
-STORAGE = ["has_buckets", "first_usage_date", "log_modified", "log_path"]
+STORAGE = ["has_buckets", "first_usage_date", "usage_days", "log_modified", "log_path"]
 
 
 def merge_sessions(stored: DataFrame, changes: DataFrame) -> DataFrame:

@@ -8,13 +8,12 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterstone.functions.pricebook import BUILTIN, PriceBook
+from meterstone.functions.pricebook import PriceBook
 from meterstone.operators.cube import chosen_files, not_older, session_rows, usage_buckets
 from meterstone.operators.merge import fill_from_index
 from meterstone.operators.pricing import reprice_sessions, reprice_usage
 from meterstone.session import cut_lineage, work_folder
 from meterstone.sources.logs import index_sessions, read_session_index
-from meterstone.sources.manifest import update_manifest
 from meterstone.sources.registry import LogSource, parse_all
 from meterstone.sources.tables import TableStore
 
@@ -38,14 +37,16 @@ def sync_history(
     store: TableStore,
     sources: list[LogSource],
     as_of: date,
-    book: PriceBook = BUILTIN,
+    book: PriceBook | None = None,
     index_root: str | None = None,
 ) -> SyncResult:
     """Read what changed, replace the buckets of the changed sessions and merge their rows.
 
     Manifest entries carry the price version: after a price change every log is
-    new again and its requests are priced one by one.
+    new again and its requests are priced one by one. Without a ``book`` the one
+    of the store, with its edits, is used.
     """
+    book = store.price_book() if book is None else book
     spark = store.spark
     work_folder(spark)  # without one nothing is begun
     result = SyncResult()
@@ -68,7 +69,7 @@ def sync_history(
             store.merge_sessions(
                 cut_lineage(rows.withColumn("cost_is_set", F.lit(True)))
             )
-        store.put_manifest(update_manifest(manifest, parsed.seen))
+        store.put_manifest(parsed.seen)
     store.put_setting(PRICE_KEY, book.version)
     return result
 

@@ -76,6 +76,7 @@ SESSIONS = T.StructType(
         T.StructField("started_hour", T.IntegerType()),
         T.StructField("has_buckets", T.BooleanType()),
         T.StructField("first_usage_date", T.DateType()),
+        T.StructField("usage_days", T.ArrayType(T.DateType())),
         T.StructField("log_modified", T.TimestampType()),
         T.StructField("log_path", T.StringType()),
     ]

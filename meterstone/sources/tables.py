@@ -13,14 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterstone.functions.pricebook import PriceBook, as_price, as_prices
 from meterstone.operators.merge import merge_sessions, replace_usage
-from meterstone.schemas import SESSION_KEY, SESSIONS, USAGE
+from meterstone.operators.pricing import PRICE_COLS, book_from_rules, current_rules
+from meterstone.schemas import PRICE, SESSION_KEY, SESSIONS, USAGE
 from meterstone.session import cut_lineage
 from meterstone.sources.manifest import MANIFEST
 
 SETTINGS = T.StructType(
     [T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]
 )
+PRICE_EDITS = T.StructType(
+    [
+        T.StructField("version", T.LongType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("model", T.StringType()),
+        T.StructField("threshold", T.LongType()),
+        T.StructField("op", T.StringType()),
+        *[T.StructField(c, PRICE) for c in (*PRICE_COLS, "write_1h")],
+    ]
+)
 STORED_SESSIONS = T.StructType([*SESSIONS.fields, T.StructField("key_bucket", T.IntegerType())])
 
 
@@ -51,19 +63,56 @@ class TableStore:
             "key_bucket"
         )
 
+    def _newest(self, name: str, schema: T.StructType, key: str) -> DataFrame:
+        """Tables that only grow: of each key the row of the last version counts."""
+        rows = self._read(name, T.StructType([*schema.fields, T.StructField("version", T.LongType())]))
+        rest = [f.name for f in schema if f.name != key]
+        newest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "version").alias("row"))
+        return newest.select(key, "row.*").select(*schema.fieldNames())
+
+    def _append(self, name: str, schema: T.StructType, rows: DataFrame) -> None:
+        """One commit: a crash leaves the old version whole."""
+        versions = self._read(name, T.StructType([*schema.fields, T.StructField("version", T.LongType())]))
+        last = versions.agg(F.max("version")).first()[0] or 0
+        named = rows.select(*schema.fieldNames(), F.lit(last + 1).cast("bigint").alias("version"))
+        named.write.mode("append").parquet(self.path(name))
+
     def manifest(self) -> DataFrame:
-        return self._read("manifest", MANIFEST)
+        return self._newest("manifest", MANIFEST, "file_path")
+
+    def put_manifest(self, seen: DataFrame) -> None:
+        """Note the files that were read, in the state they had."""
+        self._append("manifest", MANIFEST, seen)
 
     def setting(self, key: str) -> str | None:
-        row = self._read("settings", SETTINGS).filter(F.col("key") == key).first()
+        row = self._newest("settings", SETTINGS, "key").filter(F.col("key") == key).first()
         return row.value if row else None
 
     def put_setting(self, key: str, value: str) -> None:
-        rest = self._read("settings", SETTINGS).filter(F.col("key") != key)
-        new = self.spark.createDataFrame([(key, value)], SETTINGS)
-        cut_lineage(rest.unionByName(new)).coalesce(1).write.mode("overwrite").parquet(
-            self.path("settings")
-        )
+        if self.setting(key) != value:
+            self._append("settings", SETTINGS, self.spark.createDataFrame([(key, value)], SETTINGS))
+
+    def edit_prices(self, edits: list[dict]) -> None:
+        """Add edits of the price rules, in order; they hold from the next sync on.
+
+        An edit names ``kind`` (model, tier, cache, disable or all) and ``op`` (set or
+        remove), and what the kind needs of ``model``, ``threshold``, ``prices`` (four)
+        and ``write_1h``.
+        """
+        last = self._read("price_edits", PRICE_EDITS).agg(F.max("version")).first()[0] or 0
+        rows = []
+        for version, edit in enumerate(edits, last + 1):
+            # Mistakes show here and not in a later sync.
+            prices = as_prices(edit["prices"]) if "prices" in edit else (None,) * 4
+            write = as_price(edit["write_1h"]) if "write_1h" in edit else None
+            rows.append(
+                (version, edit["kind"], edit.get("model"), edit.get("threshold"), edit["op"], *prices, write)
+            )
+        self.spark.createDataFrame(rows, PRICE_EDITS).write.mode("append").parquet(self.path("price_edits"))
+
+    def price_book(self) -> PriceBook:
+        """The book with the edits made so far."""
+        return book_from_rules(current_rules(self._read("price_edits", PRICE_EDITS)))
 
     def key_bucket(self):
         return F.pmod(F.hash(*SESSION_KEY), F.lit(self.key_buckets))
@@ -93,34 +142,34 @@ class TableStore:
     def replace_usage(self, changed: DataFrame, fresh: DataFrame) -> None:
         """Swap the buckets of the changed sessions.
 
-        Only days with old or new buckets of these sessions are rewritten. Old
-        ones cannot lie before the first usage day the session table knows. Days
-        are collected as literals: there are as many as the calendar has.
+        Only days with old or new buckets of these sessions are rewritten. The session
+        table knows the days of a session; where a row does not, the days are looked
+        for in the usage table, from the first one on. Days are collected as literals:
+        there are as many as the calendar has.
         """
         stored = self.usage()
         keys = changed.select(*SESSION_KEY).distinct()
-        undated = F.col("has_buckets") & F.col("first_usage_date").isNull()
-        known = (
-            self.sessions()
-            .join(keys, SESSION_KEY, "left_semi")
-            .agg(
-                F.count_if(F.col("has_buckets")).alias("held"),
-                F.min("first_usage_date").alias("since"),
-                F.count_if(undated).alias("undated"),
-            )
-            .first()
-        )
-        days: set[date] = {r[0] for r in fresh.select("usage_date").distinct().collect()}
-        if known.held:
+        held = self.sessions().filter("has_buckets").join(keys, SESSION_KEY, "left_semi")
+        named = held.select(F.explode("usage_days").alias("usage_date"))
+        new = fresh.select("usage_date").unionByName(named).distinct()
+        days: set[date] = {r[0] for r in new.collect()}
+        unknown = held.filter(F.col("usage_days").isNull())
+        since = unknown.agg(
+            F.count("*").alias("rows"),
+            F.min("first_usage_date").alias("first"),
+            F.count_if(F.col("first_usage_date").isNull()).alias("undated"),
+        ).first()
+        if since.rows:
             old = stored
-            if not known.undated:
-                old = stored.filter(F.col("usage_date") >= F.lit(known.since))
-            mine = old.join(keys, SESSION_KEY, "left_semi")
+            if not since.undated:
+                old = stored.filter(F.col("usage_date") >= F.lit(since.first))
+            mine = old.join(unknown.select(*SESSION_KEY), SESSION_KEY, "left_semi")
             days |= {r[0] for r in mine.select("usage_date").distinct().collect()}
         if not days:
             return
         touched = stored.filter(F.col("usage_date").isin(sorted(days)))
-        rows = replace_usage(touched, keys, fresh)
+        # Staged, because its days are looked at before it is written.
+        rows = cut_lineage(replace_usage(touched, keys, fresh))
         left = {r[0] for r in rows.select("usage_date").distinct().collect()}
         self._write_days(rows)
         for day in sorted(days - left):
@@ -143,6 +192,3 @@ class TableStore:
         """Rewrite both tables, for example after repricing. Days and keys stay the same."""
         self._write_days(usage)
         self._write_sessions(sessions)
-
-    def put_manifest(self, rows: DataFrame) -> None:
-        cut_lineage(rows).write.mode("overwrite").parquet(self.path("manifest"))

@@ -161,6 +161,7 @@ def stored_sessions(rows: DataFrame) -> DataFrame:
             {
                 "has_buckets": held,
                 "first_usage_date": first,
+                "usage_days": F.lit(None).cast("array<date>"),
                 "log_modified": F.lit(None).cast("timestamp"),
                 "log_path": F.lit(None).cast("string"),
             }

@@ -170,3 +170,17 @@ def test_broken_source_is_left_out(spark, world):
     )
     assert list(result.failed) == ["bad"]
     assert set(rows(store)) == {"s"}
+
+
+def test_price_edits_persist(world):
+    store, a, b = world
+    go(store, a, b, None)
+    assert rows(store)["s"].cost_micro == 5_000_000
+    store.edit_prices([{"kind": "model", "op": "set", "model": "claude-opus-4-7", "prices": (1, 0, 0, 0)}])
+    assert go(store, a, b, None).repriced
+    assert rows(store)["s"].cost_micro == 1_000_000
+    store.edit_prices([{"kind": "model", "op": "remove", "model": "claude-opus-4-7"}])
+    go(store, a, b, None)
+    assert rows(store)["s"].cost_micro == 5_000_000
+    with pytest.raises(ValueError):
+        store.edit_prices([{"kind": "model", "op": "set", "model": "m", "prices": (0.0000004, 0, 0, 0)}])
