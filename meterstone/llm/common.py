@@ -8,8 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the contracts, and the words between it.
-SPACE = r"[\x20\x09-\x0D]"
+#: Fixed value: a word of the contracts, that is, anything between white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,7 +92,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .distinct()
     )
-    links, last = links, None
+    last = None
     for _ in range(rounds):
         # Large star: every larger neighbour links to the least neighbour.
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
