@@ -15,7 +15,7 @@ from meterstone.llm.compression_quality import fit_quality, quality_score
 from meterstone.llm.context_pii import mask_pii
 from meterstone.llm.decontaminate import contaminated, decontaminate
 from meterstone.llm.mixing import take
-from meterstone.llm.partenum_join import keep_one
+from meterstone.llm.partenum_join import Join, keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of linked ones, that of least id."""
-    return keep_one(docs)
+    """Keep one document of each group of linked ones, that of least id.
+
+    Near copies link at 0.8 of their runs of five words.
+    """
+    return keep_one(docs, join=Join(shingle=5, part=80, whole=100))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,6 +148,12 @@ def signatures(sets: Sets, chosen: np.ndarray, join: Join) -> tuple[np.ndarray,
     return np.concatenate(out_text), np.concatenate(out_key)
 
 
+def prefix_length(size: np.ndarray, join: Join) -> np.ndarray:
+    """So many first elements of a set include one of any set it links to (0 for empty sets)."""
+    least = -(-size * join.part // join.whole)
+    return np.where(size > 0, size - least + 1, 0)
+
+
 def _doc_rows(join: Join):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,25 +193,89 @@ def _signature_rows(join: Join):
                 text, key = signatures(sets, first, join)
                 keys.append(key.view(np.int64))
                 nodes.append(node[text])
+            yield from _sent(np.concatenate(keys), np.concatenate(nodes))
+
+    return rows
+
+
+FRESH, SURE, NEED, BEYOND = range(4)
+
+
+def _prefix_rows(join: Join):
+    """Per batch and set: ``key, node, kind``. Keys are the elements of the first half of the
+    order: ``FRESH`` ones once for a batch, ``SURE`` ones, which several sets of the batch
+    have, for each of them. ``NEED`` is the length of the prefix less all its ``FRESH`` and
+    ``SURE`` elements; where that is above 0, the prefix goes on with the ``BEYOND`` ones."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, nodes, out = [], [], []
+            known = np.zeros(0, dtype=np.int64)
+            for _, data, offsets in chunks(batch.column("text")):
+                sets = shingle_sets(words_of(data, offsets, lower=True), join.shingle)
+                node = class_keys(sets)[0].view(np.int64)
+                first = np.zeros(len(node), dtype=bool)
+                first[np.unique(node, return_index=True)[1]] = True
+                first &= ~np.isin(node, known) & (sets.size > 0)
+                known = np.concatenate((known, node[first]))
+                use = first[sets.text]
+                text, element = sets.text[use], sets.element[use]
+                early = (mixed(element ^ _U(0x5EED)) & _U(1)) == 0
+                keys.append(element[early].view(np.int64))
+                nodes.append(node[text[early]])
+                need = prefix_length(sets.size, join) - np.bincount(text[early], minlength=len(node))
+                out.append((need[first], node[first], NEED))
+                late, of = element[~early], text[~early]
+                # Elements are sorted within the text.
+                begins = np.searchsorted(of, np.arange(len(node)))
+                beyond = np.arange(len(of)) - begins[of] < need[of]
+                out.append((late[beyond].view(np.int64), node[of[beyond]], BEYOND))
             key, node = np.concatenate(keys), np.concatenate(nodes)
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
             fresh = np.ones(len(key), dtype=bool)
             fresh[1:] = key[1:] != key[:-1]
-            least = node[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(key) else node
-            linked = np.unique(np.column_stack((least, node))[node != least], axis=0)
-            for a, b, seen in ((key[fresh], node[fresh], False), (linked[:, 0], linked[:, 1], True)):
-                for cut in range(0, len(a), 1 << 17):
-                    piece = slice(cut, cut + (1 << 17))
-                    n = len(a[piece])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ascontiguousarray(a[piece])), pa.array(np.ascontiguousarray(b[piece])), pa.array(np.full(n, seen))],
-                        names=["signature", "node", "seen"],
-                    )
+            size = np.diff(np.append(np.flatnonzero(fresh), len(key)))
+            sure = np.repeat(size > 1, size)
+            out += [(key[fresh], node[fresh], FRESH), (key[sure], node[sure], SURE)]
+            for k, n, kind in out:
+                yield from _in_pieces(k, n, np.full(len(k), kind, dtype=np.int8), "key", "kind")
 
     return rows
 
 
+def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_signature_rows``, of ``node, keys``."""
+    for batch in batches:
+        lists = batch.column("keys")
+        sizes = pa.compute.list_value_length(lists).to_numpy()
+        yield from _sent(lists.flatten().to_numpy(), np.repeat(batch.column("node").to_numpy(), sizes))
+
+
+def _in_pieces(
+    key: np.ndarray, node: np.ndarray, mark: np.ndarray, key_name: str, mark_name: str
+) -> Iterator[pa.RecordBatch]:
+    for cut in range(0, len(key), 1 << 17):
+        piece = slice(cut, cut + (1 << 17))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ascontiguousarray(c[piece])) for c in (key, node, mark)],
+            names=[key_name, "node", mark_name],
+        )
+
+
+def _sent(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``signature, node, seen`` of a batch: each signature with its least node, and the
+    other nodes of the batch linked to it."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    fresh = np.ones(len(key), dtype=bool)
+    fresh[1:] = key[1:] != key[:-1]
+    least = node[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(key) else node
+    linked = np.unique(np.column_stack((least, node))[node != least], axis=0)
+    for a, b, seen in ((key[fresh], node[fresh], False), (linked[:, 0], linked[:, 1], True)):
+        yield from _in_pieces(a, b, np.full(len(a), seen), "signature", "seen")
+
+
 def sketches(elements: list[np.ndarray]) -> np.ndarray:
     """Parity of the elements by hash: sets differ in at least as many elements as bits."""
     out = np.zeros((len(elements), SKETCH // 64), dtype=np.uint64)
@@ -321,6 +391,44 @@ def _elements(join: Join):
     return rows
 
 
+SENT = "signature long, node long, seen boolean"
+
+
+def by_signature(texts: DataFrame, join: Join) -> DataFrame:
+    return texts.select("text").mapInArrow(_signature_rows(join), SENT)
+
+
+def by_prefix(texts: DataFrame, join: Join) -> DataFrame:
+    """As ``by_signature``, with the elements of prefixes in place of signatures.
+
+    Elements that a single set has cannot link it and stand first; a prefix holds them
+    all, and then those that others have too, in the order of their hash.
+    """
+    sent = texts.select("text").mapInArrow(_prefix_rows(join), "key long, node long, kind byte")
+    fresh = F.col("kind") == FRESH
+    # Only fresh rows need company, one row a batch; the others are spread.
+    place = Window.partitionBy("place", "kind")
+    judged = (
+        sent.withColumn("place", F.when(fresh, F.col("key")).otherwise(F.xxhash64("key", "node")))
+        .withColumn("least", F.min("node").over(place))
+        .withColumn("most", F.max("node").over(place))
+        .where(~fresh | (F.col("least") != F.col("most")))
+    )
+    early = F.collect_set(F.when(F.col("kind").isin(FRESH, SURE), F.col("key")))
+    prefixes = (
+        judged.groupBy("node")
+        .agg(
+            F.max(F.when(F.col("kind") == NEED, F.col("key"))).alias("need"),
+            F.sort_array(early).alias("early"),
+            F.collect_set(F.when(F.col("kind") == BEYOND, F.col("key"))).alias("beyond"),
+        )
+        .withColumn("left", F.greatest(F.col("need") + F.size("early"), F.lit(0)).cast("int"))
+        .where("left > 0")
+        .select("node", F.concat(F.slice("early", F.lit(1), F.col("left")), "beyond").alias("keys"))
+    )
+    return prefixes.mapInArrow(_prefix_keys, SENT)
+
+
 def linked_rows(rows: DataFrame, join: Join = Join()) -> DataFrame:
     """``rows(row, doc_id, text)``: return ``row, doc_id, n_shingles, component_id, n_links``
     and ``component``, which names the component also where ids are shared or missing."""
@@ -328,8 +436,8 @@ def linked_rows(rows: DataFrame, join: Join = Join()) -> DataFrame:
     known = stage(
         texts.mapInArrow(_doc_rows(join), "row long, doc_id long, n_shingles long, h1 long, h2 long")
     )
-    sent = texts.select("text").mapInArrow(
-        _signature_rows(join), "signature long, node long, seen boolean"
+    sent = (
+        by_signature(texts, join) if join.part * 10 >= join.whole * 9 else by_prefix(texts, join)
     )
     least = F.min("node").over(Window.partitionBy("signature", "seen"))
     edges = (
