@@ -73,13 +73,15 @@ def inputs(measured: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(d)), 20 * d, r, 20 * d * r, r * r])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps of a logistic fit with a small ridge."""
+def logistic(
+    x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50, ridge: float = 1e-2
+) -> np.ndarray:
+    """Newton steps of a logistic fit of weighted rows with a small ridge."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - ridge * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        slope = x.T @ (weight * (y - p)) - ridge * w
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         move = np.linalg.solve(bend, slope)
         w += move
         if np.abs(move).max() < 1e-9:
@@ -111,18 +113,29 @@ class QualityModel:
         return score
 
 
-def learn(rows: list[tuple[bytes, int]], fit: Fit = Fit()) -> QualityModel:
+def learn(
+    rows: list[tuple[bytes, int]], fit: Fit = Fit(), totals: tuple[int, int] | None = None
+) -> QualityModel:
     """Learn from ``(text, label)`` rows: every other row of a label builds its
-    dictionary, the rest calibrate."""
+    dictionary, the rest calibrate.
+
+    ``totals`` are the numbers of bad and good rows that the sample was taken from. The
+    prior and the weights of the labels follow them, whatever the sample has of each.
+    """
     of = {label: [t for t, y in rows if y == label and t] for label in (0, 1)}
-    prior = (len(of[1]) + 1) / (len(of[0]) + len(of[1]) + 2)
+    bad_rows, good_rows = totals or (len(of[0]), len(of[1]))
+    prior = (good_rows + 1) / (bad_rows + good_rows + 2)
     if not of[0] or not of[1]:
         return QualityModel(b"", b"", (), prior, fit)
     bad, good = (dictionary(of[label][::2], fit) for label in (0, 1))
     rest = [(t, label) for label in (0, 1) for t in (of[label][1::2] or of[label])]
     measure = Measure(good, bad, fit)
     x = inputs(np.array([measure(t) for t, _ in rest]))
-    w = logistic(x, np.array([y for _, y in rest], dtype=float))
+    y = np.array([y for _, y in rest], dtype=float)
+    # As many rows in all as there are, of each label its share of the totals.
+    share = good_rows / (bad_rows + good_rows)
+    weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum())) * len(y)
+    w = logistic(x, y, weight)
     return QualityModel(good, bad, tuple(w.tolist()), prior, fit)
 
 
@@ -135,7 +148,8 @@ def fit_quality(
     label_col: str = "quality",
     fit: Fit = Fit(),
 ) -> QualityModel:
-    """Learn from a bounded sample of the labelled rows (see ``Fit``).
+    """Learn from a bounded sample of the labelled rows (see ``Fit``), and from the numbers
+    of good and bad rows in all of them.
 
     ``training`` is a condition on the id, given as a column named ``id``. Labels
     other than 0 and 1, rows without an id and rows without text teach nothing.
@@ -148,22 +162,29 @@ def fit_quality(
     if training is not None:
         known = known.where(training)
     order = F.xxhash64("id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text != ''")
+    # The rows that could teach: of each id those with a text, times its labels.
+    held = texts.groupBy("id").agg(F.count("*").alias("n"))
+    given = known.groupBy("id", "label").agg(F.count("*").alias("times"))
+    counted = {
+        r.label: r.n
+        for r in given.join(held, "id").groupBy("label").agg(F.sum(F.col("n") * F.col("times")).alias("n")).collect()
+    }
     picked = [
         known.where(F.col("label") == label).orderBy(order, "id").limit(fit.rows_per_label)
         for label in (0, 1)
     ]
     chosen = F.broadcast(picked[0].union(picked[1]))
     rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .where("text != ''")
-        .join(chosen, "id")
+        texts.join(chosen, "id")
         .select("id", "label", F.substring("text", 1, fit.text_bytes).alias("text"))
         .orderBy(order, "id", "text")
         .limit(2 * fit.rows_per_label)
         .collect()
     )
     # Taken in steps of the stated bound, so that the sample fits the driver.
-    return learn([(r.text.encode()[: fit.text_bytes], r.label) for r in rows], fit)
+    sample = [(r.text.encode()[: fit.text_bytes], r.label) for r in rows]
+    return learn(sample, fit, (counted.get(0, 0), counted.get(1, 0)))
 
 
 def quality_score(docs: DataFrame, model: QualityModel, text_col: str = "text", to: str = "score") -> DataFrame:
