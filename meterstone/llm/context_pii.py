@@ -94,20 +94,21 @@ def looks_like(kind: Column, value: Column) -> Column:
 def pieces(text: Column) -> Column:
     """By kind: the pieces of the text between marks, odd ones being finds.
 
-    Only lengths, finds and the ends of what stands between them are kept, and only
-    for kinds that found something.
+    Only lengths, finds and, of tokens, the ends of what stands between them are kept, and
+    only for kinds that found something.
     """
     clean = F.translate(F.coalesce(text, F.lit("")), MARK, OTHER)
 
     def of(kind: str) -> Column:
         parts = F.split(F.regexp_replace(clean, PATTERNS[kind], f"{MARK}$0{MARK}"), MARK, -1)
+        token = F.lit(kind == "token")
         small = F.transform(
             parts,
             lambda part, at: F.struct(
                 F.length(part).alias("size"),
                 F.when(at % 2 == 1, part).alias("value"),
-                F.when(at % 2 == 0, F.right(part, F.lit(CONTEXT))).alias("tail"),
-                F.when(at % 2 == 0, F.left(part, F.lit(CONTEXT))).alias("head"),
+                F.when(token & (at % 2 == 0), F.right(part, F.lit(CONTEXT))).alias("tail"),
+                F.when(token & (at % 2 == 0), F.left(part, F.lit(CONTEXT))).alias("head"),
             ),
         )
         return F.struct(F.lit(kind).alias("kind"), small.alias("parts"))
@@ -118,41 +119,81 @@ def pieces(text: Column) -> Column:
 def finds(found: DataFrame) -> DataFrame:
     """``row, kind, start, stop, value, before, after`` of what passes the checks.
 
-    The windows run within one text and one kind.
+    Every find begins and ends in a token, a word with a digit or an @. The words around
+    it come from there, whatever its kind: what the token holds beside the find, and what
+    stands around the token. The windows run within one text.
     """
     exploded = found.select("row", F.explode("found").alias("f")).select(
         "row", "f.kind", F.posexplode("f.parts").alias("at", "part")
     )
     order = Window.partitionBy("row", "kind").orderBy("at")
-    placed = exploded.select(
-        "row",
-        "kind",
-        F.col("part.value").alias("value"),
-        F.sum("part.size").over(order).alias("stop"),
-        F.col("part.size").alias("size"),
-        F.lag("part.tail").over(order).alias("tail"),
-        F.lead("part.head").over(order).alias("head"),
-    ).where("value IS NOT NULL")
-    before = F.slice(F.split(F.trim(F.lower("tail")), rf"[{_TOKEN}]+"), -2, 2)
-    after = F.split(F.trim(F.lower("head")), rf"[{_TOKEN}]+")[0]
+    token = F.col("kind") == "token"
+
+    def near(name: str, by: int) -> Column:
+        part = F.col(f"part.{name}")
+        cut = part if name != "value" else (F.right if by < 0 else F.left)(part, F.lit(CONTEXT))
+        return F.coalesce(F.lag(cut, -by).over(order) if by < 0 else F.lead(cut, by).over(order), F.lit(""))
+
+    # Two words before, and one after, reach no further than the next two tokens, and one.
+    left = F.concat(near("value", -4), near("tail", -3), near("value", -2), near("tail", -1))
+    right = F.concat(near("head", 1), near("value", 2))
+    placed = (
+        exploded.select(
+            "row",
+            "kind",
+            F.col("part.value").alias("value"),
+            F.sum("part.size").over(order).alias("stop"),
+            F.col("part.size").alias("size"),
+            F.when(token, F.right(left, F.lit(CONTEXT))).alias("left"),
+            F.when(token, F.left(right, F.lit(CONTEXT))).alias("right"),
+        )
+        .where("value IS NOT NULL")
+        .where(valid(F.col("kind"), F.col("value")))
+        .withColumn("begin", F.col("stop") - F.col("size"))
+    )
+    word = F.when(token, F.struct("begin", "stop", "value", "left", "right"))
+    by = Window.partitionBy("row")
+    rank_ = F.when(token, 0).otherwise(1)
+    last = F.when(token, F.col("begin")).otherwise(F.col("stop") - 1)
+    until = (Window.unboundedPreceding, Window.currentRow)
     # A candidate loses the punctuation around it.
     lead = F.length(F.regexp_extract("value", r"^[\"'(\[{<]*", 0))
     core = F.regexp_extract("value", r"^[\"'(\[{<]*+(.*?)[\"')\]}>.,;:!?]*$", 1)
-    token = F.col("kind") == "token"
-    return (
-        placed.where(valid(F.col("kind"), F.col("value")))
+    cut = (
+        placed.withColumn("first", F.last(word, ignorenulls=True).over(by.orderBy("begin", rank_).rowsBetween(*until)))
+        .withColumn("final", F.last(word, ignorenulls=True).over(by.orderBy(last, rank_).rowsBetween(*until)))
         .select(
             "row",
             "kind",
-            (F.col("stop") - F.col("size") + F.when(token, lead).otherwise(0)).alias("start"),
-            F.when(token, F.col("stop") - F.col("size") + lead + F.length(core))
-            .otherwise(F.col("stop"))
-            .alias("stop"),
+            (F.col("begin") + F.when(token, lead).otherwise(0)).alias("start"),
+            F.when(token, F.col("begin") + lead + F.length(core)).otherwise(F.col("stop")).alias("stop"),
             F.lower(F.when(token, core).otherwise(F.col("value"))).alias("value"),
-            before.alias("before"),
-            after.alias("after"),
+            "first",
+            "final",
         )
-        .where(~token | (F.length("value").between(6, 64) & ((F.length(digits(F.col("value"))) >= 4) | F.col("value").contains("@"))))
+    )
+
+    def words(text: Column) -> Column:
+        return F.filter(F.split(F.lower(text), rf"[{_TOKEN}]+"), lambda w: w != "")
+
+    inside = F.left(F.col("first.value"), (F.col("start") - F.col("first.begin")).cast("int"))
+    rest = F.right(F.col("final.value"), (F.col("final.stop") - F.col("stop")).cast("int"))
+    before = words(F.right(F.concat("first.left", inside), F.lit(CONTEXT)))
+    after = words(F.left(F.concat(rest, "final.right"), F.lit(CONTEXT)))
+    return cut.where(
+        ~token
+        | (
+            F.length("value").between(6, 64)
+            & ((F.length(digits(F.col("value"))) >= 4) | F.col("value").contains("@"))
+        )
+    ).select(
+        "row",
+        "kind",
+        "start",
+        "stop",
+        "value",
+        F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), F.lit(2)).alias("before"),
+        F.try_element_at(after, F.lit(1)).alias("after"),
     )
 
 
@@ -197,32 +238,34 @@ def edges_of(spans: DataFrame) -> DataFrame:
 
 def discovered(spans: DataFrame, how: Bootstrap) -> DataFrame:
     """``value, kind`` of the candidates that the bootstrap accepts."""
-    edges = edges_of(spans)
-    # Patterns that enough seeds of one kind stand in; only their edges matter.
-    seeded = (
-        edges.where("kind IS NOT NULL")
-        .groupBy("pattern", "kind")
-        .count()
-        .where(F.col("count") >= how.support)
-        .select("pattern")
-        .distinct()
-    )
-    graph = stage(edges.join(seeded, "pattern", "left_semi"))
+    edges = stage(edges_of(spans).withColumnRenamed("kind", "base"))
     kinds = F.explode(F.array(*map(F.lit, KINDS)))
     known: DataFrame | None = None
     for _ in range(how.rounds):
-        named = graph.withColumn("sure", F.when(F.col("kind").isNotNull(), 1.0))
+        named = edges.select("*", F.col("base").alias("kind"), F.when(F.col("base").isNotNull(), 1.0).alias("sure"))
         if known is not None:
             more = known.select("value", F.col("kind").alias("found"), F.col("sure").alias("found_sure"))
-            named = graph.join(more, "value", "left").select(
+            named = edges.join(more, "value", "left").select(
                 "pattern",
                 "value",
-                F.coalesce("kind", "found").alias("kind"),
-                F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("found_sure")).alias("sure"),
+                "base",
+                F.coalesce("base", "found").alias("kind"),
+                F.when(F.col("base").isNotNull(), 1.0).otherwise(F.col("found_sure")).alias("sure"),
             )
+        # Patterns that enough known values of one kind stand in, those of the round
+        # before among them; only their edges matter.
+        believed = (
+            named.where("kind IS NOT NULL")
+            .groupBy("pattern", "kind")
+            .count()
+            .where(F.col("count") >= how.support)
+            .select("pattern")
+            .distinct()
+        )
+        graph = stage(named.join(believed, "pattern", "left_semi"))
         own = F.col("of") == F.col("kind")
         patterns = (
-            named.withColumn("of", kinds)
+            graph.withColumn("of", kinds)
             .groupBy("pattern", "of")
             .agg(
                 F.sum(F.when(own, F.col("sure")).otherwise(0.0)).alias("pro"),
@@ -237,7 +280,7 @@ def discovered(spans: DataFrame, how: Bootstrap) -> DataFrame:
             .select("pattern", "of", (F.col("pro") / (F.col("pro") + F.col("contra") + 0.5)).alias("trust"))
         )
         scored = (
-            graph.where("kind IS NULL")
+            graph.where("base IS NULL")
             .join(patterns, "pattern")
             .where(looks_like(F.col("of"), F.col("value")))
             .groupBy("value", "of")
