@@ -8,6 +8,9 @@ are then named as a whole, and the least document of each name is found.
 Every batch of documents keeps only its least document per symbol and per window for
 the shuffle and settles the others itself, so a passage that a third of all documents
 share sends one row per batch. Equal texts are settled by one name for the whole.
+
+A document is told by a name of its id and text together, so that rows that share an
+id, or have none, are judged each for itself; the id only says which is the smaller.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from meterstone.llm.wordhash import Words, chunks, mixed, rolled, words_of
 _U = np.uint64
 #: Rounds of pairs: symbols of three to five words, rare enough to tell passages apart.
 ROUNDS = 3
-#: Up to so many ids are broadcast to pick texts before they are joined by id.
+#: Up to so many units are broadcast to pick texts before they are joined by id.
 BROADCAST_IDS = 2_000_000
 #: Documents without an id come after all others.
 LAST = 2**63 - 1
@@ -72,18 +75,18 @@ class Padded:
         return rolled(self.words, self.width)[self.starts]
 
 
-def _least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs sorted by key and document; which are the least of their key, and
-    which keys more than one document has."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
+def _distinct(keys: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs sorted by key and unit; which are the first of their key, and
+    which keys more than one unit has."""
+    order = np.lexsort((units, keys))
+    keys, units = keys[order], units[order]
     new = np.ones(len(keys), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    keys, docs = keys[new], docs[new]
+    new[1:] = (keys[1:] != keys[:-1]) | (units[1:] != units[:-1])
+    keys, units = keys[new], units[new]
     first = np.ones(len(keys), dtype=bool)
     first[1:] = keys[1:] != keys[:-1]
     size = np.diff(np.append(np.flatnonzero(first), len(keys)))
-    return keys, docs, first, np.repeat(size > 1, size)
+    return keys, units, first, np.repeat(size > 1, size)
 
 
 def _pieces(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -105,19 +108,26 @@ def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for text in part.column("text").to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(counts), pa.array(one), pa.array(two), pa.array(shas)],
-                names=["doc_id", "n_words", "h1", "h2", "sha"],
+                [
+                    part.column("doc_id"),
+                    part.column("unit"),
+                    pa.array(counts),
+                    pa.array(one),
+                    pa.array(two),
+                    pa.array(shas),
+                ],
+                names=["doc_id", "unit", "n_words", "h1", "h2", "sha"],
             )
 
 
 def _symbol_rows(width: int):
-    """``key, doc, sure``: symbols of the documents. Sure ones are shared already; of
+    """``key, unit, sure``: symbols of the documents. Sure ones are shared already; of
     the others the key decides. Texts that the batch has under a lesser id are left out."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, owners = [], []
-            ids = batch.column("doc").to_numpy()
+            ids, units = batch.column("doc").to_numpy(), batch.column("unit").to_numpy()
             least: dict[int, int] = {}
             for at, data, offsets in chunks(batch.column("text")):
                 words = words_of(data, offsets, lower=False)
@@ -134,22 +144,22 @@ def _symbol_rows(width: int):
                 use[1:] = (symbol[1:] != symbol[:-1]) | (text[1:] != text[:-1])
                 use &= ~skip[text]
                 keys.append(symbol[use].view(np.int64))
-                owners.append(mine[text[use]])
-            key, doc, first, shared = _least(np.concatenate(keys), np.concatenate(owners))
-            yield from _pieces({"key": key[first], "doc": doc[first], "sure": np.zeros(first.sum(), bool)})
-            yield from _pieces({"key": key[shared], "doc": doc[shared], "sure": np.ones(shared.sum(), bool)})
+                owners.append(units[at + text[use]])
+            key, unit, first, shared = _distinct(np.concatenate(keys), np.concatenate(owners))
+            yield from _pieces({"key": key[first], "unit": unit[first], "sure": np.zeros(first.sum(), bool)})
+            yield from _pieces({"key": key[shared], "unit": unit[shared], "sure": np.ones(shared.sum(), bool)})
 
     return rows
 
 
 def _window_rows(width: int):
-    """``name, doc, sure`` of windows with a shared symbol; sure ones are repeats of
+    """``name, doc, unit, sure`` of windows with a shared symbol; sure ones are repeats of
     a lesser document of the batch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, owners = [], []
-            ids = batch.column("doc").to_numpy()
+            ids, units = batch.column("doc").to_numpy(), batch.column("unit").to_numpy()
             lists = batch.column("shared")
             values = lists.flatten().to_numpy()
             ends = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())))
@@ -163,10 +173,18 @@ def _window_rows(width: int):
                 held = mixed(values[ends[at] : ends[at + n]].view(np.uint64) + mixed(of))
                 use = np.isin(mixed(padded.symbols() + mixed(text.astype(np.uint64))), held)
                 names.append(padded.windows()[use].view(np.int64))
-                owners.append(ids[at + text[use]])
-            name, doc, first, _ = _least(np.concatenate(names), np.concatenate(owners))
-            yield from _pieces({"name": name[first], "doc": doc[first], "sure": np.zeros(first.sum(), bool)})
-            yield from _pieces({"name": name[~first], "doc": doc[~first], "sure": np.ones((~first).sum(), bool)})
+                owners.append(at + text[use])
+            name, owner = np.concatenate(names), np.concatenate(owners)
+            order = np.lexsort((units[owner], ids[owner], name))
+            name, doc, unit = name[order], ids[owner][order], units[owner][order]
+            new = np.ones(len(name), dtype=bool)
+            new[1:] = (name[1:] != name[:-1]) | (unit[1:] != unit[:-1])
+            name, doc, unit = name[new], doc[new], unit[new]
+            first = np.ones(len(name), dtype=bool)
+            first[1:] = name[1:] != name[:-1]
+            sure = doc > doc[np.flatnonzero(first)][np.cumsum(first) - 1] if len(name) else first
+            for of in (~sure, sure):
+                yield from _pieces({"name": name[of], "doc": doc[of], "unit": unit[of], "sure": sure[of]})
 
     return rows
 
@@ -227,9 +245,9 @@ def _cut_rows(width: int):
 
 
 def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the given ids; few ids are broadcast first, to spare the others the shuffle."""
+    """Texts of the given units; few are broadcast first, to spare the others the shuffle."""
     if ids.count() <= BROADCAST_IDS:
-        return texts.join(F.broadcast(ids.select("doc")), "doc", "left_semi")
+        return texts.join(F.broadcast(ids.select("unit")), "unit", "left_semi")
     return texts
 
 
@@ -249,56 +267,52 @@ def repeats(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
         F.col(text_col).cast("binary").alias("text"),
-    )
+    ).withColumn("unit", F.xxhash64("doc", "text"))
     known = stage(
-        texts.select("doc_id", "text").mapInArrow(
-            _known, "doc_id long, n_words long, h1 long, h2 long, sha string"
+        texts.select("doc_id", "unit", "text").mapInArrow(
+            _known, "doc_id long, unit long, n_words long, h1 long, h2 long, sha string"
         )
     ).withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
-    # Ids of which every text stands under a smaller id as well.
+    # Units whose text stands under a smaller id as well.
     first = known.where(F.col("n_words") >= width).groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     copies = stage(
-        known.join(first, ["h1", "h2"], "left")
-        .groupBy("doc")
-        .agg(F.min(F.coalesce(F.col("first") < F.col("doc"), F.lit(False))).alias("copy"))
-        .where("copy")
-        .select("doc")
+        known.join(first, ["h1", "h2"]).where("first < doc").select("unit").distinct()
     )
 
     at = ["key", "sure"]
-    symbols = texts.select("doc", "text").mapInArrow(
-        _symbol_rows(width), "key long, doc long, sure boolean"
+    symbols = texts.select("doc", "unit", "text").mapInArrow(
+        _symbol_rows(width), "key long, unit long, sure boolean"
     )
     others = F.count("*").over(Window.partitionBy("place", "sure"))
     shared = (
         # Sure rows need no company; their document spreads them.
-        symbols.withColumn("place", F.when(F.col("sure"), F.xxhash64(*at, "doc")).otherwise(F.col("key")))
+        symbols.withColumn("place", F.when(F.col("sure"), F.xxhash64(*at, "unit")).otherwise(F.col("key")))
         .withColumn("others", others)
         .where(F.col("sure") | (F.col("others") > 1))
-        .select("doc", "key")
-        .join(copies, "doc", "left_anti")
-        .groupBy("doc")
+        .select("unit", "key")
+        .join(copies, "unit", "left_anti")
+        .groupBy("unit")
         .agg(F.collect_set("key").alias("shared"))
     )
     shared = stage(shared)
     windows = (
-        _picked(texts.select("doc", "text"), shared)
-        .join(shared, "doc")
-        .mapInArrow(_window_rows(width), "name long, doc long, sure boolean")
+        _picked(texts.select("doc", "unit", "text"), shared)
+        .join(shared, "unit")
+        .mapInArrow(_window_rows(width), "name long, doc long, unit long, sure boolean")
     )
     least = F.min("doc").over(Window.partitionBy("place", "sure"))
     repeated = stage(
         windows.withColumn(
-            "place", F.when(F.col("sure"), F.xxhash64("name", "doc")).otherwise(F.col("name"))
+            "place", F.when(F.col("sure"), F.xxhash64("name", "unit")).otherwise(F.col("name"))
         )
         .withColumn("least", least)
         .where(F.col("sure") | (F.col("least") < F.col("doc")))
-        .groupBy("doc")
+        .groupBy("unit")
         .agg(F.collect_set("name").alias("repeated"))
     )
     cut = (
         _picked(texts, repeated)
-        .join(repeated, "doc")
+        .join(repeated, "unit")
         .select("doc_id", "text", "repeated")
         .mapInArrow(_cut_rows(width), KEPT)
     )
@@ -306,8 +320,8 @@ def repeats(
     none = F.lit(None).cast("array<struct<start: long, end: long>>")
     copied = F.col("copy").isNotNull()
     rest = (
-        known.join(repeated.select("doc"), "doc", "left_anti")
-        .join(copies.withColumn("copy", F.lit(True)), "doc", "left")
+        known.join(repeated.select("unit"), "unit", "left_anti")
+        .join(copies.withColumn("copy", F.lit(True)), "unit", "left")
         .select(
             "doc_id",
             "n_words",
