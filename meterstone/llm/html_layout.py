@@ -23,10 +23,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 HIDDEN = frozenset(
     "head script style template title noscript iframe object embed canvas svg audio video datalist "
-    "param source track area map dialog noframes noembed textarea select".split()
+    "param source track area map noframes noembed".split()
 )
 BLOCK = frozenset(
-    "html body address article aside blockquote center details summary dd dir div dl dt fieldset "
+    "html body address article aside blockquote center details summary dd dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p "
     "pre search section table caption ul tr thead tbody tfoot optgroup option xmp listing".split()
 )
@@ -162,6 +162,8 @@ def shown(node: Node) -> bool:
     if node.name in HIDDEN:
         return False
     a = node.attrs
+    if node.name == "dialog" and "open" not in a:
+        return False
     if not a:
         return True
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true":
@@ -218,44 +220,88 @@ class Page:
         self.gap = max(self.gap, int(spaced))
 
 
-def rows_of(table: Node) -> Iterator[Node]:
-    for child in table.children:
-        if isinstance(child, Node) and shown(child):
-            if child.name == "tr":
-                yield child
+PARTS = frozenset("tr td th thead tbody tfoot".split())
+
+
+def holds_parts(node: Node) -> bool:
+    """Whether rows or cells of the table around ``node`` hang below it, as below a form."""
+    todo = [node]
+    while todo:
+        for child in todo.pop().children:
+            if isinstance(child, Node) and shown(child):
+                if child.name in PARTS:
+                    return True
+                if child.name != "table":
+                    todo.append(child)
+    return False
+
+
+def parts_of(table: Node) -> tuple[list[tuple[int, list[Node]]], list[Node | str]]:
+    """Rows, as their section and cells, and what stands between rows and cells."""
+    rows: list[tuple[int, list[Node]]] = []
+    loose: list[Node | str] = []
+    sections = 0
+
+    def walk(node: Node, section: int, row: list[Node] | None) -> None:
+        nonlocal sections
+        for child in node.children:
+            if isinstance(child, str):
+                if child.strip():
+                    loose.append(child)
+            elif not shown(child) or child.name in ("colgroup", "col"):
+                continue
+            elif child.name in ("td", "th"):
+                if row is None:
+                    row = []
+                    rows.append((section, row))
+                row.append(child)
+            elif child.name == "tr":
+                cells: list[Node] = []
+                rows.append((section, cells))
+                walk(child, section, cells)
             elif child.name in ("thead", "tbody", "tfoot"):
-                yield from rows_of(child)
+                sections += 1
+                walk(child, sections, None)
+            elif child.name not in ("table", "caption") and holds_parts(child):
+                walk(child, section, row)
+            else:
+                loose.append(child)
+
+    walk(table, 0, None)
+    return rows, loose
 
 
-def span_of(cell: Node) -> int:
-    text = cell.attrs.get("colspan", "1").strip()
-    return min(max(int(text[:9]), 1), 1000) if text.isascii() and text.isdigit() else 1
+def span_of(cell: Node, name: str = "colspan", most: int = 1000) -> int:
+    text = cell.attrs.get(name, "1").strip()
+    return min(int(text[:9]), most) if text.isascii() and text.isdigit() else 1
 
 
 def lay_table(table: Node, page: Page) -> None:
     """Caption, loose contents, then rows with cells padded to their columns."""
     grid: list[list[tuple[int, list[str]]]] = []
-    for row in rows_of(table):
-        cells, at = [], 0
-        for cell in row.children:
-            if isinstance(cell, Node) and cell.name in ("td", "th") and shown(cell):
-                cells.append((at, lines_of(cell)))
-                at += span_of(cell)
+    rows, loose = parts_of(table)
+    for child in loose:
+        render(child, page)
+    #: Rows that cells from above still take, by column; they end with their section.
+    taken: dict[int, int] = {}
+    last = None
+    for section, row in rows:
+        if section != last:
+            taken, last = {}, section
+        taken = {column: n - 1 for column, n in taken.items() if n > 1}
+        cells, at, below = [], 0, {}
+        for cell in row:
+            while at in taken:
+                at += 1
+            cells.append((at, lines_of(cell)))
+            # A rowspan of 0 goes on to the end of the section.
+            deep = span_of(cell, "rowspan", 65534) or 65535
+            wide = max(span_of(cell), 1)
+            if deep > 1:
+                below.update(dict.fromkeys(range(at, at + wide), deep))
+            at += wide
+        taken |= below
         grid.append(cells)
-    rows = set(map(id, rows_of(table)))
-    for child in table.children:
-        if isinstance(child, str) and child.strip():
-            page.inline(child)
-        elif isinstance(child, Node) and child.name not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
-            render(child, page)
-    for part in table.children:
-        if isinstance(part, Node) and part.name in ("tr", "thead", "tbody", "tfoot") and shown(part):
-            for child in part.children:
-                # What stands between rows or cells is shown before the table.
-                if isinstance(child, str) and child.strip():
-                    page.inline(child)
-                elif isinstance(child, Node) and id(child) not in rows and child.name not in ("td", "th", "tr"):
-                    render(child, page)
     page.flush()
     widths: dict[int, int] = {}
     for cells in grid:
@@ -328,6 +374,16 @@ def render(node: Node | str, page: Page) -> None:
     if name in ("img", "input"):
         page.inline(node.attrs.get("alt" if name == "img" else "value", ""))
         return
+    if name == "select":
+        page.inline(chosen(node))
+        return
+    if name == "textarea":
+        first, *more = flat(node).removeprefix("\n").removesuffix("\n").split("\n")
+        page.inline(first)
+        for line in more:
+            page.flush()
+            page.inline(line)
+        return
     if name not in BLOCK:
         if name in ("td", "th"):
             page.inline(" ")
@@ -354,12 +410,39 @@ def render(node: Node | str, page: Page) -> None:
     page.block(spaced)
 
 
+def chosen(select: Node) -> str:
+    """What a closed list shows: its options marked as selected, of which the last counts
+    unless several may be."""
+    options, todo = [], [select]
+    while todo:
+        at = todo.pop()
+        if at.name == "option":
+            if "selected" in at.attrs:
+                options.append(at)
+            continue
+        todo += [c for c in reversed(at.children) if isinstance(c, Node) and shown(c)]
+    texts = []
+    for option in options if "multiple" in select.attrs else options[-1:]:
+        out: list[str] = []
+        inner: list[Node | str] = [option]
+        while inner:
+            part = inner.pop()
+            if isinstance(part, str):
+                out.append(part)
+            elif shown(part):
+                inner += reversed(part.children)
+        texts.append("".join(out))
+    return " ".join(texts)
+
+
 def flat(node: Node) -> str:
     """Text of a preformatted element as it stands."""
     out = []
     for child in node.children:
         if isinstance(child, str):
             out.append(child)
+        elif child.name == "select" and shown(child):
+            out.append(chosen(child))
         elif shown(child):
             out.append("\n" if child.name == "br" else flat(child))
     return "".join(out)
@@ -388,12 +471,14 @@ def flatten(root: Node) -> None:
         if not level:
             return
     for node in level:
+        if node.name == "select":
+            continue
         out, todo = [], list(reversed(node.children))
         while todo:
             child = todo.pop()
             if isinstance(child, str):
                 out.append(child)
-            elif child.name == "br" or child.name in ("img", "input"):
+            elif child.name in ("br", "img", "input", "select", "textarea"):
                 out.append(child)
             elif shown(child):
                 around = "\n" if child.name in BLOCK else ""
