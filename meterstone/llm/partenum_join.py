@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,7 +249,7 @@ def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """As ``_signature_rows``, of ``node, keys``."""
     for batch in batches:
         lists = batch.column("keys")
-        sizes = pa.compute.list_value_length(lists).to_numpy()
+        sizes = pc.list_value_length(lists).to_numpy()
         yield from _sent(lists.flatten().to_numpy(), np.repeat(batch.column("node").to_numpy(), sizes))
 
 

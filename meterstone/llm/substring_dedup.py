@@ -21,6 +21,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,7 +163,7 @@ def _window_rows(width: int):
             ids, units = batch.column("doc").to_numpy(), batch.column("unit").to_numpy()
             lists = batch.column("shared")
             values = lists.flatten().to_numpy()
-            ends = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())))
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
             for at, data, offsets in chunks(batch.column("text")):
                 words = words_of(data, offsets, lower=False)
                 padded = Padded(words, width)
