@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterstone.llm import oracles
+from meterstone.llm import oracles, oracles_added
 from meterstone.llm.brown_lm import score_texts
 from meterstone.llm.common import bucket_of, documents
 from meterstone.llm.compression_quality import fit_quality, quality_score
 from meterstone.llm.cross_parse_language import fit_language, language
 from meterstone.llm.context_pii import KINDS, find_pii
 from meterstone.llm.decontaminate import contaminated, decontaminate, n_hit
+from meterstone.llm.hard_negatives import hard_negatives
 from meterstone.llm.html_layout import visible_text
+from meterstone.llm.merkle_manifest import fold, leaf_of, lower_ascii, manifest, proof
 from meterstone.llm.mixing import mix
 from meterstone.llm.partenum_join import jaccard_join
+from meterstone.llm.shuffle_shards import shuffle_shards
 from meterstone.llm.substring_dedup import repeats
 from meterstone.llm.weak_rules import judge
 
@@ -119,6 +122,41 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lower_ascii(F.col("text")))
+    other = F.when(tampered.isNotNull(), leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), tampered))
+    proven = manifest(documents(spark, sf_dir), other=other)
+    folded = fold(F.coalesce("other", "leaf"), F.col("path"))
+    return proven.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(proof(F.col("path")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    sized = documents(spark, sf_dir).select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+    )
+    return shuffle_shards(sized, 24).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vec_id, label = F.col("vec_id"), F.col("label")
+    turned = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(vectors, vec_id % 50 == 0, turned).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"
+    )
+
+
 QUERIES = {
     "op1_jaccard_join": (op1_jaccard_join, oracles.JACCARD_JOIN),
     "op2_brown_scoring": (op2_brown_scoring, None),
@@ -130,4 +168,7 @@ QUERIES = {
     "op5_mixing": (op5_mixing, None),
     "op6_context_pii": (op6_context_pii, None),
     "op7_decontamination": (op7_decontamination, oracles.DECONTAMINATION),
+    "op11_merkle_manifest": (op11_merkle_manifest, oracles_added.MERKLE_MANIFEST),
+    "op12_shuffle_shards": (op12_shuffle_shards, None),
+    "op13_hard_negatives": (op13_hard_negatives, oracles_added.HARD_NEGATIVES),
 }
