@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterstone.llm.common import boxed, components, stage, unboxed
+from meterstone.llm.rare_prefix import candidates, prefixes
 from meterstone.llm.wordhash import Words, chunks, mixed, rolled, words_of
 
 _U = np.uint64
@@ -155,23 +155,27 @@ def prefix_length(size: np.ndarray, join: Join) -> np.ndarray:
     return np.where(size > 0, size - least + 1, 0)
 
 
-def _doc_rows(join: Join):
+def _doc_rows(join: Join, marked: bool):
+    """Per row its size and its class; if ``marked``, its parity sketch too."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in chunks(batch.column("text")):
                 sets = shingle_sets(words_of(data, offsets, lower=True), join.shingle)
                 one, two = class_keys(sets)
                 part = batch.slice(at, len(offsets) - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("row"),
-                        part.column("doc_id"),
-                        pa.array(sets.size.astype(np.int64)),
-                        pa.array(one.view(np.int64)),
-                        pa.array(two.view(np.int64)),
-                    ],
-                    names=["row", "doc_id", "n_shingles", "h1", "h2"],
-                )
+                columns = {
+                    "row": part.column("row"),
+                    "doc_id": part.column("doc_id"),
+                    "n_shingles": pa.array(sets.size.astype(np.int64)),
+                    "h1": pa.array(one.view(np.int64)),
+                    "h2": pa.array(two.view(np.int64)),
+                }
+                if marked:
+                    ends = np.cumsum(sets.size)
+                    held = sketches([sets.element[e - n : e] for e, n in zip(ends, sets.size, strict=True)])
+                    columns["marks"] = pa.array(list(held.view(np.int64)), type=pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict(columns)
 
     return rows
 
@@ -199,58 +203,21 @@ def _signature_rows(join: Join):
     return rows
 
 
-FRESH, SURE, NEED, BEYOND = range(4)
-
-
-def _prefix_rows(join: Join):
-    """Per batch and set: ``key, node, kind``. Keys are the elements of the first half of the
-    order: ``FRESH`` ones once for a batch, ``SURE`` ones, which several sets of the batch
-    have, for each of them. ``NEED`` is the length of the prefix less all its ``FRESH`` and
-    ``SURE`` elements; where that is above 0, the prefix goes on with the ``BEYOND`` ones."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, nodes, out = [], [], []
-            known = np.zeros(0, dtype=np.int64)
-            for _, data, offsets in chunks(batch.column("text")):
-                sets = shingle_sets(words_of(data, offsets, lower=True), join.shingle)
-                node = class_keys(sets)[0].view(np.int64)
-                first = np.zeros(len(node), dtype=bool)
-                first[np.unique(node, return_index=True)[1]] = True
-                first &= ~np.isin(node, known) & (sets.size > 0)
-                known = np.concatenate((known, node[first]))
-                use = first[sets.text]
-                text, element = sets.text[use], sets.element[use]
-                early = (mixed(element ^ _U(0x5EED)) & _U(1)) == 0
-                keys.append(element[early].view(np.int64))
-                nodes.append(node[text[early]])
-                need = prefix_length(sets.size, join) - np.bincount(text[early], minlength=len(node))
-                out.append((need[first], node[first], NEED))
-                late, of = element[~early], text[~early]
-                # Elements are sorted within the text.
-                begins = np.searchsorted(of, np.arange(len(node)))
-                beyond = np.arange(len(of)) - begins[of] < need[of]
-                out.append((late[beyond].view(np.int64), node[of[beyond]], BEYOND))
-            key, node = np.concatenate(keys), np.concatenate(nodes)
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            fresh = np.ones(len(key), dtype=bool)
-            fresh[1:] = key[1:] != key[:-1]
-            size = np.diff(np.append(np.flatnonzero(fresh), len(key)))
-            sure = np.repeat(size > 1, size)
-            out += [(key[fresh], node[fresh], FRESH), (key[sure], node[sure], SURE)]
-            for k, n, kind in out:
-                yield from _in_pieces(k, n, np.full(len(k), kind, dtype=np.int8), "key", "kind")
-
-    return rows
+def _prefix_sets(join: Join):
+    """The sets of a batch, for prefixes; a set that the batch has had already is marked as not the first."""
 
+    def sets_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        known = np.zeros(0, dtype=np.uint64)
+        for _, data, offsets in chunks(batch.column("text")):
+            sets = shingle_sets(words_of(data, offsets, lower=True), join.shingle)
+            node = class_keys(sets)[0]
+            first = np.zeros(len(node), dtype=bool)
+            first[np.unique(node, return_index=True)[1]] = True
+            first &= ~np.isin(node, known) & (sets.size > 0)
+            known = np.concatenate((known, node[first]))
+            yield sets.text, sets.element, sets.size, node, first
 
-def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As ``_signature_rows``, of ``node, keys``."""
-    for batch in batches:
-        lists = batch.column("keys")
-        sizes = pc.list_value_length(lists).to_numpy()
-        yield from _sent(lists.flatten().to_numpy(), np.repeat(batch.column("node").to_numpy(), sizes))
+    return sets_of
 
 
 def _in_pieces(
@@ -399,53 +366,35 @@ def by_signature(texts: DataFrame, join: Join) -> DataFrame:
     return texts.select("text").mapInArrow(_signature_rows(join), SENT)
 
 
-def by_prefix(texts: DataFrame, join: Join) -> DataFrame:
-    """As ``by_signature``, with the elements of prefixes in place of signatures.
-
-    Elements that a single set has cannot link it and stand first; a prefix holds them
-    all, and then those that others have too, in the order of their hash.
-    """
-    sent = texts.select("text").mapInArrow(_prefix_rows(join), "key long, node long, kind byte")
-    fresh = F.col("kind") == FRESH
-    # Only fresh rows need company, one row a batch; the others are spread.
-    place = Window.partitionBy("place", "kind")
-    judged = (
-        sent.withColumn("place", F.when(fresh, F.col("key")).otherwise(F.xxhash64("key", "node")))
-        .withColumn("least", F.min("node").over(place))
-        .withColumn("most", F.max("node").over(place))
-        .where(~fresh | (F.col("least") != F.col("most")))
-    )
-    early = F.collect_set(F.when(F.col("kind").isin(FRESH, SURE), F.col("key")))
-    prefixes = (
-        judged.groupBy("node")
-        .agg(
-            F.max(F.when(F.col("kind") == NEED, F.col("key"))).alias("need"),
-            F.sort_array(early).alias("early"),
-            F.collect_set(F.when(F.col("kind") == BEYOND, F.col("key"))).alias("beyond"),
-        )
-        .withColumn("left", F.greatest(F.col("need") + F.size("early"), F.lit(0)).cast("int"))
-        .where("left > 0")
-        .select("node", F.concat(F.slice("early", F.lit(1), F.col("left")), "beyond").alias("keys"))
-    )
-    return prefixes.mapInArrow(_prefix_keys, SENT)
+def by_prefix(texts: DataFrame, known: DataFrame, join: Join) -> DataFrame:
+    """Edges ``a, b`` by shared elements of prefixes, in place of signatures."""
+    elements = known.agg(F.sum("n_shingles")).first()[0] or 0
+    keyed = prefixes(texts.select("text"), elements, _prefix_sets(join), lambda size: prefix_length(size, join))
+    marks = known.select(F.col("h1").alias("node"), F.col("n_shingles").alias("size"), "marks")
+    return candidates(keyed, marks, join.part, join.whole)
 
 
 def linked_rows(rows: DataFrame, join: Join = Join()) -> DataFrame:
     """``rows(row, doc_id, text)``: return ``row, doc_id, n_shingles, component_id, n_links``
     and ``component``, which names the component also where ids are shared or missing."""
     texts = rows.select("row", "doc_id", F.col("text").cast("binary").alias("text"))
+    by_signatures = join.part * 10 >= join.whole * 9
+    more = "" if by_signatures else ", marks array<long>"
     known = stage(
-        texts.mapInArrow(_doc_rows(join), "row long, doc_id long, n_shingles long, h1 long, h2 long")
-    )
-    sent = (
-        by_signature(texts, join) if join.part * 10 >= join.whole * 9 else by_prefix(texts, join)
-    )
-    least = F.min("node").over(Window.partitionBy("signature", "seen"))
-    edges = (
-        sent.withColumn("least", F.when(F.col("seen"), F.col("signature")).otherwise(least))
-        .where("node != least")
-        .select(F.col("least").alias("a"), F.col("node").alias("b"))
+        texts.mapInArrow(
+            _doc_rows(join, not by_signatures), "row long, doc_id long, n_shingles long, h1 long, h2 long" + more
+        )
     )
+    if by_signatures:
+        least = F.min("node").over(Window.partitionBy("signature", "seen"))
+        edges = (
+            by_signature(texts, join)
+            .withColumn("least", F.when(F.col("seen"), F.col("signature")).otherwise(least))
+            .where("node != least")
+            .select(F.col("least").alias("a"), F.col("node").alias("b"))
+        )
+    else:
+        edges = by_prefix(texts, known, join)
     clusters = components(edges)
     classes = stage(
         known.where("n_shingles > 0")
@@ -515,7 +464,7 @@ def linked_rows(rows: DataFrame, join: Join = Join()) -> DataFrame:
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         )
     )
-    return known.join(outcome, ["h1", "h2"], "left").select(
+    return known.drop("marks").join(outcome, ["h1", "h2"], "left").select(
         "row",
         "doc_id",
         "n_shingles",

@@ -101,7 +101,8 @@ def matrix(parts: DataFrame, sizes: DataFrame, n_parts: int, seed: int) -> DataF
     drawn from those of its parent.
     """
     depth = max(n_parts - 1, 0).bit_length()
-    state = sizes.select(F.lit(0).cast("long").alias("node"), "counts")
+    # Staged, so that the first joins are on a column and not on a constant.
+    state = stage(sizes.select(F.lit(0).cast("long").alias("node"), "counts"))
     spark = parts.sparkSession
     for level in range(1, depth + 1):
         half = F.shiftright("no", depth - level)

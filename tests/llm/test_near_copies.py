@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from meterstone.llm import partenum_join
+from meterstone.llm import partenum_join, rare_prefix
 from meterstone.llm.partenum_join import Join, jaccard_join
 
 WIDE = Join(shingle=5, part=80, whole=100)
@@ -77,8 +77,47 @@ def test_join_against_brute_force(spark, docs, monkeypatch, blocks):
     assert got == want
 
 
-def test_unrelated_sets_meet_in_no_cluster(spark):
+def edges_of(spark, texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    rows = table.selectExpr("row", "row AS doc_id", "CAST(text AS BINARY) AS text")
+    known = rows.mapInArrow(partenum_join._doc_rows(WIDE, True), "row long, doc_id long, n_shingles long, h1 long, h2 long, marks array<long>")
+    name = {r.h1: r.row for r in known.collect()}
+    return {tuple(sorted((name[e.a], name[e.b]))) for e in partenum_join.by_prefix(rows, known, WIDE).collect()}
+
+
+def test_unrelated_sets_make_no_candidates(spark):
     rng = random.Random(2)
-    texts = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(80))) for i in range(400)]
-    sent = partenum_join.by_prefix(spark.createDataFrame(texts, "doc_id long, text string").selectExpr("CAST(text AS BINARY) AS text"), WIDE)
-    assert sent.where("seen").count() == 0 and sent.count() == 0
+    assert edges_of(spark, [" ".join(str(rng.randrange(10**6)) for _ in range(80)) for _ in range(400)]) == set()
+
+
+def test_a_line_of_many_texts_makes_no_candidates(spark):
+    """Groups of near copies that have a license line in common stay apart."""
+    rng = random.Random(4)
+    line, texts, group = " ".join(str(rng.randrange(10**6)) for _ in range(30)), [], []
+    for g in range(60):
+        base = [str(rng.randrange(10**6)) for _ in range(90)]
+        for _ in range(3):
+            copy = base[:]
+            copy[rng.randrange(90)] = "changed"
+            texts.append(line + " " + " ".join(copy))
+            group.append(g)
+    edges = edges_of(spark, texts)
+    assert edges and all(group[a] == group[b] for a, b in edges)
+
+
+@pytest.mark.parametrize("paired", [2, 32])
+def test_elements_of_many_sets(spark, monkeypatch, paired):
+    """Above the bound sets are linked to the least one; the outcome is the same."""
+    monkeypatch.setattr(rare_prefix, "PAIRED", paired)
+    monkeypatch.setattr(rare_prefix, "BUCKET_ELEMENTS", 500)
+    rng = random.Random(6)
+    base = [str(rng.randrange(10**6)) for _ in range(120)]
+    rows = []
+    for i in range(80):
+        copy = base[:]
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 4])):
+            copy[at] = f"w{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)[0]
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join(table, join=WIDE).collect()), key=str) == want

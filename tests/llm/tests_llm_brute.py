@@ -6,16 +6,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def link_groups(rows):
-    """Least id of the group of each row; rows without words are groups of their own."""
+    """Least id of the group of each row, linked at 0.8 of five-word shingles; rows without words are groups of their own."""
     sets = {}
     for i, text in rows:
         w = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets[i] = frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
     group = {i: i for i in sets}
     for i in sets:
         for j in sets:
             both = len(sets[i] & sets[j])
-            if i < j and sets[i] and sets[j] and 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+            if i < j and sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 low, high = sorted((group[i], group[j]))
                 group = {k: low if g == high else g for k, g in group.items()}
     return group
