@@ -200,8 +200,9 @@ def candidates(keyed: DataFrame, marks: DataFrame, part: int, whole: int) -> Dat
         .where("a < b")
         .distinct()
     )
-    known = marks.join(keyed.select("node").distinct(), "node", "left_semi")
-    sized = stage(known.groupBy("node").agg(F.any_value("size").alias("size"), F.any_value("marks").alias("marks")))
+    # One row for each set before anything is joined: copies of one text may be a third of all rows.
+    sets = marks.groupBy("node").agg(F.any_value("size").alias("size"), F.any_value("marks").alias("marks"))
+    sized = stage(sets.join(keyed.select("node").distinct(), "node", "left_semi"))
 
     def named(end: str) -> DataFrame:
         return sized.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("marks").alias(f"marks_{end}"))
