@@ -12,6 +12,7 @@ from meterstone.functions.pricebook import PriceBook
 from meterstone.operators.cube import chosen_files, not_older, session_rows, usage_buckets
 from meterstone.operators.merge import fill_from_index
 from meterstone.operators.pricing import reprice_sessions, reprice_usage
+from meterstone.schemas import SESSION_KEY
 from meterstone.session import cut_lineage, work_folder
 from meterstone.sources.logs import index_sessions, read_session_index
 from meterstone.sources.registry import LogSource, parse_all
@@ -27,10 +28,27 @@ class SyncResult:
 
 
 def reprice(store: TableStore, book: PriceBook) -> None:
-    """Bring stored costs to the current book."""
-    usage = cut_lineage(reprice_usage(store.usage(), book))
-    sessions = cut_lineage(reprice_sessions(store.sessions(), usage, book))
-    store.overwrite(usage, sessions)
+    """Bring stored costs to the current book.
+
+    Costs that the book leaves as they are stay untouched: only days with a changed bucket are
+    written, and only key buckets with a changed session. Days are collected, as
+    there are as many as the calendar has.
+    """
+    cost = F.col("cost_micro")
+    usage = reprice_usage(store.usage().withColumn("old_cost", cost), book)
+    changed = cut_lineage(usage.filter(~cost.eqNullSafe(F.col("old_cost"))).select(*SESSION_KEY, "usage_date"))
+    days = sorted(r[0] for r in changed.select("usage_date").distinct().collect())
+    # A session's cost is the sum of all its buckets, whichever of them changed.
+    keys = changed.select(*SESSION_KEY).distinct()
+    theirs = usage.drop("old_cost").join(keys, SESSION_KEY, "left_semi")
+    stored = store.sessions()
+    with_buckets = stored.filter("has_buckets").join(keys, SESSION_KEY, "left_semi")
+    asked = with_buckets.unionByName(stored.filter("NOT has_buckets"))
+    priced = reprice_sessions(asked.withColumn("old_cost", cost), theirs, book)
+    moved = priced.filter(~cost.eqNullSafe(F.col("old_cost")))
+    changes = cut_lineage(moved.select(*SESSION_KEY, "cost_micro", F.lit(True).alias("cost_is_set")))
+    if days or not changes.isEmpty():
+        store.rewrite_days(usage.drop("old_cost"), days, changes)
 
 
 def sync_history(
@@ -44,11 +62,13 @@ def sync_history(
 
     Manifest entries carry the price version: after a price change every log is
     new again and its requests are priced one by one. Without a ``book`` the one
-    of the store, with its edits, is used.
+    of the store, with its edits, is used. Usage and sessions change as one; what an
+    interrupted sync has left is finished or dropped first.
     """
     book = store.price_book() if book is None else book
     spark = store.spark
     work_folder(spark)  # without one nothing is begun
+    store.recover()
     result = SyncResult()
     if store.setting(PRICE_KEY) not in (None, book.version):
         reprice(store, book)
@@ -61,14 +81,12 @@ def sync_history(
     if parsed is not None:
         chosen = cut_lineage(not_older(chosen_files(parsed.files), store.sessions()))
         fresh = cut_lineage(usage_buckets(parsed.hours, chosen))
-        store.replace_usage(chosen, fresh)
         rows = session_rows(parsed.hours, chosen)
         if index is not None:
-            store.merge_sessions(cut_lineage(fill_from_index(only_new(index, store, rows), rows)))
+            changes = fill_from_index(only_new(index, store, rows), rows)
         else:
-            store.merge_sessions(
-                cut_lineage(rows.withColumn("cost_is_set", F.lit(True)))
-            )
+            changes = rows.withColumn("cost_is_set", F.lit(True))
+        store.commit(chosen, fresh, cut_lineage(changes))
         store.put_manifest(parsed.seen)
     store.put_setting(PRICE_KEY, book.version)
     return result

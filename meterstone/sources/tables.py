@@ -1,7 +1,8 @@
 """The stored tables (S10, S11): sessions, usage, file manifest and settings, as parquet.
 
 ``usage`` is partitioned by day, ``sessions`` by a hash of the key. A sync
-rewrites the days and key buckets it touches and no others.
+rewrites the days and key buckets it touches and no others, in both tables or in none
+(``intents``).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from meterstone.functions.pricebook import PriceBook, as_price, as_prices
 from meterstone.operators.merge import merge_sessions, replace_usage
 from meterstone.operators.pricing import PRICE_COLS, book_from_rules, current_rules
 from meterstone.schemas import PRICE, SESSION_KEY, SESSIONS, USAGE
-from meterstone.session import cut_lineage
+from meterstone.sources.intents import Intents
 from meterstone.sources.manifest import MANIFEST
 
 SETTINGS = T.StructType(
@@ -43,6 +44,7 @@ class TableStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.key_buckets = key_buckets
+        self.intents = Intents(spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -119,35 +121,21 @@ class TableStore:
 
     # ── writes ───────────────────────────────────────────────────────────
 
-    def _write_days(self, rows: DataFrame) -> None:
-        """Replace the days that occur in ``rows``; file sizes are left to adaptive rebalancing."""
-        (
-            rows.hint("rebalance", "usage_date")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("usage_date")
-            .parquet(self.path("usage"))
-        )
+    def _stage_days(self, rows: DataFrame, intent: str) -> None:
+        """Write the days that occur in ``rows``; file sizes are left to adaptive rebalancing."""
+        rows.hint("rebalance", "usage_date").write.partitionBy("usage_date").parquet(f"{intent}/usage")
 
-    def _write_sessions(self, rows: DataFrame) -> None:
-        (
-            rows.withColumn("key_bucket", self.key_bucket())
-            .hint("rebalance", "key_bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("key_bucket")
-            .parquet(self.path("sessions"))
-        )
+    def _stage_sessions(self, rows: DataFrame, intent: str) -> None:
+        keyed = rows.withColumn("key_bucket", self.key_bucket()).hint("rebalance", "key_bucket")
+        keyed.write.partitionBy("key_bucket").parquet(f"{intent}/sessions")
 
-    def replace_usage(self, changed: DataFrame, fresh: DataFrame) -> None:
-        """Swap the buckets of the changed sessions.
+    def _days_of(self, changed: DataFrame, fresh: DataFrame) -> set[date]:
+        """Days with old or new buckets of the changed sessions.
 
-        Only days with old or new buckets of these sessions are rewritten. The session
-        table knows the days of a session; where a row does not, the days are looked
-        for in the usage table, from the first one on. Days are collected as literals:
-        there are as many as the calendar has.
+        The session table knows the days of a session; where a row does not, the days are
+        looked for in the usage table, from the first one on. Days are collected as
+        literals: there are as many as the calendar has.
         """
-        stored = self.usage()
         keys = changed.select(*SESSION_KEY).distinct()
         held = self.sessions().filter("has_buckets").join(keys, SESSION_KEY, "left_semi")
         named = held.select(F.explode("usage_days").alias("usage_date"))
@@ -160,35 +148,56 @@ class TableStore:
             F.count_if(F.col("first_usage_date").isNull()).alias("undated"),
         ).first()
         if since.rows:
-            old = stored
+            old = self.usage()
             if not since.undated:
-                old = stored.filter(F.col("usage_date") >= F.lit(since.first))
+                old = old.filter(F.col("usage_date") >= F.lit(since.first))
             mine = old.join(unknown.select(*SESSION_KEY), SESSION_KEY, "left_semi")
             days |= {r[0] for r in mine.select("usage_date").distinct().collect()}
-        if not days:
-            return
-        touched = stored.filter(F.col("usage_date").isin(sorted(days)))
-        # Staged, because its days are looked at before it is written.
-        rows = cut_lineage(replace_usage(touched, keys, fresh))
-        left = {r[0] for r in rows.select("usage_date").distinct().collect()}
-        self._write_days(rows)
-        for day in sorted(days - left):
-            # A dynamic overwrite leaves days without rows alone: empty them here.
-            bare = self.spark.createDataFrame([], USAGE).drop("usage_date")
-            bare.write.mode("overwrite").parquet(self.path(f"usage/usage_date={day}"))
+        return days
+
+    def replace_usage(self, changed: DataFrame, fresh: DataFrame) -> None:
+        """Swap the buckets of the changed sessions; only days with some are rewritten."""
+        self.commit(changed, fresh)
 
     def merge_sessions(self, changes: DataFrame) -> None:
         """Upsert sessions; only key buckets with changes are rewritten."""
-        buckets = [
-            r[0] for r in changes.select(self.key_bucket().alias("b")).distinct().collect()
-        ]
-        if not buckets:
-            return
-        stored = self._read("sessions", STORED_SESSIONS)
-        touched = stored.filter(F.col("key_bucket").isin(buckets)).drop("key_bucket")
-        self._write_sessions(merge_sessions(touched, changes))
-
-    def overwrite(self, usage: DataFrame, sessions: DataFrame) -> None:
-        """Rewrite both tables, for example after repricing. Days and keys stay the same."""
-        self._write_days(usage)
-        self._write_sessions(sessions)
+        self.commit(changes=changes)
+
+    def commit(
+        self,
+        changed: DataFrame | None = None,
+        fresh: DataFrame | None = None,
+        changes: DataFrame | None = None,
+    ) -> None:
+        """S11 and S10 as one: the ``fresh`` buckets of the ``changed`` sessions, and ``changes`` of session
+        rows. After a crash ``recover`` finds all of it or nothing."""
+        intent, emptied = self.intents.begin(), []
+        if changed is not None:
+            days = self._days_of(changed, fresh)
+            touched = self.usage().filter(F.col("usage_date").isin(sorted(days)))
+            if days:
+                self._stage_days(replace_usage(touched, changed, fresh), intent)
+            left = set(self.intents.staged(intent, "usage"))
+            emptied = sorted({f"usage_date={d}" for d in days} - left)
+        if changes is not None:
+            self._stage_merged(changes, intent)
+        self.intents.commit(intent, {"usage": emptied})
+
+    def _stage_merged(self, changes: DataFrame, intent: str) -> None:
+        buckets = [r[0] for r in changes.select(self.key_bucket().alias("b")).distinct().collect()]
+        if buckets:
+            stored = self._read("sessions", STORED_SESSIONS)
+            touched = stored.filter(F.col("key_bucket").isin(buckets)).drop("key_bucket")
+            self._stage_sessions(merge_sessions(touched, changes), intent)
+
+    def rewrite_days(self, usage: DataFrame, days: list[date], changes: DataFrame) -> None:
+        """Replace ``days`` by their rows in ``usage`` and merge ``changes`` of session rows, as one."""
+        intent = self.intents.begin()
+        if days:
+            self._stage_days(usage.filter(F.col("usage_date").isin(days)), intent)
+        self._stage_merged(changes, intent)
+        self.intents.commit(intent, {})
+
+    def recover(self) -> list[str]:
+        """Finish or drop what an interrupted commit has left."""
+        return self.intents.recover()

@@ -1,102 +1,183 @@
 """Message snapshots as a stream of signed changes (L1, L2).
 
-Input contract (L1): every event is one immutable record with its session and a
-sequence number; records of a session arrive in sequence, in any batch split.
+Input contract: every event is one immutable record with its session and a sequence number.
 
-The state of messages becomes signed change rows. Their sum per bucket is what
-the batch operator computes, so a sink only has to add up.
+The newest snapshot of every message is keyed state of Spark's own: a map in RocksDB, of which a batch
+reads and writes the messages it names and no others, and whose entries end after a time.
+Snapshots that replace another one take it back. The sum of the changes per bucket is
+what the batch operator computes, so a sink only has to add up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from meterstone.functions.measures import poisoned_cost
 from meterstone.functions.pricebook import BUILTIN, PriceBook
+from meterstone.functions.timebucket import with_local_bucket
+from meterstone.operators import log_a
 from meterstone.schemas import TOKEN_COLS
-from meterstone.session import cut_lineage, new_folder
+from meterstone.session import new_folder
+from meterstone.sources.logs import session_id_a
 from meterstone.streaming.hourly import run_available
-from meterstone.streaming.state import BatchState
 
 PLACE = ["usage_date", "usage_hour", "model"]
 KEY = ["agent_type", "session_id", "msg_id"]
 LONG_WRITES = "cache_1h_tokens"
 COUNTS = [*TOKEN_COLS, LONG_WRITES]
-
-SNAPSHOT_STATE = T.StructType(
-    [
-        *[T.StructField(c, T.StringType()) for c in KEY],
-        T.StructField("seq", T.LongType()),
-        T.StructField("usage_date", T.DateType()),
-        T.StructField("usage_hour", T.IntegerType()),
-        T.StructField("model", T.StringType()),
-        *[T.StructField(c, T.LongType()) for c in COUNTS],
-    ]
-)
-
-
-def newest_snapshots(rows: DataFrame) -> DataFrame:
-    """The last snapshot of every message among ``rows``; missing counts are zero."""
+VALUES = ["seq", *PLACE, *COUNTS]
+VALUE_TYPES = "seq long, usage_date date, usage_hour int, model string, " + ", ".join(f"{c} long" for c in COUNTS)
+CHANGES = "sign long, " + ", ".join(f"{c} string" for c in KEY) + ", " + VALUE_TYPES
+
+#: Messages are dealt over so many maps by a hash, so that a busy session is on all executors.
+SLOTS = 256
+#: A message not seen for so long is over; a snapshot that still comes counts as a new message.
+KEPT_MS = 7 * 24 * 3600 * 1000
+
+#: What keyed state needs: RocksDB with a changelog, and no empty batches that would only wait for the clock.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Settings of streams with keyed state, for those that start inside."""
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+class NewestSnapshot(StatefulProcessor):
+    """Per slot a map: message -> its newest snapshot."""
+
+    def __init__(self, kept_ms: int | None):
+        self.kept_ms = kept_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        names = ", ".join(f"{c} string" for c in KEY)
+        self.held = handle.getMapState("newest", names, VALUE_TYPES, self.kept_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # Only the last snapshot of a message in this batch meets the state.
+        batch: dict[tuple, tuple] = {}
+        for part in rows:
+            names, values = part[KEY].itertuples(index=False, name=None), part[VALUES].itertuples(index=False, name=None)
+            for name, value in zip(names, values, strict=True):
+                if name not in batch or value[0] > batch[name][0]:
+                    batch[name] = value
+        out = []
+        for name, new in batch.items():
+            old = self.held.getValue(name) if self.held.containsKey(name) else None
+            if old is not None and old[0] >= new[0]:
+                continue
+            out.append((1, *name, *new))
+            if old is not None:
+                out.append((-1, *name, *old))
+            self.held.updateValue(name, new)
+        if out:
+            yield pd.DataFrame(out, columns=["sign", *KEY, *VALUES])
+
+    def close(self) -> None:
+        pass
+
+
+def whole_snapshots(rows: DataFrame) -> DataFrame:
+    """The columns the state holds; missing counts are zero, missing names empty."""
     long_writes = F.col(LONG_WRITES) if LONG_WRITES in rows.columns else F.lit(0)
-    zero = F.lit(0).cast("bigint")
-    counts = [F.coalesce(F.col(c).cast("bigint"), zero).alias(c) for c in TOKEN_COLS]
-    counts.append(F.coalesce(long_writes.cast("bigint"), zero).alias(LONG_WRITES))
-    newest = rows.groupBy(*KEY).agg(
-        F.max_by(F.struct("seq", *PLACE, *counts), "seq").alias("s")
-    )
-    return newest.select(*KEY, "s.*").select(
-        *[F.col(f.name).cast(f.dataType) for f in SNAPSHOT_STATE]
+    counts = {c: F.col(c) for c in TOKEN_COLS} | {LONG_WRITES: long_writes}
+    return rows.select(
+        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in KEY],
+        F.col("seq").cast("long").alias("seq"),
+        F.col("usage_date").cast("date").alias("usage_date"),
+        F.coalesce(F.col("usage_hour").cast("int"), F.lit(0)).alias("usage_hour"),
+        F.coalesce("model", F.lit("")).alias("model"),
+        *[F.coalesce(c.cast("long"), F.lit(0).cast("long")).alias(name) for name, c in counts.items()],
     )
 
 
-def changes_of_batch(rows: DataFrame, state: BatchState, number: int) -> tuple[DataFrame, DataFrame]:
-    """Signed changes of a batch, and the snapshots that are new in it."""
-    newest = cut_lineage(newest_snapshots(rows))
-    held = state.before(number, newest)
-    values = ["seq", *PLACE, *COUNTS]
-    old = held.select(*KEY, F.struct(*values).alias("old"))
-    better = (
-        newest.select(*KEY, F.struct(*values).alias("new"))
-        .join(old, KEY, "left")
-        .filter(F.col("old").isNull() | (F.col("new.seq") > F.col("old.seq")))
-    )
-    better = cut_lineage(better)
-    added = F.struct(F.lit(1).cast("bigint").alias("sign"), "new.*")
-    taken = F.when(F.col("old").isNotNull(), F.struct(F.lit(-1).cast("bigint").alias("sign"), "old.*"))
-    changes = better.select(*KEY, F.inline(F.array_compact(F.array(added, taken)))).drop("msg_id", "seq")
-    return changes, better.select(*KEY, "new.*")
+def snapshot_changes(snapshots: DataFrame, kept_ms: int | None = KEPT_MS, slots: int = SLOTS) -> DataFrame:
+    """L2: the stream of ``snapshots`` as a stream of signed usage rows, ``sign`` 1 or -1.
 
+    Rows need ``agent_type, session_id, msg_id, seq``, the bucket (a day; rows without one take no part) and the tokens;
+    1h cache writes may be given. Of a message the snapshot of highest ``seq`` counts,
+    in whatever batches and order they come. ``slots`` must stay what it was
+    when a stream is started again; the stream must start inside ``keyed_state``.
+    """
+    rows = whole_snapshots(snapshots).where("usage_date IS NOT NULL AND seq IS NOT NULL")
+    slot = F.pmod(F.xxhash64(*KEY), F.lit(slots)).alias("slot")
+    return (
+        rows.select(slot, "*")
+        .groupBy("slot")
+        .transformWithStateInPandas(
+            NewestSnapshot(kept_ms), CHANGES, "Update", "ProcessingTime" if kept_ms else "None"
+        )
+    )
 
-def snapshot_writer(folder: str, **options) -> Callable[[DataFrame, int], None]:
-    """L2, ``foreachBatch`` function: signed usage rows below ``<folder>/changes``.
 
-    Keyed by message, not by session: a busy session spreads over the cluster, and
-    repeats of a message are combined before the shuffle. Rows need ``agent_type,
-    session_id, msg_id, seq``, the bucket and the tokens; 1h cache writes may be given.
-    ``options`` go to the state table. A repeated batch replaces itself.
-    """
+def write_changes(changes: DataFrame, folder: str) -> None:
+    """Run ``changes`` over everything available, into ``<folder>/changes``, one table for
+    each batch; called again with the same folder, go on where it ended. A repeated batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        state = BatchState(batch.sparkSession, f"{folder}/state", SNAPSHOT_STATE, KEY, **options)
-        changes, newest = changes_of_batch(batch, state, number)
-        changes.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
-        state.put(number, newest)
+        batch.drop("msg_id", "seq").write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
-    return write
+    with keyed_state(changes.sparkSession):
+        run_available(changes, write, "update", folder)
 
 
-def drain_snapshots(snapshots: DataFrame, **options) -> DataFrame:
-    """Run a stream of snapshots over everything available; its changes."""
+def drain_snapshots(snapshots: DataFrame, folder: str | None = None, **options) -> DataFrame:
+    """Run a stream of snapshots over everything available; all its changes so far."""
     spark = snapshots.sparkSession
-    folder = new_folder(spark, "snapshots")
-    run_available(snapshots, snapshot_writer(folder, **options), "append", folder)
+    folder = folder or new_folder(spark, "snapshots")
+    write_changes(snapshot_changes(snapshots, **options), folder)
     return spark.read.parquet(f"{folder}/changes").drop("batch")
 
 
+def line_snapshots(lines: DataFrame, root: str) -> DataFrame:
+    """Snapshots of the replies among agent-A ``lines`` of ``sources.tail``, as ``snapshot_changes`` takes them.
+
+    A reply without id is a message of its own, named by its place. Replies without a day or
+    without usage are left out; one without a model is booked on ``''``. The place in the
+    file is the sequence number.
+    """
+    no = F.lit(None)
+    parsed = log_a.parse_lines(
+        lines.select("file_path", no.cast("timestamp").alias("modified"), F.col("head").alias("chunk"), "pos", "value")
+    )
+    replies = parsed.where((F.col("kind") == "reply") & F.col("has_usage") & log_a.in_project(root))
+    named = F.when(F.col("msg_id") != "", F.col("msg_id"))
+    placed = F.concat_ws("@", F.col("chunk").cast("string"), F.col("pos").cast("string"))
+    return with_local_bucket(replies, "ts_text").select(
+        F.lit(log_a.AGENT).alias("agent_type"),
+        session_id_a(root, F.col("file_path")).alias("session_id"),
+        F.coalesce(named, placed).alias("msg_id"),
+        F.col("pos").alias("seq"),
+        "usage_date",
+        "usage_hour",
+        F.coalesce("msg_model", F.lit("")).alias("model"),
+        *COUNTS,
+    )
+
+
 def summed_changes(changes: DataFrame, book: PriceBook = BUILTIN) -> DataFrame:
     """Buckets from accumulated snapshot changes: a taken-back row is priced like the row it
     takes back, so the pair cancels out."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,31 +43,56 @@ def late_writer(folder: str, late: str = "1 day") -> Callable[[DataFrame, int],
     """``foreachBatch`` function over the same events: what ``hourly_usage`` drops.
 
     A row is late if its hour had ended ``late`` before the newest event of the
-    batches before it. Late rows go to ``<folder>/late``, for the history to take up;
-    the newest event of every batch goes to ``<folder>/newest``. Both are written under
-    the batch number, so a repeated batch replaces itself.
+    batches before it. Late rows go to ``<folder>/late``, where ``with_late`` takes them up;
+    the newest event so far goes to ``<folder>/newest``, one row for a batch, of which the
+    last one is read. Both are written under the batch number, so a repeated batch
+    replaces itself.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = F.max("ts").alias("ts")
-        try:
-            before = spark.read.parquet(f"{folder}/newest").filter(F.col("batch") < number)
-            seen = before.agg(newest).first().ts
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            seen = None
+        seen = None
+        if number:
+            # Batches are numbered without gaps.
+            seen = spark.read.parquet(f"{folder}/newest/batch={number - 1}").first().ts
         ended = F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")
         # Event times count in whole milliseconds there.
         bound = F.date_trunc("millisecond", F.lit(seen)) - F.expr(f"INTERVAL {late}")
         missed = batch.filter(F.lit(False) if seen is None else ended <= bound)
         missed.write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
-        batch.agg(newest).write.mode("overwrite").parquet(f"{folder}/newest/batch={number}")
+        newest = batch.agg(F.greatest(F.max("ts"), F.lit(seen).cast("timestamp")).alias("ts"))
+        newest.write.mode("overwrite").parquet(f"{folder}/newest/batch={number}")
 
     return write
 
 
+def with_late(hourly: DataFrame, late: DataFrame) -> DataFrame:
+    """The hours a stream has kept, with the rows that came too late for it.
+
+    ``hourly`` has the newest version of each hour, ``late`` the rows of ``late_writer``.
+    An hour is the sum of both, whichever of them it occurs in. Late rows stay in the table
+    they were put in, by batch, so none counts twice, whenever this runs.
+    """
+    keys = ["usage_date", "usage_hour", "agent_type", "model"]
+    cost = F.col("cost_micro")
+    missed = late.select(
+        F.to_date("ts").alias("usage_date"),
+        F.hour("ts").alias("usage_hour"),
+        "agent_type",
+        "model",
+        *COUNTERS,
+        "cost_micro",
+        cost.isNull().cast("long").alias("unknown_cost_count"),
+    )
+    counts = [*COUNTERS, "unknown_cost_count"]
+    return (
+        hourly.select(*keys, *counts, "cost_micro")
+        .unionByName(missed)
+        .groupBy(*keys)
+        .agg(*[F.sum(c).alias(c) for c in counts], known_cost(cost).alias("cost_micro"))
+    )
+
+
 def run_available(stream: DataFrame, write, mode: str, folder: str) -> None:
     """Feed everything available to a ``foreachBatch`` function."""
     query = (
@@ -81,14 +105,16 @@ def run_available(stream: DataFrame, write, mode: str, folder: str) -> None:
     query.awaitTermination()
 
 
-def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def drain_updates(stream: DataFrame, name: str, keys: list[str], folder: str | None = None) -> DataFrame:
     """Run an update stream over everything available; the last version of each key stays.
 
+    With the ``folder`` of an earlier run the stream goes on where that one ended.
+
     Every batch is written under its own number, so a repeated batch replaces
     itself.
     """
     spark = stream.sparkSession
-    folder = new_folder(spark, name)
+    folder = folder or new_folder(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")

@@ -133,13 +133,17 @@ def batch_writer(
     return write
 
 
-def drain_steps(parsed: DataFrame, book: PriceBook = BUILTIN, **options) -> DataFrame:
-    """L3: run a stream of parsed agent-B rows over everything available; its events.
+def drain_steps(
+    parsed: DataFrame, book: PriceBook = BUILTIN, folder: str | None = None, **options
+) -> DataFrame:
+    """L3: run a stream of parsed agent-B rows over everything available; its events so far.
+
+    With the ``folder`` of an earlier run the stream goes on where that one ended.
 
     ``parsed`` has the columns of ``log_b.parse_lines``; ``(chunk, pos)`` goes up
     within a session from batch to batch.
     """
     spark = parsed.sparkSession
-    folder = new_folder(spark, "steps")
+    folder = folder or new_folder(spark, "steps")
     run_available(parsed, batch_writer(folder, book, **options), "append", folder)
     return spark.read.parquet(f"{folder}/events").drop("batch")

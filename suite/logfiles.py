@@ -2,37 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as afs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _writer(root: str):
+    """Files arrive whole and in order; each is written anew, so a task may be repeated."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = afs.FileSystem.from_uri(root) if "://" in root else (afs.LocalFileSystem(), root.removeprefix("file:"))
+        name, out, names, sizes = None, None, [], []
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("file", "value", "whole"))
+            for file, value, whole in zip(*columns, strict=True):
+                if file != name:
+                    if out:
+                        out.close()
+                    path = f"{base}/{file}"
+                    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    name, out = file, system.open_output_stream(path)
+                    names.append(file)
+                    sizes.append(0)
+                line = value.encode()
+                # A line that is still being written: half of it, and no end.
+                sizes[-1] += out.write(line + b"\n" if whole else line[: len(line) // 2])
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["file", "bytes"])
+
+    return write
 
 
 def write_files(lines: DataFrame, root: str) -> None:
     """Write ``lines(file, pos, value)`` as the files ``<root>/<file>``, lines in order.
 
-    Spark writes them, each in a folder of its own; they are then moved to their names.
+    Tasks write them, each the files that fall to it. With a column ``whole``, lines for
+    which it is false are left unfinished; they must be the last ones of their files.
     """
-    spark = lines.sparkSession
-    raw = f"{root}.parts"
-    (
-        lines.select("file", "pos", "value")
-        .repartition("file")
-        .sortWithinPartitions("file", "pos")
-        .select("file", "value")
-        .write.partitionBy("file")
-        .mode("overwrite")
-        .text(raw)
-    )
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    files = path(raw).getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in files.listStatus(path(raw)):
-        key = folder.getPath().getName()
-        if not key.startswith("file="):
-            continue
-        target = path(f"{root}/{unescape(key.removeprefix('file='))}")
-        parts = [p.getPath() for p in files.listStatus(folder.getPath()) if p.getPath().getName().startswith("part-")]
-        if len(parts) != 1:
-            raise RuntimeError(f"{target} came in {len(parts)} parts")
-        files.mkdirs(target.getParent())
-        files.delete(target, False)
-        files.rename(parts[0], target)
-    files.delete(path(raw), True)
+    whole = F.col("whole") if "whole" in lines.columns else F.lit(True).alias("whole")
+    tasks = 2 * lines.sparkSession.sparkContext.defaultParallelism
+    dealt = lines.select("file", "pos", "value", whole).repartition(tasks, "file").sortWithinPartitions("file", "pos")
+    dealt.drop("pos").mapInArrow(_writer(root), "file string, bytes long").agg(F.sum("bytes")).collect()

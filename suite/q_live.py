@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meterstone.functions.measures import dollars, poisoned_cost
@@ -10,15 +11,19 @@ from meterstone.operators import log_b
 from meterstone.schemas import COUNTERS, TOKEN_COLS
 from meterstone.streaming.changes import drain_snapshots, summed_changes
 from meterstone.session import cut_lineage, new_folder
-from meterstone.streaming.hourly import drain_updates, hourly_usage
+from meterstone.sources.logs import file_stem
+from meterstone.sources.tail import tail_lines
+from meterstone.streaming.hourly import drain_updates, hourly_usage, late_writer, run_available, with_late
 from meterstone.streaming.steps import drain_steps
+from suite.logfiles import write_files
 from suite.q_logs import LOGS_A, LOGS_B
 from suite.queries import query
-from suite.sqlbase import KNOWN, POISON, REQUESTS, SESSIONS, TOKENS, UNKNOWN, sums, tokens, usd
+from suite.sqlbase import BASE, KNOWN, POISON, REQUESTS, SESSIONS, TOKENS, UNKNOWN, sums, tokens, usd
 from suite.views import (
     AS_OF,
     NOON,
     all_buckets,
+    lines_a,
     lines_b,
     requests,
     sessions,
@@ -156,18 +161,60 @@ def trend_query(spark, sf):
 # ── Streams ──────────────────────────────────────────────────────────────
 
 
-def in_batches(rows, order: str, batches: int = 4):
-    """The rows as a stream of so many batches, in the order of a column."""
+def fed(rows, order: str, drain, batches: int = 4):
+    """What ``drain(stream, folder)`` gives after so many runs, before each of which a part of
+    the rows, in the order of a column, has been added to the stream by as many tasks as there are."""
     spark = rows.sparkSession
-    folder = new_folder(spark, "stream")
+    base = new_folder(spark, "stream")
     held = cut_lineage(rows)
     low, high = held.agg(F.min(order), F.max(order)).first()
     step = (high - low) // batches + 1
     for k in range(batches):
         part = held.filter(F.col(order).between(low + k * step, low + (k + 1) * step - 1))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    files = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", "1")
-    return files.parquet(folder)
+        part.repartition(spark.sparkContext.defaultParallelism).write.mode("append").parquet(f"{base}/in")
+        out = drain(spark.readStream.schema(held.schema).parquet(f"{base}/in"), f"{base}/out")
+    return out
+
+
+@query(
+    "l01_tail",
+    f"""WITH {BASE}, l AS (
+      SELECT session_id, ts, event_id, unnest(CASE WHEN event_id % 4 = 0 THEN [0, 1] ELSE [1] END) AS slot
+      FROM ev WHERE agent_type = 'claude_code')
+    SELECT session_id, CASE slot WHEN 0 THEN 'user' ELSE 'assistant' END AS type,
+      strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, CAST(1 AS BIGINT) AS times,
+      CAST(row_number() OVER (PARTITION BY session_id ORDER BY event_id, slot) AS BIGINT) AS line FROM l""",
+)
+def tail_query(spark, sf):
+    """L1: log files that grow twice, with a line half written at each end, read by three runs of
+    one stream; every line, its place and how often it was read."""
+    base = new_folder(spark, "tail")
+    lines = cut_lineage(lines_a(requests(spark, sf)))
+    name = F.concat(F.lit("proj/"), F.substring_index("file_path", "/", -1))
+    lines = lines.select(name.alias("file"), "pos", "value")
+    low, high = lines.agg(F.min("pos"), F.max("pos")).first()
+    for part in (1, 2, 3):
+        end = low + (high - low) * part // 3
+        unfinished = lines.filter(F.col("pos") > end).groupBy("file").agg(F.min("pos").alias("next"))
+        now = lines.join(unfinished, "file", "left").filter(
+            (F.col("pos") <= end) | (F.col("pos") == F.col("next"))
+        )
+        write_files(now.withColumn("whole", F.col("pos") <= end), f"{base}/logs")
+        stream = tail_lines(spark, f"{base}/logs", pieceBytes=str(1 << 16))
+
+        def write(batch, number):
+            batch.write.mode("overwrite").parquet(f"{base}/lines/batch={number}")
+
+        run_available(stream, write, "append", base)
+    read = spark.read.parquet(f"{base}/lines").groupBy("file_path", "pos", "value").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("file_path").orderBy("pos")
+    return read.select(
+        file_stem(F.col("file_path")).alias("session_id"),
+        F.get_json_object("value", "$.type").alias("type"),
+        F.get_json_object("value", "$.timestamp").alias("at"),
+        "times",
+        F.row_number().over(order).cast("bigint").alias("line"),
+    )
 
 
 @query(
@@ -194,7 +241,7 @@ def in_batches(rows, order: str, batches: int = 4):
 def stream_snapshot_query(spark, sf):
     """L2: snapshots as a stream of several batches; the sum of its changes against the
     last snapshots."""
-    rows = in_batches(requests(spark, sf), "event_id").select(
+    rows = requests(spark, sf).select(
         *KEYS,
         week_id().alias("msg_id"),
         F.col("event_id").alias("seq"),
@@ -203,7 +250,7 @@ def stream_snapshot_query(spark, sf):
         "model",
         *TOKEN_COLS,
     )
-    changes = drain_snapshots(rows, gather=2)
+    changes = fed(rows, "seq", lambda stream, folder: drain_snapshots(stream, folder, slots=32))
     return summed_changes(changes).withColumn("cost_usd", dollars(F.col("cost_micro"))).drop(
         "cost_micro"
     )
@@ -218,12 +265,11 @@ def stream_snapshot_query(spark, sf):
 def stream_delta_query(spark, sf):
     """L3: parsed agent-B rows as a stream of several batches; its steps summed per bucket."""
     rows = log_b.parse_lines(lines_b(requests(spark, sf)))
-    stream = in_batches(rows, "pos")
+    steps = fed(rows, "pos", lambda stream, folder: drain_steps(stream, folder=folder, gather=2))
     session = F.regexp_extract("file_path", r"rollout-([^/]+)\.jsonl$", 1)
     keys = ["agent_type", session.alias("session_id"), "usage_date", "usage_hour", "model"]
     return (
-        drain_steps(stream, gather=2)
-        .groupBy(*keys)
+        steps.groupBy(*keys)
         .agg(
             *[F.sum(c).alias(c) for c in COUNTERS],
             poisoned_cost(F.col("cost_micro")).alias("cost_micro"),
@@ -241,10 +287,17 @@ def stream_delta_query(spark, sf):
     model""",
 )
 def stream_hourly_query(spark, sf):
-    """Hourly usage kept by a watermarked aggregation, over several batches."""
-    rows = in_batches(requests(spark, sf), "event_id").withColumn("ts", F.col("ts").cast("timestamp"))
+    """Hourly usage kept by a watermarked aggregation, over several runs; rows held back to the last
+    one come too late for it and are added from their own table."""
+    rows = requests(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    held_back = (F.col("event_id") % 29 == 0).cast("bigint") * F.lit(1 << 40)
     keys = ["usage_date", "usage_hour", "agent_type", "model"]
-    latest = drain_updates(hourly_usage(rows), "hourly", keys)
-    return latest.withColumn("estimated_cost_usd", dollars(F.col("cost_micro"))).drop("cost_micro")
+    place = F.row_number().over(Window.partitionBy(F.pmod("event_id", F.lit(64))).orderBy(held_back, "event_id"))
 
+    def drain(stream, folder):
+        run_available(stream, late_writer(folder), "append", f"{folder}/late_query")
+        latest = drain_updates(hourly_usage(stream), "hourly", keys, f"{folder}/hourly")
+        return with_late(latest, spark.read.parquet(f"{folder}/late"))
 
+    total = fed(rows.withColumn("place", place), "place", drain)
+    return total.withColumn("estimated_cost_usd", dollars(F.col("cost_micro"))).drop("cost_micro")

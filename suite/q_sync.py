@@ -19,6 +19,8 @@ from suite.sqlbase import BASE
 from suite.views import AS_OF, lines_a, lines_b, requests, stamp
 
 CUT = "2024-01-26"
+#: Folders over which the sessions of a project are spread, each with an index of its own.
+INDEX_FOLDERS = 256
 
 
 def broken(lines, as_of, book):
@@ -113,8 +115,9 @@ def index_query(spark, sf):
     stale = entry(F.lit("stale"), F.col("last") - F.expr("INTERVAL 1 HOUR"), F.lit(0).cast("long"))
     fresh = entry(F.concat(F.lit("sum "), F.col("session_id")), F.col("last"), F.col("n"))
     document = F.to_json(F.struct(F.flatten(F.collect_list(F.array(fresh, stale))).alias("entries")))
-    files = sessions.groupBy("p").agg(document.alias("value")).select(
-        F.concat(F.lit("p"), F.col("p").cast("string"), F.lit("/sessions-index.json")).alias("file"),
+    spread = F.pmod(F.xxhash64("session_id"), F.lit(INDEX_FOLDERS)).alias("folder")
+    files = sessions.groupBy("p", spread).agg(document.alias("value")).select(
+        F.concat_ws("", F.lit("p"), "p", F.lit("-"), "folder", F.lit("/sessions-index.json")).alias("file"),
         F.lit(0).alias("pos"),
         "value",
     )

@@ -1,5 +1,6 @@
 import os
 from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -7,12 +8,13 @@ from logs import context, event, meta, tokens, total
 from meterstone.operators import log_b
 from meterstone.schemas import COUNTERS, TOKEN_COLS
 from meterstone.sources.logs import read_agent_b
-from meterstone.streaming.changes import drain_snapshots, summed_changes
+from meterstone.streaming.changes import drain_snapshots, keyed_state, summed_changes
 from meterstone.streaming.hourly import (
     drain_updates,
     hourly_usage,
     late_writer,
     run_available,
+    with_late,
 )
 from meterstone.streaming.state import BatchState
 from meterstone.streaming.steps import STATE, batch_writer, drain_steps
@@ -53,7 +55,7 @@ def test_snapshot_moves_between_batches(spark, tmp_path):
         "usage_hour int, model string, " + ", ".join(f"{c} long" for c in TOKEN_COLS),
     )
     stream = in_batches(spark, frame, str(tmp_path / "in"), 2)
-    changes = drain_snapshots(stream, buckets=2, gather=2)
+    changes = drain_snapshots(stream, slots=3)
     got = {
         (r.usage_hour, r.model): (r.input_tokens, r.output_tokens, r.cost_micro)
         for r in summed_changes(changes).collect()
@@ -155,3 +157,73 @@ def test_hourly(spark, tmp_path):
         (10, 40, 2),
         (11, 20, 1),
     ]
+
+
+SNAPSHOT = (
+    "agent_type string, session_id string, msg_id string, seq long, usage_date date, usage_hour int, model string, "
+    + ", ".join(f"{c} long" for c in TOKEN_COLS)
+)
+
+
+def add(spark, folder, rows):
+    full = [("claude_code", "s", m, seq, DAY, hour, "gpt-5.4", i, 0, 0, 0) for m, seq, hour, i in rows]
+    spark.createDataFrame(full, SNAPSHOT).repartition(2).write.mode("append").parquet(folder)
+    return spark.readStream.schema(SNAPSHOT).parquet(folder)
+
+
+def test_snapshots_over_runs(spark, tmp_path):
+    """Moved, repeated and overtaken snapshots; a stopped stream goes on where it ended."""
+    into, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def signed(stream):
+        rows = drain_snapshots(stream, out, slots=2).collect()
+        return sorted((r.sign, r.usage_hour, r.input_tokens) for r in rows)
+
+    assert signed(add(spark, into, [("a", 1, 1, 10), ("b", 2, 1, 5), ("a", 3, 1, 20)])) == [(1, 1, 5), (1, 1, 20)]
+    # a moves to another hour; an older snapshot of b comes late and says nothing.
+    moved = signed(add(spark, into, [("a", 4, 2, 30), ("b", 1, 7, 99)]))
+    assert moved == [(-1, 1, 20), (1, 1, 5), (1, 1, 20), (1, 2, 30)]
+    # A run without new rows adds nothing.
+    assert signed(spark.readStream.schema(SNAPSHOT).parquet(into)) == moved
+
+
+def test_snapshots_end_after_a_time(spark, tmp_path):
+    """An entry that has ended is forgotten, so its message counts as a new one."""
+    into, out = str(tmp_path / "in"), str(tmp_path / "out")
+    drain_snapshots(add(spark, into, [("a", 1, 1, 10)]), out, slots=2, kept_ms=1)
+    rows = drain_snapshots(add(spark, into, [("a", 2, 2, 20)]), out, slots=2, kept_ms=1).collect()
+    assert sorted((r.sign, r.input_tokens) for r in rows) == [(1, 10), (1, 20)]
+
+
+def test_settings_of_keyed_state_are_put_back(spark):
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    with keyed_state(spark):
+        assert spark.conf.get(name) == "false"
+    assert spark.conf.get(name) == before
+
+
+def test_late_rows_are_added_to_the_hours(spark, tmp_path):
+    """Stream and late rows together are what a batch over all rows gives."""
+    def rows(times):
+        return spark.createDataFrame(
+            [(datetime.fromisoformat(t), "claude_code", "m", *[1] * len(COUNTERS), c if c is None else Decimal(c)) for t, c in times],
+            "ts timestamp, agent_type string, model string, " + ", ".join(f"{c} long" for c in COUNTERS) + ", cost_micro decimal(38,6)",
+        )
+
+    parts = [
+        [("2026-04-20 10:00:00", 1), ("2026-04-20 11:00:00", 2)],
+        [("2026-04-25 10:00:00", 4)],
+        [("2026-04-20 10:30:00", 8), ("2026-04-20 12:00:00", None), ("2026-04-25 09:00:00", 16)],
+        [("2026-04-20 10:45:00", 32)],
+    ]
+    into, out, keys = str(tmp_path / "in"), str(tmp_path / "out"), ["usage_date", "usage_hour", "agent_type", "model"]
+    for part in parts:
+        rows(part).write.mode("append").parquet(into)
+        stream = spark.readStream.schema(rows(part).schema).parquet(into)
+        run_available(stream, late_writer(out), "append", f"{out}/late_query")
+        hours = drain_updates(hourly_usage(stream), "hourly", keys, f"{out}/hourly")
+    late = spark.read.parquet(f"{out}/late")
+    assert late.count() == 3
+    got = {(r.usage_date.day, r.usage_hour): (r.message_count, r.cost_micro, r.unknown_cost_count) for r in with_late(hours, late).collect()}
+    assert got == {(20, 10): (3, 41, 0), (20, 11): (1, 2, 0), (20, 12): (1, 0, 1), (25, 9): (1, 16, 0), (25, 10): (1, 4, 0)}

@@ -9,8 +9,10 @@ from logs import context, event, meta, reply, tokens, total, usage, user
 from meterstone.functions.pricebook import BUILTIN, PriceBook
 from meterstone.operators.usage import usage_source
 from meterstone.plans import reports as R
+from meterstone.plans import sync
 from meterstone.plans.sync import sync_history
 from meterstone.sources import manifest as mf
+from meterstone.sources.intents import Intents
 from meterstone.sources.registry import LogSource, agent_a, agent_b
 from meterstone.sources.tables import TableStore
 
@@ -184,3 +186,78 @@ def test_price_edits_persist(world):
     assert rows(store)["s"].cost_micro == 5_000_000
     with pytest.raises(ValueError):
         store.edit_prices([{"kind": "model", "op": "set", "model": "m", "prices": (0.0000004, 0, 0, 0)}])
+
+
+def state(store):
+    """What the tables say of each session: costs and tokens of both must agree."""
+    usage = store.usage().groupBy("session_id").agg(F.sum("output_tokens").alias("n"), F.sum("cost_micro").alias("c"))
+    return (
+        {r.session_id: (r.n, r.c) for r in usage.collect()},
+        {r.session_id: (r.output_tokens, r.cost_micro) for r in store.sessions().filter("has_buckets").collect()},
+    )
+
+
+@pytest.mark.parametrize("at", ["staged sessions", "between the tables"])
+def test_a_crash_leaves_all_or_nothing(world, write_log, monkeypatch, at):
+    store, a, b = world
+    go(store, a, b)
+    before = state(store)
+    write_log(a / "proj" / "s.jsonl", [user("new", cwd="/w"), reply("m1", usage(0, 99))])
+    write_log(b / "2026" / "rollout-y.jsonl", [meta("y"), context("gpt-5.4"), event("user_message", message="m"), tokens(total(7, 0, 7))])
+
+    def crash(*args, **more):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        if at == "staged sessions":
+            broken.setattr(TableStore, "_stage_sessions", crash)
+        elif at == "before the record":
+            broken.setattr(Intents, "commit", crash)
+        elif at == "after the record":
+            broken.setattr(Intents, "carry_out", crash)
+        else:
+            rename, moves = Intents._rename, []
+
+            def second_fails(self, source, target):
+                moves.append(target)
+                if len(moves) == 3:  # the record, one partition, then the crash
+                    crash()
+                rename(self, source, target)
+
+            broken.setattr(Intents, "_rename", second_fails)
+        with pytest.raises(RuntimeError, match="lost"):
+            go(store, a, b)
+    recorded = at in ("after the record", "between the tables")
+    assert bool(store.recover()) == recorded
+    usage_now, sessions_now = state(store)
+    assert usage_now == sessions_now
+    assert ((usage_now, sessions_now) == before) == (not recorded)
+    go(store, a, b)
+    usage_now, sessions_now = state(store)
+    assert usage_now == sessions_now and usage_now["s"][0] == 99 and usage_now["y"][0] == 7
+    assert not any((a.parent / "store" / "intents").iterdir())
+
+
+def test_reprice_writes_only_what_changes(world, write_log):
+    store, a, b = world
+    write_log(
+        b / "2026" / "rollout-far.jsonl",
+        [meta("far"), context("unpriced"), event("user_message", ts="2026-05-02T01:00:00Z", message="m"), tokens(total(5, 0, 5), ts="2026-05-02T01:00:00Z")],
+    )
+    go(store, a, b)
+
+    def files():
+        return {p: p.stat().st_mtime_ns for table in ("usage", "sessions") for p in (a.parent / "store" / table).rglob("*.parquet")}
+
+    before = files()
+    # Costs that a log gave stay; only what had no price can change.
+    book = PriceBook.of(models={"unpriced": (1, 1, 1, 1), "claude-opus-4-7": (9, 9, 9, 9)})
+    sync.reprice(store, book)
+    gone = {str(p.parent.name) for p in before if p not in files()}
+    assert {g for g in gone if g.startswith("usage_date")} == {"usage_date=2026-05-02"}
+    assert len({g for g in gone if g.startswith("key_bucket")}) == 1
+    assert {r.session_id: r.cost_micro for r in store.sessions().collect()}["far"] == 10
+    assert state(store)[0] == state(store)[1]
+    before = files()
+    sync.reprice(store, book)
+    assert files() == before
