@@ -2,11 +2,14 @@
 
 Words are counted over all training text. The most frequent ones are clustered: each
 in turn moves to the class that raises the likelihood of the class bigrams most, until
-none moves. All other words, unseen ones too, belong to a class of their shape. A text
-scores by the transitions of its classes and by the words' shares of their classes.
-
-Counting, and looking up the counts of rare words, are Spark jobs over everything;
-the model itself has a size that does not depend on the corpus.
+none moves. Every other shared word with evidence enough then takes the class that suits the classes
+of its neighbours, all over the corpus, best. Rare and unseen words belong to a class of
+their shape. A text scores by the transitions of its classes and by the words' shares
+of their classes.
+
+Texts are read twice, to count words and to code them; all that follows runs on the
+codes. Counting, and looking up the counts of rare words, are Spark jobs over
+everything; the model itself has a size that does not depend on the corpus.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +44,8 @@ class Size:
     #: Words whose counts all tasks hold; the counts of others are joined.
     shared: int = 200_000
     rounds: int = 10
+    #: Words that occur so often take a class by their neighbours; rarer ones keep that of their shape.
+    evidence: int = 20
     #: Added to the count of a word within its shape.
     smoothing: float = 0.5
 
@@ -98,45 +104,148 @@ def word_counts(texts: DataFrame) -> DataFrame:
     )
 
 
-def _bigrams(clustered: list[bytes]):
-    """``pair, n``: numbers of neighbouring tokens, a start before each text."""
-    size = len(clustered) + SHAPES + 2
+CODED = "codes array<int>, rare array<binary>, times array<int>"
+
+
+def _coded(words: list[bytes], kept: list[str]):
+    """The ``kept`` columns and, per text, the codes of its words: numbers of shared words, then shapes; and its
+    other words with their numbers of times."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(words)
         for batch in batches:
-            codes, pairs, counts = Codes(clustered), [], []
-            end, start = codes.first + SHAPES, codes.first + SHAPES + 1
-            line: list[int] = []
+            columns: list[list] = [[], [], []]
+            for text in batch.column("text").to_pylist():
+                line = tokens(text)
+                ids = [codes[w] for w in line]
+                rare = Counter(w for w, i in zip(line, ids, strict=True) if i >= codes.first)
+                for column, value in zip(columns, (np.array(ids, dtype=np.int32), list(rare), list(rare.values())), strict=True):
+                    column.append(value)
+            # What a batch has remembered beyond the list goes with it.
+            if len(codes) > 2 * codes.first + (1 << 20):
+                codes = Codes(words)
+            types = (pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), *(pa.array(c, type=t) for c, t in zip(columns, types, strict=True))],
+                names=[*kept, "codes", "rare", "times"],
+            )
+
+    return rows
 
-            def settle() -> None:
-                ids = np.array(line, dtype=np.int64)
-                pair = ids[:-1] * size + ids[1:]
-                pair, count = np.unique(pair[ids[1:] != start], return_counts=True)
-                pairs.append(pair)
-                counts.append(count)
 
-            for text in batch.column("text").to_pylist():
-                line.append(start)
-                line += [codes[w] for w in tokens(text)]
-                line.append(end)
-                if len(line) > 1 << 20:
-                    settle()
-                    line.clear()
-            if line:
-                settle()
-            if not pairs:
+def coded(texts: DataFrame, words: list[bytes]) -> DataFrame:
+    """``texts(text binary, ...)`` with codes in place of the text."""
+    kept = [c for c in texts.columns if c != "text"]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.schema if f.name != "text")
+    return texts.select(*kept, "text").mapInArrow(_coded(words, kept), fields + CODED)
+
+
+def in_a_row(lists: pa.Array, start: int, end: int) -> np.ndarray:
+    """The codes of all texts, each between ``start`` and ``end``."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    n = len(size)
+    out = np.empty(int(size.sum()) + 2 * n, dtype=np.int64)
+    stops = np.cumsum(size)
+    out[stops - size + 2 * np.arange(n)] = start
+    out[stops + 2 * np.arange(n) + 1] = end
+    out[np.arange(int(size.sum())) + 2 * np.repeat(np.arange(n), size) + 1] = lists.flatten().to_numpy()
+    return out
+
+
+def _pairs(number_of: np.ndarray, size: int):
+    """``pair, n``: neighbouring tokens by their numbers, of which there are ``size``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = len(number_of) - 1
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            pair, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate(counts), len(pair)).astype(np.int64)
+            codes = in_a_row(batch.column("codes"), last, last - 1)
+            ids = number_of[codes]
+            pair = (ids[:-1] * size + ids[1:])[codes[1:] != last]
+            pair, n = np.unique(pair, return_counts=True)
             for at in range(0, len(pair), 1 << 17):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pair[at : at + (1 << 17)]), pa.array(n[at : at + (1 << 17)])],
-                    names=["pair", "n"],
+                    [pa.array(pair[at : at + (1 << 17)]), pa.array(n[at : at + (1 << 17)].astype(np.int64))], names=["pair", "n"]
                 )
 
     return rows
 
 
+def pair_grid(texts: DataFrame, number_of: np.ndarray, size: int) -> np.ndarray:
+    """How often each number follows each, over all coded ``texts``; at most ``size`` squared cells."""
+    table = (
+        texts.select("codes").mapInArrow(_pairs(number_of, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    ).toArrow()
+    grid = np.zeros(size * size)
+    grid[table.column("pair").to_numpy()] = table.column("n").to_numpy()
+    return grid.reshape(size, size)
+
+
+def _neighbours(class_of: np.ndarray, asked: np.ndarray, total: int):
+    """``word, slot, n``: classes after (from slot 0) and before (from ``total``) the ``asked`` words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = len(class_of) - 1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = in_a_row(batch.column("codes"), last, last - 1)
+            at = np.flatnonzero(asked[codes])
+            word, near = codes[at], class_of[codes]
+            key = np.concatenate((word * (2 * total) + near[at + 1], word * (2 * total) + total + near[at - 1]))
+            key, n = np.unique(key, return_counts=True)
+            for cut in range(0, len(key), 1 << 17):
+                piece = slice(cut, cut + (1 << 17))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((key[piece] // (2 * total)).astype(np.int32)), pa.array((key[piece] % (2 * total)).astype(np.int32)), pa.array(n[piece].astype(np.int64))],
+                    names=["word", "slot", "n"],
+                )
+
+    return rows
+
+
+def best_class(
+    counts: np.ndarray, times: np.ndarray, of_shape: np.ndarray, transitions: np.ndarray, sizes: np.ndarray, classes: int
+) -> np.ndarray:
+    """The class, of the learned ones and the word's shape, under which its neighbours are likeliest.
+
+    ``counts``: per word its neighbours after and before by class. A word shares its class with
+    those in it (``sizes``); of equal classes the first one is taken.
+    """
+    total = len(transitions)
+    after, before = counts[:, :total], counts[:, total:]
+    gain = after @ transitions.T + before @ transitions
+    own = np.arange(len(counts)), of_shape
+    gain = gain - times[:, None] * np.log10(sizes + times[:, None])
+    # The sizes of shapes have the word in them.
+    gain[own] += times * (np.log10(sizes[of_shape] + times) - np.log10(np.maximum(sizes[of_shape], 1)))
+    allowed = np.zeros_like(gain, dtype=bool)
+    allowed[:, :classes] = True
+    allowed[own] = True
+    return np.where(allowed, gain, -np.inf).argmax(axis=1)
+
+
+def _assigned(times: np.ndarray, of_shape: np.ndarray, transitions: np.ndarray, sizes: np.ndarray, classes: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word = batch.column("word").to_numpy()
+            near = batch.column("near")
+            owner = np.repeat(np.arange(len(word)), pc.list_value_length(near).to_numpy())
+            slot, n = (near.flatten().field(c).to_numpy() for c in ("slot", "n"))
+            for at in range(0, len(word), 1 << 13):
+                mine = (owner >= at) & (owner < at + (1 << 13))
+                part = word[at : at + (1 << 13)]
+                counts = np.zeros((len(part), 2 * len(transitions)))
+                np.add.at(counts, (owner[mine] - at, slot[mine]), n[mine])
+                of = best_class(counts, times[part], of_shape[part], transitions, sizes, classes)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(of.astype(np.int32))], names=["word", "class"])
+
+    return rows
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -227,98 +336,111 @@ def frequent(counts: DataFrame, size: Size) -> tuple[list[bytes], list[int], lis
     return [r["word"] for r in top], [r["shape"] for r in top], [r["count"] for r in top]
 
 
+def smoothed(seen: np.ndarray) -> np.ndarray:
+    """log10 of class transitions. Witten-Bell: as much weight for the plain share as different
+    classes have followed."""
+    share = (seen.sum(axis=0) + 1) / (seen.sum() + len(seen))
+    weight = np.maximum((seen > 0).sum(axis=1), 1)[:, None]
+    return np.log10((seen + weight * share) / (seen.sum(axis=1)[:, None] + weight))
+
+
 def fit_model(texts: DataFrame, counts: DataFrame, size: Size = Size()) -> ClassModel:
     """Learn from ``texts(text binary)`` and their ``counts``, which are staged."""
+    vocabulary = frequent(counts, size)
+    return fit_coded(stage(coded(texts.select("text"), vocabulary[0])), counts, vocabulary, size)
+
+
+def fit_coded(
+    texts: DataFrame, counts: DataFrame, vocabulary: tuple[list[bytes], list[int], list[int]], size: Size
+) -> ClassModel:
+    """Learn from the codes of the training texts, staged, under a ``vocabulary`` of shared words."""
     summed = counts.groupBy("shape").agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect()
     n_tokens, n_words = sum(r.n for r in summed), sum(r.v for r in summed)
     ends = sum(r.n for r in summed if r["shape"] < 0)
-    words, of_shape, count = frequent(counts, size)
-    k = min(size.clustered, len(words))
-    m = k + SHAPES + 2
-    table = (
-        texts.mapInArrow(_bigrams(words[:k]), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    ).toArrow()  # at most m * m rows
-    grid = np.zeros(m * m)
-    grid[table.column("pair").to_numpy()] = table.column("n").to_numpy()
-    grid = grid.reshape(m, m)
+    words, shapes, count = vocabulary
+    listed, of_shape, times = len(words), np.array(shapes, dtype=np.int64), np.array(count, dtype=float)
+    k = min(size.clustered, listed)
+    # The core has numbers of its own, all other words that of their shape; then end and start.
+    core = np.concatenate((np.arange(k), k + of_shape[k:], np.arange(k, k + SHAPES + 2))).astype(np.int64)
+    grid = pair_grid(texts, core, k + SHAPES + 2)
     classes = min(size.classes, max(k, 1))
     of = exchange(grid, k, classes, size.rounds)
     total = int(of.max()) + 1
+    class_of = of[core]
     seen = np.zeros((total, total))
     np.add.at(seen, (of[:, None], of[None, :]), grid)
-    # Witten-Bell: as much weight for the plain share as different classes have followed.
-    share = (seen.sum(axis=0) + 1) / (seen.sum() + total)
-    weight = np.maximum((seen > 0).sum(axis=1), 1)[:, None]
-    transitions = np.log10((seen + weight * share) / (seen.sum(axis=1)[:, None] + weight))
     shapes_n, shapes_v = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in summed:
         if r["shape"] >= 0:
             shapes_n[r["shape"]], shapes_v[r["shape"]] = r.n, r.v
-    np.subtract.at(shapes_n, of_shape[:k], count[:k])
-    np.subtract.at(shapes_v, of_shape[:k], 1)
-    below = np.log10(shapes_n + size.smoothing * (shapes_v + 1))
-    sizes = np.bincount(of[:k], count[:k], classes) if k else np.ones(classes)
-    numbers = np.array(count, dtype=float)
-    in_shape = np.array(of_shape[k:], dtype=int)
-    emissions = np.concatenate(
-        (
-            np.log10(numbers[:k] / sizes[of[:k]]),
-            np.log10(numbers[k:] + size.smoothing) - below[in_shape],
-            -below,
-            [0.0, 0.0],
+    asked = np.zeros(len(class_of), dtype=bool)
+    asked[k:listed] = times[k:] >= size.evidence
+    if k and asked.any():
+        settled = np.bincount(of[:k], times[:k], total)
+        settled[classes : classes + SHAPES] = shapes_n
+        np.subtract.at(settled, classes + of_shape[:k], times[:k])
+        near = (
+            texts.select("codes")
+            .mapInArrow(_neighbours(class_of, asked, total), "word int, slot int, n long")
+            .groupBy("word", "slot")
+            .agg(F.sum("n").alias("n"))
+            .groupBy("word")
+            .agg(F.collect_list(F.struct("slot", "n")).alias("near"))  # two for each class at most
         )
+        found = near.mapInArrow(
+            _assigned(times, classes + of_shape, smoothed(seen), settled, classes), "word int, class int"
+        ).toArrow()
+        class_of[found.column("word").to_numpy()] = found.column("class").to_numpy()
+        seen = pair_grid(texts, class_of, total)
+    learned = class_of[:listed] < classes
+    np.subtract.at(shapes_n, of_shape[learned], times[learned])
+    np.subtract.at(shapes_v, of_shape[learned], 1)
+    below = np.log10(shapes_n + size.smoothing * (shapes_v + 1))
+    sizes = np.bincount(class_of[:listed][learned], times[learned], classes)
+    emissions = np.concatenate((np.zeros(listed), -below, [0.0, 0.0]))
+    emissions[:listed] = np.where(
+        learned,
+        np.log10(times / np.maximum(sizes[np.where(learned, class_of[:listed], 0)], 1)),
+        np.log10(times + size.smoothing) - below[of_shape],
     )
-    class_of = np.concatenate((of[:k], of[k + in_shape], of[k:])).astype(np.int64)
-    base = np.concatenate((np.log10(numbers + 1), np.zeros(SHAPES), [np.log10(ends + 1), 0.0]))
-    return ClassModel(words, class_of, transitions, emissions, base, n_tokens, n_words, size.smoothing)
-
-
-LOCAL = (
-    "row long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>"
-)
-
-
-def _scored(shared, has_end: bool):
-    schema = pa.schema(
-        [
-            ("row", pa.int64()),
-            ("n_tokens", pa.int64()),
-            ("n_known", pa.int64()),
-            ("base", pa.float64()),
-            ("score", pa.float64()),
-            ("rare", pa.list_(pa.binary())),
-            ("times", pa.list_(pa.int32())),
-        ]
-    )
+    base = np.concatenate((np.log10(times + 1), np.zeros(SHAPES), [np.log10(ends + 1), 0.0]))
+    return ClassModel(words, class_of, smoothed(seen), emissions, base, n_tokens, n_words, size.smoothing)
 
+
+LOCAL = "n_tokens long, n_known long, base double, score double, "
+
+
+def _scored(shared, has_end: bool, kept: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: ClassModel = shared.value
-        listed = len(model.words)
+        last, listed = len(model.class_of) - 1, len(model.words)
         for batch in batches:
-            codes, out = Codes(model.words), []
-            for row, text in zip(*(batch.column(c).to_pylist() for c in ("row", "text")), strict=True):
-                words = tokens(text)
-                ids = np.array([codes[w] for w in words] + [listed + SHAPES], dtype=np.int64)
-                classes = np.concatenate(([model.class_of[-1]], model.class_of[ids]))
-                rare = Counter(words[i] for i in np.flatnonzero((ids >= listed)[:-1]).tolist())
-                out.append(
-                    (
-                        row,
-                        len(ids),
-                        int((ids < listed).sum()) + has_end,
-                        float(model.base[ids].sum()),
-                        float(
-                            model.transitions[classes[:-1], classes[1:]].sum() + model.emissions[ids].sum()
-                        ),
-                        list(rare),
-                        list(rare.values()),
-                    )
-                )
+            lists = batch.column("codes")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            codes = in_a_row(lists, last, last - 1)
+            text = np.repeat(np.arange(len(size)), size + 2)
+            classes = model.class_of[codes]
+            inside = codes != last
+            place, of = np.flatnonzero(inside), text[inside]
+            ids = codes[place]
+            steps = model.transitions[classes[place - 1], classes[place]] + model.emissions[ids]
+
+            def summed(values: np.ndarray) -> np.ndarray:
+                return np.bincount(of, values, len(size))
+
+            # Neither start nor end is a word.
+            known = summed((ids < listed).astype(float)).astype(np.int64) + has_end
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)]
-                if out
-                else [pa.array([], type=f.type) for f in schema],
-                schema=schema,
+                [
+                    *(batch.column(c) for c in kept),
+                    pa.array(size.astype(np.int64) + 1),
+                    pa.array(known),
+                    pa.array(summed(model.base[ids])),
+                    pa.array(summed(steps)),
+                    batch.column("rare"),
+                    batch.column("times"),
+                ],
+                names=[*kept, "n_tokens", "n_known", "base", "score", "rare", "times"],
             )
 
     return rows
@@ -346,15 +468,16 @@ def score_texts(
         F.col(text_col).cast("binary").alias("text"),
         F.monotonically_increasing_id().alias("row"),
     )
-    taught = texts.where(learns).select("text")
-    counts = stage(word_counts(taught))
-    model = fit_model(taught, counts, size)
+    counts = stage(word_counts(texts.where(learns).select("text")))
+    vocabulary = frequent(counts, size)
+    lines = stage(coded(texts, vocabulary[0]))
+    model = fit_coded(lines.where(learns), counts, vocabulary, size)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    ids = texts.select("row", "id", "text")
-    # The id travels with the row number; both are staged with the local sums.
-    local = stage(
-        ids.mapInArrow(_with_id(_scored(shared, model.n_tokens > 0)), "id " + id_type(docs, id_col) + ", " + LOCAL)
-    )
+    kept = ["row", "id"]
+    fields = "row long, id " + lines.schema["id"].dataType.simpleString() + ", " + LOCAL
+    local = lines.mapInArrow(_scored(shared, model.n_tokens > 0, kept), fields + "rare array<binary>, times array<int>")
+    # Staged: the sums are joined with what is known of their rare words.
+    local = stage(local)
     asked = local.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
         "row", F.col("r.rare").alias("word"), F.col("r.times").alias("times")
     )
@@ -384,20 +507,3 @@ def score_texts(
         score.alias("score"),
         F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )
-
-
-def id_type(docs: DataFrame, id_col: str) -> str:
-    return docs.select(id_col).schema[0].dataType.simpleString()
-
-
-def _with_id(rows):
-    """Run ``rows`` over batches and put their ids in front of what it yields."""
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for out in rows(iter([batch])):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), *out.columns], names=["id", *out.schema.names]
-                )
-
-    return both

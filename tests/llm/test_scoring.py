@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterstone.llm.brown_lm import END, SHAPES, Size, exchange, fit_model, score_texts, shape, word_counts
+from meterstone.llm.brown_lm import END, SHAPES, Size, best_class, exchange, fit_model, score_texts, shape, smoothed, word_counts
 from meterstone.llm.common import bucket_of, stage
 
-SMALL = Size(clustered=20, classes=4, shared=25)
+SMALL = Size(clustered=20, classes=4, shared=150, evidence=5)
 
 
 def held(doc_id):
@@ -88,3 +88,59 @@ def test_no_training_rows(docs, nothing):
 def test_shapes_are_within_bounds():
     for word in ("a", "a.", "é", "é,", "1", "…", "ab!", "x#"):
         assert 0 <= shape(word.encode()) < SHAPES
+
+
+def test_words_by_their_neighbours_take_the_likeliest_class():
+    """Against the likelihood of each choice, neighbour by neighbour."""
+    rng = np.random.default_rng(3)
+    classes, total = 4, 9
+    transitions = smoothed(rng.integers(0, 40, size=(total, total)).astype(float))
+    sizes = rng.integers(5, 200, size=total).astype(float)
+    counts = rng.integers(0, 6, size=(30, 2 * total)).astype(float)
+    times, of_shape = counts.sum(axis=1) / 2, rng.integers(classes, total, size=30)
+    got = best_class(counts, times, of_shape, transitions, sizes, classes)
+    for w in range(30):
+        def likelihood(c, w=w):
+            near = sum(counts[w, d] * transitions[c, d] + counts[w, total + d] * transitions[d, c] for d in range(total))
+            held = sizes[c] if c == of_shape[w] else sizes[c] + times[w]
+            return near - times[w] * math.log10(held)
+
+        want = {c: likelihood(c) for c in [*range(classes), of_shape[w]]}
+        assert abs(want[got[w]] - max(want.values())) < 1e-9
+
+
+def test_scores_against_brute_force(docs):
+    """Every text's score, transition by transition, from the model's tables; and the transitions from the corpus."""
+    training = bucket_of(F.col("id"), 7) != 2
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    taught = texts.where(F.coalesce(training, F.lit(True))).select("text")
+    counts = stage(word_counts(taught))
+    model = fit_model(taught, counts, SMALL)
+    listed, count = {w: i for i, w in enumerate(model.words)}, {bytes(r.word): r["count"] for r in counts.collect()}
+    assert any(model.class_of[i] < 4 for i in range(20, len(model.words)))
+
+    def place(word):
+        return listed.get(word, len(model.words) + shape(word)) if word else len(model.words) + SHAPES
+
+    def line(text):
+        return [*(text or b"").lower().split(), END]
+
+    seen = np.zeros_like(model.transitions)
+    for r in taught.collect():
+        before = model.class_of[-1]
+        for word in line(r.text):
+            seen[before, model.class_of[place(word)]] += 1
+            before = model.class_of[place(word)]
+    assert np.allclose(smoothed(seen), model.transitions)
+    want = []
+    for r in texts.collect():
+        before, score = model.class_of[-1], 0.0
+        for word in line(r.text):
+            at = place(word)
+            score += model.transitions[before, model.class_of[at]] + model.emissions[at]
+            if word and word not in listed:
+                score += math.log10(count.get(word, 0) + model.smoothing)
+            before = model.class_of[at]
+        want.append((str(r.id), round(score, 5)))
+    got = score_texts(docs, training, size=SMALL).collect()
+    assert sorted((str(r.doc_id), round(r.score, 5)) for r in got) == sorted(want)
