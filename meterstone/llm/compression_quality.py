@@ -2,7 +2,7 @@
 
 One dictionary is built from good labelled texts, one from bad ones. A text is
 compressed in blocks with each; the normalised difference of the two sizes, next
-to how well it compresses at all, is turned into a probability by a logistic fit
+to how well it compresses without a dictionary, is turned into a probability by a logistic fit
 on labelled texts that built no dictionary.
 """
 
@@ -53,18 +53,24 @@ def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
 
 
 class Measure:
-    """The two inputs of the score: size difference, and size against length."""
+    """The two inputs of the score: size difference, and size against length.
+
+    The latter comes without a dictionary: what a dictionary holds is not repetition, and texts that it
+    was built from must look like any other.
+    """
 
     def __init__(self, good: bytes, bad: bytes, fit: Fit) -> None:
         self.good, self.bad = compressor(good, fit.level), compressor(bad, fit.level)
+        self.plain = zstandard.ZstdCompressor(level=fit.level, write_content_size=False, write_checksum=False)
         self.block = fit.block_bytes
 
     def __call__(self, text: bytes) -> tuple[float, float]:
-        good = bad = 0
+        good = bad = plain = 0
         for block in blocks(text, self.block):
             good += len(self.good.compress(block))
             bad += len(self.bad.compress(block))
-        return (bad - good) / (bad + good), float(np.log(min(good, bad) / len(text)))
+            plain += len(self.plain.compress(block))
+        return (bad - good) / (bad + good), float(np.log(plain / len(text)))
 
 
 def inputs(measured: np.ndarray) -> np.ndarray:

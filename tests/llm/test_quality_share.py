@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from meterstone.llm.compression_quality import Fit, fit_quality
+from meterstone.llm.compression_quality import Fit, fit_quality, learn
 
 
 def test_bounded_sample_keeps_the_share(spark):
@@ -24,3 +24,16 @@ def test_bounded_sample_keeps_the_share(spark):
     # Labels without a text teach nothing.
     more = labels.union(spark.createDataFrame([(10_000 + i, 0) for i in range(500)], "doc_id long, quality int"))
     assert fit_quality(docs, more, F.col("id") >= 0, fit=Fit(rows_per_label=700)).prior == whole.prior
+
+
+def test_texts_of_the_dictionaries_are_scored_like_others():
+    """Few labels, all of whose texts the dictionaries hold whole: both halves of the good ones are kept alike."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    good = [" ".join(rng.choice(words) for _ in range(rng.randrange(40, 120))).encode() for _ in range(120)]
+    bad = [" ".join([rng.choice(words)] * 3 + [rng.choice("#$%&*")] * rng.randrange(1, 5)).encode() * 8 for _ in range(30)]
+    model = learn([(t, 1) for t in good] + [(t, 0) for t in bad])
+    score = model.scorer()
+    built, others = ([score(t) >= 0.5 for t in half] for half in (good[::2], good[1::2]))
+    assert sum(built) == len(built) and sum(others) >= len(others) - 1
+    assert sum(score(t) < 0.5 for t in bad) >= 28
