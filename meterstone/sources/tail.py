@@ -24,13 +24,15 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 #: Bytes that one task reads at most, and bytes looked at in one step.
 PIECE_BYTES, STEP_BYTES = 64 << 20, 4 << 20
+#: Tasks that a batch is spread over, unless they would read less than this each.
+SPREAD, SMALL_BYTES = 64, 1 << 20
 
 TAIL_LINES = "file_path string, head long, pos long, value string"
 
 
 @dataclass
-class Piece(InputPartition):
-    """Lines that begin in ``[start, stop)`` of a file of which ``[since, end)`` is new."""
+class Piece:
+    """Lines that begin in ``[start, stop)`` of a file of which all from ``since`` is new."""
 
     path: str
     head: int
@@ -39,6 +41,26 @@ class Piece(InputPartition):
     stop: int
 
 
+@dataclass
+class Pieces(InputPartition):
+    """What one task reads: a part of a large file, or many small ones."""
+
+    pieces: list[Piece]
+
+
+def packed(pieces: list[Piece], most: int) -> list[Pieces]:
+    """Neighbouring pieces together, up to about ``most`` bytes."""
+    out, held = [], most
+    for piece in pieces:
+        size = piece.stop - piece.start
+        if held + size > most:
+            out.append(Pieces([]))
+            held = 0
+        out[-1].pieces.append(piece)
+        held += size
+    return out
+
+
 class Files:
     """The files below a root, on any file system that pyarrow knows."""
 
@@ -98,7 +120,7 @@ class TailReader(DataSourceStreamReader):
         self.known = seen
         return {path: {"end": end, "head": head} for path, (_, _, end, head) in seen.items() if end}
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
+    def partitions(self, start: dict, end: dict) -> list[Pieces]:
         pieces = []
         for path, now in end.items():
             was = start.get(path, {"end": 0, "head": now["head"]})
@@ -106,10 +128,16 @@ class TailReader(DataSourceStreamReader):
             since = was["end"] if was["head"] == now["head"] and was["end"] <= now["end"] else 0
             for at in range(since, now["end"], self.piece):
                 pieces.append(Piece(path, now["head"], since, at, min(at + self.piece, now["end"])))
-        return pieces
+        # Small backlogs are still spread over some tasks.
+        total = sum(p.stop - p.start for p in pieces)
+        return packed(pieces, min(self.piece, max(total // SPREAD + 1, SMALL_BYTES)))
+
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        system = Files(self.path, self.glob).system
+        for piece in partition.pieces:
+            yield from self.lines(system, piece)
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        p, system = partition, Files(self.path, self.glob).system
+    def lines(self, system: afs.FileSystem, p: Piece) -> Iterator[pa.RecordBatch]:
         try:
             file = system.open_input_file(p.path)
         except FileNotFoundError:

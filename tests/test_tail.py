@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from logs import reply, usage, user
-from meterstone.sources.tail import LogTail, Piece, TailReader, tail_lines
+from meterstone.sources.tail import LogTail, Piece, Pieces, TailReader, packed, tail_lines
 from meterstone.streaming.changes import drain_snapshots, line_snapshots, summed_changes
 from meterstone.streaming.hourly import run_available
 
@@ -111,7 +111,7 @@ def test_only_changed_files_are_opened(tmp_path, monkeypatch):
 
 def test_a_file_that_goes_before_it_is_read(tmp_path):
     reader = TailReader({"path": str(tmp_path)})
-    assert list(reader.read(Piece(str(tmp_path / "gone.jsonl"), 0, 0, 0, 9))) == []
+    assert list(reader.read(Pieces([Piece(str(tmp_path / "gone.jsonl"), 0, 0, 0, 9)]))) == []
     assert LogTail.name() == "log_tail"
 
 
@@ -133,3 +133,9 @@ def test_lines_to_buckets(spark, tmp_path):
     assert both[(10, "claude-opus-4-7")][:2] == (2, 0) and both[(10, "nobody")] == (7, 0, None)
     total = spark.read.parquet(f"{out}/changes").agg(F.sum("sign")).first()[0]
     assert total == 4
+
+
+def test_small_files_share_a_task():
+    pieces = [Piece(str(k), 0, 0, 0, size) for k, size in enumerate([5, 5, 20, 1, 1, 9])]
+    assert [[int(p.path) for p in task.pieces] for task in packed(pieces, 10)] == [[0, 1], [2], [3, 4], [5]]
+    assert packed([], 10) == []
