@@ -1,0 +1,96 @@
+"""Distinct sessions from bitmaps (U2) and the price file."""
+
+from __future__ import annotations
+
+from datetime import date, timedelta
+
+from pyspark.sql import functions as F
+
+from meterstone.functions.measures import dollars
+from meterstone.operators.sessionbits import distinct_sessions, number_sessions, session_bits
+from meterstone.session import cut_lineage, new_folder
+from meterstone.sources.pricefile import read_price_book
+from suite.queries import query
+from suite.sqlbase import BASE, usd
+from suite.views import AS_OF, requests, table
+
+CUT = date(2024, 1, 16)
+#: Days, weeks and longer spans, one of them without data.
+RANGES = [
+    (f"{start}..{start + timedelta(days=length)}", start, start + timedelta(days=length))
+    for start in (AS_OF, AS_OF - timedelta(days=1), date(2024, 1, 1), date(2024, 1, 10), date(2024, 1, 14), date(2023, 1, 1))
+    for length in (0, 6, 29)
+]
+
+
+@query(
+    "u02_bitmap_ranges",
+    f"""WITH {BASE}, r(label, a, b) AS (VALUES {", ".join(f"('{label}', DATE '{a}', DATE '{b}')" for label, a, b in RANGES)})
+    SELECT label, agent_type, CAST(count(DISTINCT (agent_type, session_id)) AS BIGINT) AS session_count
+    FROM ev JOIN r ON usage_date BETWEEN a AND b GROUP BY GROUPING SETS ((label, agent_type), (label))""",
+)
+def bitmap_query(spark, sf):
+    """Bitmaps of two instalments of days, of which every range is counted."""
+    facts = requests(spark, sf).select("agent_type", "session_id", "usage_date")
+    old, new = facts.where(F.col("usage_date") < F.lit(CUT)), facts.where(F.col("usage_date") >= F.lit(CUT))
+    known = number_sessions(old)
+    numbers = known.union(number_sessions(new, known))
+    bits = cut_lineage(session_bits(old, known).union(session_bits(new, numbers)))
+    return distinct_sessions(bits, RANGES)
+
+
+@query(
+    "s04_price_file",
+    f"""WITH b AS (
+      SELECT lower(replace(p_brand, '#', '-')) AS model, min(p_size) AS i, max(p_size) AS o, count(*) % 2 AS odd FROM part GROUP BY 1),
+    q AS (
+      SELECT p_partkey, lower(replace(p_brand, '#', '-')) AS model, p_size * 100 AS i, p_size AS o, (p_partkey % 7) * 100 AS r,
+        p_partkey % 5 AS w FROM part),
+    c AS (
+      SELECT p_partkey, q.i * b.i + q.o * b.o + q.r * 0.5 + q.w AS base,
+        CASE WHEN odd = 0 AND q.i + q.r + q.w > 4000 THEN 4 WHEN q.i + q.r + q.w > 1000 THEN 2 ELSE 1 END AS times
+      FROM q JOIN b USING (model))
+    SELECT CAST(p_partkey AS BIGINT) AS part_id, {usd("CAST(base * times AS DECIMAL(38,6))")} AS cost_usd FROM c""",
+)
+def price_file_query(spark, sf):
+    """A price file written from the table, with tiers in either form and out of order, prices
+    requests of its models."""
+    part = table(spark, sf, "part")
+    model = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))
+    brands = part.groupBy(model.alias("model")).agg(
+        F.min("p_size").alias("i"), F.max("p_size").alias("o"), (F.count("*") % 2).alias("odd")
+    )
+
+    def prices(times: int):
+        return F.array(F.col("i") * times, F.col("o") * times, F.lit(0.5 * times), F.lit(times)).cast("array<double>")
+
+    def tier(threshold: int, times: int):
+        return F.struct(F.lit(threshold).alias("threshold"), prices(times).alias("prices"))
+
+    flat = F.to_json(tier(1000, 2))
+    listed = F.to_json(F.struct(F.array(tier(4000, 4), tier(1000, 2)).alias("tiers")))
+    entry = F.struct(
+        F.concat(F.to_json(F.struct(prices(1).alias("p")))).alias("model_json"),
+        F.when(F.col("odd") == 1, flat).otherwise(listed).alias("tier_json"),
+    )
+    rules = brands.select("model", entry.alias("e")).select("model", "e.*")
+
+    def member(value):
+        return F.concat_ws(",", F.collect_list(F.concat(F.lit('"'), F.col("model"), F.lit('":'), value)))
+
+    # One small configuration file: a line for each brand.
+    text = rules.agg(
+        F.concat(
+            F.lit('{"models":{'), member(F.regexp_extract("model_json", r'\{"p":(.*)\}', 1)),
+            F.lit('},"long_context":{'), member(F.col("tier_json")), F.lit("}}"),
+        ).alias("value")
+    )
+    path = new_folder(spark, "prices")
+    text.coalesce(1).write.text(path)
+    book = read_price_book(spark, path)
+    size, key = F.col("p_size").cast("bigint"), F.col("p_partkey").cast("bigint")
+    asked = part.select(
+        key.alias("part_id"), model.alias("model"), (size * 100).alias("i"), size.alias("o"), (key % 7 * 100).alias("r"), (key % 5).alias("w")
+    )
+    priced = book.with_cost(asked, "cost_micro", F.col("model"), *map(F.col, "iorw"))
+    return priced.select("part_id", dollars(F.col("cost_micro")).alias("cost_usd"))

@@ -31,6 +31,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> dict[str, tuple[Query, str | None]]:
     from suite import (  # noqa: F401
+        q_bits,
         q_live,
         q_logs,
         q_maintenance,
