@@ -3,8 +3,9 @@
 A book is configuration: tens of rules, never data. It becomes constant maps
 inside the generated code of the scan stage, so pricing a request needs no join,
 no broadcast and no shuffle, whatever the number of distinct models in the facts.
-A user's list of more than ``INLINE_LIMIT`` model prices is joined by name
-instead, because constant maps are searched entry by entry.
+Of a user's list of more than ``INLINE_LIMIT`` model prices, tiers or 1h rates the rules are
+rows instead, joined by name or by the first parts of the name, because constant maps
+are searched entry by entry. The generated code is the same for any number of them.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from meterstone.schemas import MONEY, PRICE, PRICES_TYPE, TOKENS
 
 INLINE_LIMIT = 300
 BROADCAST_LIMIT = 50_000
+#: Tiers of one prefix that are tried one after the other in generated code; longer lists are filtered.
+UNROLLED_TIERS = 8
 RULES_VERSION = 1
 MICRO = Decimal("0.000001")
 
@@ -165,6 +168,8 @@ def no_price() -> Column:
 
 def exceeded(tiers: Column, most: int, total_input: Column) -> Column:
     """Prices of the highest threshold that ``total_input`` strictly exceeds."""
+    if most > UNROLLED_TIERS:
+        return F.get(F.filter(tiers, lambda tier: total_input > tier["threshold"]), F.lit(0))["prices"]
     steps = []
     for i in range(most):
         tier = F.get(tiers, F.lit(i))
@@ -324,6 +329,26 @@ class PriceBook:
         frame = df.sparkSession.createDataFrame(rows, ddl)
         return F.broadcast(frame) if len(rows) <= BROADCAST_LIMIT else frame
 
+    def _long_rules(
+        self, df: DataFrame, name: Name, table: dict[str, object], ddl: str, target: str
+    ) -> tuple[DataFrame, list[Column]]:
+        """``df`` with the values of the matching prefixes of a long table, and these, longest first.
+
+        A prefix of n parts can only match the first n parts of a name: one equi-join for
+        every number of parts. Tables are broadcast up to a checked number of rows; beyond, joins are
+        Spark's own, which split hot models.
+        """
+        found = []
+        for count, group in by_part_count(table).items():
+            key, value = f"__{target}_key{count}", f"__{target}_value{count}"
+            text = df.sparkSession.createDataFrame([(p, json.dumps(table[p])) for p in group], f"{key} string, text string")
+            rules = text.select(key, F.from_json("text", f"struct<v:{ddl}>")["v"].alias(value))
+            if len(group) <= BROADCAST_LIMIT:
+                rules = F.broadcast(rules)
+            df = df.join(rules, name.first(count) == F.col(key), "left").drop(key)
+            found.append(F.col(value))
+        return df, found
+
     def with_cost(
         self,
         df: DataFrame,
@@ -366,12 +391,22 @@ class PriceBook:
             (output_tokens, rate["output"]),
             (cache_read_tokens, rate["cache_read"]),
         ]
+        out = df.withColumn(step["name"], canonical(model)).withColumns(
+            {c: F.substring_index(name.whole, "-", n) for n, c in counts.items()}
+        )
+        joined: list[Column] = []
         if cache_creation_1h_tokens is None:
             parts.append((cache_creation_tokens, rate["cache_write"]))
         else:
             hour = F.greatest(F.least(long_write, cache_creation_tokens), F.lit(0))
             parts.append((cache_creation_tokens - hour, rate["cache_write"]))
-            parts.append((hour, self._write_1h_price(name, rate["input"])))
+            if len(self.write_1h) > INLINE_LIMIT:
+                rates = {p: {"v": micro_price(v)} for p, v in self.write_1h.items()}
+                out, hourly = self._long_rules(out, name, rates, "bigint", f"{target}_1h")
+                joined += hourly
+                parts.append((hour, F.coalesce(*hourly, rate["input"] * F.lit(2))))
+            else:
+                parts.append((hour, self._write_1h_price(name, rate["input"])))
         # Whole pico-dollars in 64 bits. They are NULL when that overflows, which
         # only sums over very many requests can do: then the decimal form steps in.
         quick = None
@@ -393,11 +428,7 @@ class PriceBook:
         countable = (
             (input_tokens >= 0) & (cache_read_tokens >= 0) & (cache_creation_tokens >= 0)
         )
-        out = (
-            df.withColumn(step["name"], canonical(model))
-            .withColumns({c: F.substring_index(name.whole, "-", n) for n, c in counts.items()})
-            .withColumn(step["unpriced"], unpriced_family(name))
-        )
+        out = out.withColumn(step["unpriced"], unpriced_family(name))
         unpriced = F.col(step["unpriced"])
         own_price = None
         if len(self.models) > INLINE_LIMIT:
@@ -408,8 +439,13 @@ class PriceBook:
         if long_context is not False:
             if isinstance(long_context, Column):
                 countable = countable & long_context
-            mine = {f"__{target}_own{i}": r for i, r in enumerate(self._own_rules(name))}
-            own = [F.col(c) for c in mine]
+            if len(self.tiers) > INLINE_LIMIT:
+                table = {p: {"v": tier_values(rows)} for p, rows in self.tiers.items()}
+                out, own = self._long_rules(out, name, table, TIERS_DDL, f"{target}_tiers")
+                joined, mine = [*joined, *own], {}
+            else:
+                mine = {f"__{target}_own{i}": r for i, r in enumerate(self._own_rules(name))}
+                own = [F.col(c) for c in mine]
             tier = self._tier_price(
                 name, own, F.col(step["rule"]), unpriced, F.col(step["total"])
             )
@@ -424,6 +460,7 @@ class PriceBook:
         return (
             out.withColumn(step["quick"], quick)
             .withColumn(target, amount)
+            .drop(*joined)
             .drop(*step.values(), *counts.values(), *found)
         )
 

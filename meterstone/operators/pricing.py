@@ -158,7 +158,7 @@ def current_rules(changes: DataFrame) -> DataFrame:
     )
 
 
-def book_from_rules(rules: DataFrame, most: int = 10_000) -> PriceBook:
+def book_from_rules(rules: DataFrame, most: int = 500_000) -> PriceBook:
     """Load the rules in force into a book. Rules are configuration; more than ``most`` is an error."""
     rows = rules.limit(most + 1).collect()
     if len(rows) > most:

@@ -1,4 +1,4 @@
-"""Distinct sessions from bitmaps (U2) and the price file."""
+"""Distinct sessions from bitmaps (U2), the price file (S4, P14) and long lists of rules."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from meterstone.functions.measures import dollars
+from meterstone.functions.pricebook import PriceBook
 from meterstone.operators.sessionbits import distinct_sessions, number_sessions, session_bits
+from meterstone.schemas import TOKEN_COLS
 from meterstone.session import cut_lineage, new_folder
 from meterstone.sources.pricefile import read_price_book
-from suite.queries import query
+import suite.q_pricing  # noqa: F401  its oracle serves here too
+from suite.queries import REGISTRY, query
 from suite.sqlbase import BASE, usd
-from suite.views import AS_OF, requests, table
+from suite.views import AS_OF, OWN_BOOK, requests, table
 
 CUT = date(2024, 1, 16)
 #: Days, weeks and longer spans, one of them without data.
@@ -94,3 +97,24 @@ def price_file_query(spark, sf):
     )
     priced = book.with_cost(asked, "cost_micro", F.col("model"), *map(F.col, "iorw"))
     return priced.select("part_id", dollars(F.col("cost_micro")).alias("cost_usd"))
+
+
+def padded(book: PriceBook, rules: int) -> PriceBook:
+    """``book`` among so many rules of every kind for models that nobody uses."""
+    names = [f"pad-{k % 100}-{k}" for k in range(rules)]
+    return PriceBook(
+        {**dict.fromkeys(names, next(iter(book.models.values()))), **book.models},
+        {**dict.fromkeys(names, next(iter(book.tiers.values()))), **book.tiers},
+        {**dict.fromkeys(names, next(iter(book.write_1h.values()))), **book.write_1h},
+        book.disabled,
+    )
+
+
+@query("p05_long_rules", REGISTRY["p08_cache_1h_cost"][1])
+def long_rules_query(spark, sf):
+    """The user's book among 50,000 model prices, tiers and 1h rates each."""
+    half = F.floor(F.col("cache_creation_tokens") / 2)
+    rows = requests(spark, sf).drop("cost_micro")
+    book = padded(OWN_BOOK, 50_000)
+    priced = book.with_cost(rows, "cost_micro", F.col("model"), *[F.col(c) for c in TOKEN_COLS], half)
+    return priced.select("event_id", "model", dollars(F.col("cost_micro")).alias("cost_usd"))

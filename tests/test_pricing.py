@@ -112,6 +112,28 @@ def test_long_price_list_is_joined(spark, monkeypatch):
     assert inline == [1.0, 9.0, pytest.approx(0.00025), 0.0, None]
 
 
+def test_long_lists_of_every_kind_are_joined(spark, monkeypatch):
+    """Tiers and 1h rates as rows give what they give as constants, nested prefixes and fall-backs too."""
+    steps = [(1000 * k, (k, k, k, k)) for k in range(1, 13)]
+    book = PriceBook.of(
+        models={"house": (1, 2, 3, 4)},
+        tiers={"claude": [(100, (7, 7, 7, 7))], "claude-opus-4": [(10**6, (8, 8, 8, 8))], "house": steps, "gpt-5.4": [(50, (1, 1, 1, 1))]},
+        write_1h={"claude": 9, "claude-opus-4-7": 11, "house": 2},
+    )
+    rows = [
+        ("claude-opus-4-7", 200, 1, 0, 10, 5), ("claude-opus-4-7", 10**6, 1, 1, 0, 0), ("claude-x", 99, 0, 0, 1, 1),
+        ("claude-opus-47", 200, 1, 0, 10, 5), ("house", 3500, 1, 0, 9, 9), ("house", 20_000, 1, 0, 0, 0), ("house-a", 500, 0, 0, 0, 0),
+        ("gpt-5.4-pro", 60, 0, 0, 0, 0), ("nobody", 5, 0, 0, 0, 0), ("", 1, 0, 0, 0, 0),
+    ]
+    inline = costs(spark, rows, book)
+    assert inline[0] is not None and inline[4] is not None
+    for limit in ({"INLINE_LIMIT": 0}, {"INLINE_LIMIT": 0, "BROADCAST_LIMIT": 0}, {"UNROLLED_TIERS": 0}):
+        with monkeypatch.context() as changed:
+            for name, value in limit.items():
+                changed.setattr(f"meterstone.functions.pricebook.{name}", value)
+            assert costs(spark, rows, book) == inline
+
+
 def prefix_price(model):
     """Longest-prefix lookup spelled out, to compare the expressions with."""
     if model == "<synthetic>":
