@@ -58,7 +58,10 @@ TOKEN = re.compile(
     re.S,
 )
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: A declaration of a style: what stands in quotes or brackets is part of its value.
+DECLARATION = re.compile(r"(?:^|;)\s*([\w-]+)\s*:((?:[^;\"'()]|\"[^\"]*\"|'[^']*'|\((?:[^()\"']|\"[^\"]*\"|'[^']*')*\))*)")
+#: Fixed values of the HTML standard: kinds of inputs that show no text of theirs.
+TEXTLESS = frozenset("hidden password checkbox radio color range file".split())
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -158,6 +161,18 @@ def parse(html: str) -> Node:
                 at = stop.end() if stop else len(html)
 
 
+def declared(node: Node, name: str) -> str:
+    """The value that the element's own style gives a property, in lower case: the last one, or the last
+    important one."""
+    value, important = "", False
+    for m in DECLARATION.finditer(node.attrs.get("style", "")):
+        if m[1].lower() == name:
+            given, mark, _ = m[2].strip().lower().partition("!")
+            if mark or not important:
+                value, important = given.strip(), bool(mark)
+    return value
+
+
 def shown(node: Node) -> bool:
     if node.name in HIDDEN:
         return False
@@ -168,9 +183,34 @@ def shown(node: Node) -> bool:
         return True
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return False
-    if node.name == "input" and a.get("type", "").lower() == "hidden":
-        return False
-    return not UNSEEN.search(a.get("style", ""))
+    return "style" not in a or declared(node, "display") != "none"
+
+
+def settle(root: Node) -> None:
+    """Take out what elements do not show while they stay: text that visibility hides, which
+    an element inside may turn on again, and all but the summary of closed details."""
+    todo = [(root, True)]
+    while todo:
+        node, visible = todo.pop()
+        if "style" in node.attrs and (given := declared(node, "visibility")):
+            visible = given not in ("hidden", "collapse") if given != "inherit" else visible
+        if not visible:
+            if node.name in ("img", "input", "select", "textarea"):
+                node.attrs = {**node.attrs, "hidden": ""}
+            node.children = [c for c in node.children if isinstance(c, Node)]
+        if node.name == "details" and "open" not in node.attrs:
+            node.children = [c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1]
+        todo += [(c, visible) for c in node.children if isinstance(c, Node)]
+
+
+def label_of(field: Node) -> str:
+    """What an image or an input shows in place of contents."""
+    if field.name == "img":
+        return field.attrs.get("alt", "")
+    kind = field.attrs.get("type", "").strip().lower()
+    if kind in TEXTLESS:
+        return ""
+    return field.attrs.get("alt" if kind == "image" else "value", "")
 
 
 def width_of(text: str) -> int:
@@ -372,7 +412,7 @@ def render(node: Node | str, page: Page) -> None:
             page.put("")
         return
     if name in ("img", "input"):
-        page.inline(node.attrs.get("alt" if name == "img" else "value", ""))
+        page.inline(label_of(node))
         return
     if name == "select":
         page.inline(chosen(node))
@@ -412,15 +452,18 @@ def render(node: Node | str, page: Page) -> None:
 
 def chosen(select: Node) -> str:
     """What a closed list shows: its options marked as selected, of which the last counts
-    unless several may be."""
-    options, todo = [], [select]
+    unless several may be; without any the first option."""
+    options, every, todo = [], [], [select]
     while todo:
         at = todo.pop()
         if at.name == "option":
+            every.append(at)
             if "selected" in at.attrs:
                 options.append(at)
             continue
         todo += [c for c in reversed(at.children) if isinstance(c, Node) and shown(c)]
+    if not options and "multiple" not in select.attrs:
+        options = every[:1]
     texts = []
     for option in options if "multiple" in select.attrs else options[-1:]:
         out: list[str] = []
@@ -491,6 +534,7 @@ def extract(html: str | None) -> tuple[str | None, str]:
     if not html:
         return None, ""
     root = parse(html.replace("\r\n", "\n").replace("\r", "\n"))
+    settle(root)
     flatten(root)
     page = Page()
     for child in root.children:

@@ -21,7 +21,22 @@ CASES = {
     "one  \n two": "one two",
     "<td>loose</td>text": "loosetext",
     "</p>x</div></div>": "x",
-    "<select><option>no</select>after": "after",
+    "<select><option>first<option>no</select> after": "first after",
+    "<select multiple><option>no</select>after": "after",
+    "<select><option hidden>no<option>shown</select> after": "shown after",
+    "<input type=password value=secret><input type=CHECKBOX value=on><input type=radio value=1>x": "x",
+    "<input type=color value=#fff><input type=range value=5><input type=file value=f><input type=hidden value=h>x": "x",
+    "<input type=image alt=Go value=no> <input type=submit value=Send> <input value=text>": "Go Send text",
+    "<details><summary>More</summary>body<p>text</details>x": "More\nx",
+    "<details open><summary>More</summary>body</details>x": "More\nbody\nx",
+    "<details>no</details>x": "x",
+    "<div style='visibility:hidden'>no<b>no</b><i style='visibility: visible'>yes</i><img alt=no></div>": "yes",
+    "<div style='visibility:collapse'>no<select><option>no</select><p style='visibility:inherit'>no</div>x": "x",
+    "<p style=\"background:url(display:none.png)\">shown": "shown",
+    "<p style=\"content:';display:none'\">shown": "shown",
+    "<p style='display:none;display:block'>shown": "shown",
+    "<p style='display:none!important;display:block'>no<p>x": "x",
+    "<p style='color:red; DISPLAY : None'>no<p>x": "x",
     "<a href='x' title=\"a > b\">link</a>": "link",
 }
 
