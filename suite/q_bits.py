@@ -1,4 +1,5 @@
-"""Distinct sessions from bitmaps (U2), the price file (S4, P14) and long lists of rules."""
+"""Distinct sessions from bitmaps (U2), the price file (S4, P14), long lists of rules
+and the price seed (P17)."""
 
 from __future__ import annotations
 
@@ -7,7 +8,8 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from meterstone.functions.measures import dollars
-from meterstone.functions.pricebook import PriceBook
+from meterstone.functions.fixed_prices import builtin_models
+from meterstone.functions.pricebook import BUILTIN, PriceBook
 from meterstone.operators.sessionbits import distinct_sessions, number_sessions, session_bits
 from meterstone.schemas import TOKEN_COLS
 from meterstone.session import cut_lineage, new_folder
@@ -118,3 +120,59 @@ def long_rules_query(spark, sf):
     book = padded(OWN_BOOK, 50_000)
     priced = book.with_cost(rows, "cost_micro", F.col("model"), *[F.col(c) for c in TOKEN_COLS], half)
     return priced.select("event_id", "model", dollars(F.col("cost_micro")).alias("cost_usd"))
+
+
+# USD per one million tokens (input, output, cache read, cache write), spelled out once more so
+# that the oracle does not depend on the engine's table.
+SEED = """
+  ('claude-opus-4-7', 5.0, 25.0, 0.50, 6.25), ('claude-opus-4-6', 5.0, 25.0, 0.50, 6.25),
+  ('claude-opus-4-5', 5.0, 25.0, 0.50, 6.25), ('claude-opus-4-1', 15.0, 75.0, 1.50, 18.75),
+  ('claude-opus-4', 15.0, 75.0, 1.50, 18.75), ('claude-sonnet-4-6', 3.0, 15.0, 0.30, 3.75),
+  ('claude-sonnet-4-5', 3.0, 15.0, 0.30, 3.75), ('claude-sonnet-4', 3.0, 15.0, 0.30, 3.75),
+  ('claude-sonnet-3-7', 3.0, 15.0, 0.30, 3.75), ('claude-3-7-sonnet', 3.0, 15.0, 0.30, 3.75),
+  ('claude-3-5-sonnet', 3.0, 15.0, 0.30, 3.75), ('claude-haiku-4-5', 1.0, 5.0, 0.10, 1.25),
+  ('claude-haiku-3-5', 0.80, 4.0, 0.08, 1.00), ('claude-3-5-haiku', 0.80, 4.0, 0.08, 1.00),
+  ('claude-3-opus', 15.0, 75.0, 1.50, 18.75), ('claude-3-haiku', 0.25, 1.25, 0.03, 0.30),
+  ('gpt-5.5', 5.0, 30.0, 0.50, 0.0), ('gpt-5.4-mini', 0.75, 4.5, 0.075, 0.0),
+  ('gpt-5.4-nano', 0.20, 1.25, 0.02, 0.0), ('gpt-5.4', 2.5, 15.0, 0.25, 0.0),
+  ('gpt-5.2-codex', 1.75, 14.0, 0.175, 0.0), ('gpt-5.2-chat-latest', 1.75, 14.0, 0.175, 0.0),
+  ('gpt-5.2', 1.75, 14.0, 0.175, 0.0), ('gpt-5.1-codex-max', 1.25, 10.0, 0.125, 0.0),
+  ('gpt-5.1-codex', 1.25, 10.0, 0.125, 0.0), ('gpt-5.1-chat-latest', 1.25, 10.0, 0.125, 0.0),
+  ('gpt-5.1', 1.25, 10.0, 0.125, 0.0), ('gpt-5-codex', 1.25, 10.0, 0.125, 0.0),
+  ('gpt-5-chat-latest', 1.25, 10.0, 0.125, 0.0), ('gpt-5', 1.25, 10.0, 0.125, 0.0),
+  ('gpt-5.3-codex', 1.75, 14.0, 0.175, 0.0), ('gpt-5.3-chat-latest', 1.75, 14.0, 0.175, 0.0),
+  ('gpt-5.3', 1.75, 14.0, 0.175, 0.0), ('gemini-3.1-pro', 2.00, 12.00, 0.20, 0.0),
+  ('gemini-3.1-flash-lite', 0.25, 1.50, 0.025, 0.0), ('gemini-3-pro', 2.00, 12.00, 0.20, 0.0),
+  ('gemini-3-flash', 0.50, 3.00, 0.05, 0.0), ('gemini-2.5-pro', 1.25, 10.00, 0.125, 0.0),
+  ('gemini-2.5-flash', 0.30, 2.50, 0.03, 0.0), ('gemini-2.5-flash-lite', 0.10, 0.40, 0.01, 0.0),
+  ('gemini-2.0-flash', 0.10, 0.40, 0.025, 0.0), ('gemini-2.0-flash-lite', 0.075, 0.30, 0.0, 0.0)
+"""
+
+
+@query(
+    "p17_price_seed",
+    f"""WITH {BASE}, seed(model, i, o, r, w) AS (VALUES {SEED}),
+    used AS (SELECT model, CAST(count(*) AS BIGINT) AS requests, CAST(sum(output_tokens) AS BIGINT) AS out FROM ev GROUP BY model)
+    SELECT seed.model, CAST(i AS DOUBLE) AS input, CAST(o AS DOUBLE) AS output, CAST(r AS DOUBLE) AS cache_read,
+      CAST(w AS DOUBLE) AS cache_write, coalesce(requests, 0) AS requests,
+      {usd("CAST(coalesce(out, 0) * CAST(o AS DECIMAL(12,6)) AS DECIMAL(38,6))")} AS output_usd
+    FROM seed LEFT JOIN used USING (model)""",
+)
+def price_seed_query(spark, sf):
+    """Every built-in price, the requests of just that model, and what their output costs."""
+    rows = requests(spark, sf)
+    seed = spark.createDataFrame(
+        [(m, *p) for m, p in builtin_models().items()],
+        "model string, input decimal(12,6), output decimal(12,6), cache_read decimal(12,6), cache_write decimal(12,6)",
+    )
+    used = rows.groupBy("model").agg(F.count("*").alias("requests"), F.sum("output_tokens").alias("out"))
+    spent = BUILTIN.with_cost(
+        used, "cost_micro", F.col("model"), F.lit(0), F.col("out"), F.lit(0), F.lit(0), long_context=False
+    )
+    joined = seed.join(spent.drop("out"), "model", "left")
+    return joined.select(
+        "model",
+        *[F.col(c).cast("double").alias(c) for c in ("input", "output", "cache_read", "cache_write")],
+        F.coalesce("requests", F.lit(0).cast("long")).alias("requests"),
+        dollars(F.coalesce("cost_micro", F.lit(0))).alias("output_usd"),
+    )
