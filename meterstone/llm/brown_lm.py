@@ -30,6 +30,8 @@ from meterstone.llm.common import stage
 END = b""
 #: Classes by shape: a bucket of the first non-ASCII letter, and the last character.
 SHAPES = 32
+#: Tokens that a task looks at together, and unlisted words whose shapes it remembers, about.
+STEP_TOKENS, REMEMBERED = 1 << 20, 1 << 18
 #: Longer words are not shared with all tasks, whatever their rank.
 LONGEST_SHARED = 64
 
@@ -122,7 +124,7 @@ def _coded(words: list[bytes], kept: list[str]):
                 for column, value in zip(columns, (np.array(ids, dtype=np.int32), list(rare), list(rare.values())), strict=True):
                     column.append(value)
             # What a batch has remembered beyond the list goes with it.
-            if len(codes) > 2 * codes.first + (1 << 20):
+            if len(codes) > codes.first + REMEMBERED:
                 codes = Codes(words)
             types = (pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
@@ -140,6 +142,18 @@ def coded(texts: DataFrame, words: list[bytes]) -> DataFrame:
     return texts.select(*kept, "text").mapInArrow(_coded(words, kept), fields + CODED)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that about ``STEP_TOKENS`` are looked at together; a longer text is taken alone."""
+    for batch in batches:
+        stops = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("codes")), 0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            before = int(stops[at - 1]) if at else 0
+            stop = max(int(np.searchsorted(stops, before + STEP_TOKENS, side="right")), at + 1)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def in_a_row(lists: pa.Array, start: int, end: int) -> np.ndarray:
     """The codes of all texts, each between ``start`` and ``end``."""
     size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
@@ -157,9 +171,7 @@ def _pairs(number_of: np.ndarray, size: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = len(number_of) - 1
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in parts_of(batches):
             codes = in_a_row(batch.column("codes"), last, last - 1)
             ids = number_of[codes]
             pair = (ids[:-1] * size + ids[1:])[codes[1:] != last]
@@ -187,9 +199,7 @@ def _neighbours(class_of: np.ndarray, asked: np.ndarray, total: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = len(class_of) - 1
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in parts_of(batches):
             codes = in_a_row(batch.column("codes"), last, last - 1)
             at = np.flatnonzero(asked[codes])
             word, near = codes[at], class_of[codes]
@@ -407,14 +417,14 @@ def fit_coded(
     return ClassModel(words, class_of, smoothed(seen), emissions, base, n_tokens, n_words, size.smoothing)
 
 
-LOCAL = "n_tokens long, n_known long, base double, score double, "
+LOCAL = "n_tokens long, n_known long, base double, score double"
 
 
 def _scored(shared, has_end: bool, kept: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: ClassModel = shared.value
         last, listed = len(model.class_of) - 1, len(model.words)
-        for batch in batches:
+        for batch in parts_of(batches):
             lists = batch.column("codes")
             size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
             codes = in_a_row(lists, last, last - 1)
@@ -437,10 +447,8 @@ def _scored(shared, has_end: bool, kept: list[str]):
                     pa.array(known),
                     pa.array(summed(model.base[ids])),
                     pa.array(summed(steps)),
-                    batch.column("rare"),
-                    batch.column("times"),
                 ],
-                names=[*kept, "n_tokens", "n_known", "base", "score", "rare", "times"],
+                names=[*kept, "n_tokens", "n_known", "base", "score"],
             )
 
     return rows
@@ -475,10 +483,8 @@ def score_texts(
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = ["row", "id"]
     fields = "row long, id " + lines.schema["id"].dataType.simpleString() + ", " + LOCAL
-    local = lines.mapInArrow(_scored(shared, model.n_tokens > 0, kept), fields + "rare array<binary>, times array<int>")
-    # Staged: the sums are joined with what is known of their rare words.
-    local = stage(local)
-    asked = local.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
+    local = lines.select(*kept, "codes").mapInArrow(_scored(shared, model.n_tokens > 0, kept), fields)
+    asked = lines.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
         "row", F.col("r.rare").alias("word"), F.col("r.times").alias("times")
     )
     n = F.coalesce("count", F.lit(0))
@@ -497,7 +503,7 @@ def score_texts(
 
     below = float(np.log10(model.n_tokens + model.n_words + 1))
     score = plus("score", "more_score")
-    return local.drop("rare", "times").join(looked_up, "row", "left").select(
+    return local.join(looked_up, "row", "left").select(
         F.col("id").alias("doc_id"),
         (~learns).alias("held_out"),
         "n_tokens",
