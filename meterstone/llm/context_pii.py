@@ -5,6 +5,8 @@ bootstrap: the words around them make lexical patterns, other tokens in the same
 contexts are candidates, and the graph of patterns and values is scored in rounds.
 A pattern is as sure as the share of known values in it; a candidate is as sure as
 its patterns taken together; sure candidates count as known in the next round.
+Secrets (tokens, keys, passwords) have no base pattern: what looks like one and is called
+one, as in ``token = "..."``, is a seed, and contexts reveal others by the same rounds.
 Everything is DataFrame work: the text is marked by ``regexp_replace``, split at the
 marks, and positions are running sums of the lengths of the pieces.
 """
@@ -18,7 +20,17 @@ from pyspark.sql import functions as F
 
 from meterstone.llm.common import boxed, stage, unboxed
 
-KINDS = ("email", "ip", "card", "phone")
+#: What the base patterns find, and what the method may find.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
+
+# What a secret is called right before it.
+NAMES = (
+    "token", "secret", "password", "passwd", "pwd", "passphrase", "credential", "credentials", "auth",
+    "api key", "access key", "secret key", "private key",
+)
+_NAME = "|".join(NAMES).replace(" ", "[ _-]?")
+CALLED = rf"""(?:^|[^a-z])(?:(?:{_NAME})["']?\s?(?:=|:|:=|=>|is)|bearer)$"""
 
 #: The marks between pieces; where a text holds the first it is read as the second,
 #: which no pattern tells apart.
@@ -39,6 +51,9 @@ PATTERNS = {
 #: Characters of context kept on either side of a find.
 CONTEXT = 48
 
+#: A candidate longer than this goes by its digest among the values; it is no number.
+LONG = 64
+
 
 @dataclass(frozen=True)
 class Bootstrap:
@@ -84,13 +99,20 @@ def looks_like(kind: Column, value: Column) -> Column:
     """Whether a candidate could be one of ``kind`` at all."""
     size = F.length(digits(value))
     return (
-        F.when(kind == "email", value.contains("@"))
+        F.when(kind == "email", value.rlike("^[^@]*[a-z0-9][^@]*@[^@]*[a-z0-9]"))
         .when(kind == "ip", (size >= 4) & value.rlike("[.:]"))
-        .when(kind == "card", size >= 12)
-        .otherwise(size >= 7)
+        .when(kind == "secret", F.length(value) >= 8)
+        .when(kind == "card", (size >= 12) & (F.length(value) <= LONG))
+        .otherwise((size >= 7) & (F.length(value) <= LONG))
     )
 
 
+def secret_seed(value: Column, before: Column) -> Column:
+    """Whether a candidate looks like a secret and is called one by the words before it."""
+    shape = value.rlike(r"^(?=.*[a-z])[a-z0-9_+/=.~-]{16,}$")
+    return F.coalesce(shape & F.array_join(before, " ").rlike(CALLED), F.lit(False))
+
+
 def pieces(text: Column) -> Column:
     """By kind: the pieces of the text between marks, odd ones being finds.
 
@@ -117,7 +139,7 @@ def pieces(text: Column) -> Column:
 
 
 def finds(found: DataFrame) -> DataFrame:
-    """``row, kind, start, stop, value, before, after`` of what passes the checks.
+    """``row, kind, start, stop, value, before, after, seed`` of what passes the checks.
 
     Every find begins and ends in a token, a word with a digit or an @. The words around
     it come from there, whatever its kind: what the token holds beside the find, and what
@@ -156,9 +178,10 @@ def finds(found: DataFrame) -> DataFrame:
     rank_ = F.when(token, 0).otherwise(1)
     last = F.when(token, F.col("begin")).otherwise(F.col("stop") - 1)
     until = (Window.unboundedPreceding, Window.currentRow)
-    # A candidate loses the punctuation around it.
-    lead = F.length(F.regexp_extract("value", r"^[\"'(\[{<]*", 0))
-    core = F.regexp_extract("value", r"^[\"'(\[{<]*+(.*?)[\"')\]}>.,;:!?]*$", 1)
+    # A candidate loses the punctuation around it, and the name that it is set to.
+    opening = r"^(?:[\"'(\[{<]*[A-Za-z_][A-Za-z_.-]*+=(?=[^=]))?+[\"'(\[{<]*+"
+    lead = F.length(F.regexp_extract("value", opening, 0))
+    core = F.regexp_extract("value", "(?s)" + opening + r"(.*?)[\"')\]}>.,;:!?]*$", 1)
     cut = (
         placed.withColumn("first", F.last(word, ignorenulls=True).over(by.orderBy("begin", rank_).rowsBetween(*until)))
         .withColumn("final", F.last(word, ignorenulls=True).over(by.orderBy(last, rank_).rowsBetween(*until)))
@@ -174,16 +197,21 @@ def finds(found: DataFrame) -> DataFrame:
     )
 
     def words(text: Column) -> Column:
-        return F.filter(F.split(F.lower(text), rf"[{_TOKEN}]+"), lambda w: w != "")
+        """Words of a context: numbers and addresses as such, quotes on their own left out."""
+        spaced = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), "(?<![=!<>:])=(?![=>])", " = ")
+        parts = F.filter(F.split(spaced, rf"[{_TOKEN}]+"), lambda w: ~w.rlike("^[\"'`]*$"))
+        return F.transform(parts, lambda w: F.when(w.contains("@"), "@").otherwise(w))
 
     inside = F.left(F.col("first.value"), (F.col("start") - F.col("first.begin")).cast("int"))
     rest = F.right(F.col("final.value"), (F.col("final.stop") - F.col("stop")).cast("int"))
     before = words(F.right(F.concat("first.left", inside), F.lit(CONTEXT)))
     after = words(F.left(F.concat(rest, "final.right"), F.lit(CONTEXT)))
+    two = F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), F.lit(2))
+    named = F.concat(F.lit("sha256 "), F.sha2("value", 256))
     return cut.where(
         ~token
         | (
-            F.length("value").between(6, 64)
+            (F.length("value") >= 6)
             & ((F.length(digits(F.col("value"))) >= 4) | F.col("value").contains("@"))
         )
     ).select(
@@ -191,9 +219,10 @@ def finds(found: DataFrame) -> DataFrame:
         "kind",
         "start",
         "stop",
-        "value",
-        F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), F.lit(2)).alias("before"),
+        F.when(token & (F.length("value") > LONG), named).otherwise(F.col("value")).alias("value"),
+        two.alias("before"),
         F.try_element_at(after, F.lit(1)).alias("after"),
+        (token & secret_seed(F.col("value"), two)).alias("seed"),
     )
 
 
@@ -218,7 +247,7 @@ def without_overlap(spans: DataFrame) -> DataFrame:
 
 
 def edges_of(spans: DataFrame) -> DataFrame:
-    """Pattern and value pairs, each once, with the base kind of the value or NULL.
+    """Pattern and value pairs, each once, with the kind that the value is seed of or NULL.
 
     A pattern is the two words before a find, or the word before and the word after.
     """
@@ -232,12 +261,12 @@ def edges_of(spans: DataFrame) -> DataFrame:
         spans.withColumn("pattern", F.explode(pattern))
         .where("pattern IS NOT NULL")
         .groupBy("pattern", "value")
-        .agg(F.min(F.when(F.col("kind") != "token", F.col("kind"))).alias("kind"))
+        .agg(F.min(F.when(F.col("seed"), "secret").when(F.col("kind") != "token", F.col("kind"))).alias("kind"))
     )
 
 
 def discovered(spans: DataFrame, how: Bootstrap) -> DataFrame:
-    """``value, kind`` of the candidates that the bootstrap accepts."""
+    """``value, kind`` of the candidates that the bootstrap accepts, seeds among them."""
     edges = stage(edges_of(spans).withColumnRenamed("kind", "base"))
     kinds = F.explode(F.array(*map(F.lit, KINDS)))
     known: DataFrame | None = None
@@ -292,7 +321,9 @@ def discovered(spans: DataFrame, how: Bootstrap) -> DataFrame:
             .select("value", F.col("m.of").alias("kind"), F.col("m.sure").alias("sure"))
         )
         known = stage(scored)
-    return known.select("value", "kind")
+    # A value is a seed wherever it stands, also where nothing calls it a secret.
+    seeds = spans.where("seed").select("value", F.lit("secret").alias("kind")).distinct()
+    return seeds.union(known.select("value", "kind").join(seeds, "value", "left_anti"))
 
 
 def rank(kind: Column) -> Column:
@@ -318,6 +349,7 @@ def find_pii(
     """Return per row its id as ``doc_id`` and ``spans``: array of ``start, rank, kind,
     stop, base`` in order; positions are code points, ``stop`` is exclusive.
 
+    A candidate has six characters or more, among them four digits or an @, at any length.
     Finds of different kinds may overlap; added ones overlap no base find. NULL and
     empty texts have none. Repeated rows are searched each for themselves; in the
     bootstrap a value counts once per pattern, however often it is repeated. An empty

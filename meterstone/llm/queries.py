@@ -10,7 +10,7 @@ from meterstone.llm.brown_lm import score_texts
 from meterstone.llm.common import bucket_of, documents
 from meterstone.llm.compression_quality import fit_quality, quality_score
 from meterstone.llm.cross_parse_language import fit_language, language
-from meterstone.llm.context_pii import KINDS, find_pii
+from meterstone.llm.context_pii import BASE, find_pii
 from meterstone.llm.decontaminate import contaminated, decontaminate, n_hit
 from meterstone.llm.hard_negatives import hard_negatives
 from meterstone.llm.html_layout import visible_text
@@ -61,9 +61,14 @@ def op6_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def number_of(kind: str) -> Column:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = map(number_of, KINDS)
+    counts = map(number_of, BASE)
     return find_pii(documents(spark, sf_dir)).select(
-        "doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans")
+        "doc_id",
+        *counts,
+        F.sha2(spelled(base), 256).alias("base_sha256"),
+        spelled(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

@@ -1,6 +1,8 @@
 """Contexts of finds by position, and values that only a second hop reaches."""
 
-from meterstone.llm.context_pii import find_pii
+import random
+
+from meterstone.llm.context_pii import find_pii, mask_pii
 
 
 def added(spark, texts):
@@ -35,3 +37,42 @@ def test_a_single_word_is_a_context(spark):
     seeds = [f"Phone +1 (555) 010-0{i:03d} daily" for i in range(12)]
     got = added(spark, [*seeds, "Phone 555-0100-77 daily"])
     assert got[12] == ["555-0100-77"]
+
+
+def test_secrets_by_what_they_are_called(spark):
+    rng = random.Random(3)
+
+    def key(n):
+        # Four digits or more make a candidate.
+        return "".join(rng.choice("0123456789abcdef") for _ in range(n - 6)) + "a01b23"
+
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(5)) for _ in range(400)]
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    forms = ['token = "{}"', "API_KEY={}", '"password": "{}",', "Authorization: Bearer {}", "the secret is {}."]
+    secrets = [key(40 if i % 2 else 90) for i in range(50)]
+    texts = [f"{prose(30)} {forms[i % 5].format(v)} {prose(30)}" for i, v in enumerate(secrets)]
+    # Of another shape: only their contexts tell, of which they are a minor part.
+    short = [f"{rng.randrange(10**4):04d}-{rng.randrange(10**4):04d}/x" for _ in range(4)]
+    texts += [f'{prose(10)} token = "{v}" {prose(9)}' for v in short]
+    clean = [f"{prose(20)} order {rng.randrange(10**8):08d} of {key(40)} came {prose(5)} token = none" for _ in range(40)]
+    got = added(spark, texts + clean)
+    wanted = secrets + short
+    found = sum(got[i] == [v] for i, v in enumerate(wanted))
+    assert found == len(wanted)
+    assert all(not got[len(wanted) + i] for i in range(len(clean)))
+
+
+def test_a_secret_is_masked_wherever_it_stands(spark):
+    value = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'token = "{value}"'), (2, f"({value}) again"), (3, "nothing"), (4, None)]
+    out = mask_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in out} == {1: 'token = "[SECRET]"', 2: "([SECRET]) again", 3: "nothing", 4: None}
+
+
+def test_numbers_beside_a_find_do_not_split_patterns(spark):
+    seeds = [f"Line {i}: +1 (555) 010-0{i:03d} (day)" for i in range(12)]
+    got = added(spark, [*seeds, "Line 99: 555-0100-77 (day)"])
+    assert got[12] == ["555-0100-77"]
