@@ -181,7 +181,9 @@ def finds(found: DataFrame) -> DataFrame:
     # A candidate loses the punctuation around it, and the name that it is set to.
     opening = r"^(?:[\"'(\[{<]*[A-Za-z_][A-Za-z_.-]*+=(?=[^=]))?+[\"'(\[{<]*+"
     lead = F.length(F.regexp_extract("value", opening, 0))
-    core = F.regexp_extract("value", "(?s)" + opening + r"(.*?)[\"')\]}>.,;:!?]*$", 1)
+    # Between quotes it ends with them, whatever follows.
+    body = r"((?<=[\"'])[^\"']+(?=[\"'])|.*?(?=[\"')\]}>.,;:!?]*$))"
+    core = F.regexp_extract("value", "(?s)" + opening + body, 1)
     cut = (
         placed.withColumn("first", F.last(word, ignorenulls=True).over(by.orderBy("begin", rank_).rowsBetween(*until)))
         .withColumn("final", F.last(word, ignorenulls=True).over(by.orderBy(last, rank_).rowsBetween(*until)))

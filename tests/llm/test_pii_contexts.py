@@ -76,3 +76,9 @@ def test_numbers_beside_a_find_do_not_split_patterns(spark):
     seeds = [f"Line {i}: +1 (555) 010-0{i:03d} (day)" for i in range(12)]
     got = added(spark, [*seeds, "Line 99: 555-0100-77 (day)"])
     assert got[12] == ["555-0100-77"]
+
+
+def test_what_is_quoted_ends_with_its_quotes(spark):
+    value = "ab8ca1b325bc4f85aa6a79e73fc4cbfc2098878e"
+    texts = [f'word%%% token = "{value}"### nicht### es', f"passwd='{value}';x", f'secret: "{value.upper()}"!! A']
+    assert added(spark, texts) == {0: [value], 1: [value], 2: [value.upper()]}
